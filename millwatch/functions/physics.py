@@ -45,10 +45,12 @@ def failure_label() -> Column:
 
 def strain_limit(grade: str = "type") -> Column:
     """Overstrain limit of a grade; NULL for an unknown one."""
-    limit = F.when(F.lit(False), F.lit(None).cast("int"))
-    for name, value in S.STRAIN_LIMITS.items():
-        limit = limit.when(F.col(grade) == name, F.lit(value))
-    return limit
+    limits = S.STRAIN_LIMITS
+    return (
+        F.when(F.col(grade) == "L", limits["L"])
+        .when(F.col(grade) == "M", limits["M"])
+        .when(F.col(grade) == "H", limits["H"])
+    )
 
 
 def heat_rule() -> Column:
