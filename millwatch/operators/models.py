@@ -66,7 +66,7 @@ def prepare(training: DataFrame, label: str = "failure_type") -> DataFrame:
     The label column tells Spark that there are five classes, so a part that
     lacks a class still gives five probabilities.
     """
-    five = {"ml_attr": {"type": "nominal", "num_vals": len(S.CLASSES), "vals": list(S.CLASSES)}}
+    five = {"ml_attr": {"type": "nominal", "vals": list(S.CLASSES)}}
     weighted = audits.sample_weights(training, label).withColumn("y", classes.class_code(label))
     labelled = weighted.withColumn("label", F.col("y").cast("double").alias("label", metadata=five))
     return reduce(lambda df, stage: stage.transform(df), feature_stages(), labelled)
@@ -86,10 +86,9 @@ def _boosted(prepared: DataFrame, spec: ModelSpec) -> list[Transformer]:
         booster = GBTClassifier(
             featuresCol="features", labelCol=f"is_{k}", weightCol="weight",
             maxIter=spec.trees, maxDepth=spec.depth, stepSize=spec.learning_rate,
-            maxBins=spec.bins, seed=spec.seed,
-            predictionCol=f"prediction_{k}", rawPredictionCol=f"raw_{k}",
-            probabilityCol=f"probability_{k}",
+            maxBins=spec.bins, seed=spec.seed, predictionCol=f"prediction_{k}",
         )
+        booster.setRawPredictionCol(f"raw_{k}").setProbabilityCol(f"probability_{k}")
         stages.append(
             booster.fit(prepared.withColumn(f"is_{k}", (F.col("y") == k).cast("double")))
         )
@@ -133,16 +132,12 @@ def out_of_fold(
 ) -> DataFrame:
     """Each prepared row scored by the model that did not see its fold.
 
-    `folded` is prepared rows with `fold`. The fits read it once each, so it is
-    kept in memory and on disk while they run; the scores are a lazy union.
+    `folded` is prepared rows with `fold`. Every fit and every score reads it, so
+    the caller keeps it in storage until the scores are written.
     """
     kept = [c for c in folded.columns if c not in ("features", "type_code", "label", "weight")]
     parts = []
-    folded.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        for k in range(folds):
-            model = fit_one(folded.where(F.col("fold") != k))
-            parts.append(score(model, folded.where(F.col("fold") == k).select(kept)))
-    finally:
-        folded.unpersist()
+    for k in range(folds):
+        model = fit_one(folded.where(F.col("fold") != k))
+        parts.append(score(model, folded.where(F.col("fold") == k).select(kept)))
     return reduce(DataFrame.unionByName, parts)

@@ -125,18 +125,22 @@ def annotate_log(df: DataFrame) -> DataFrame:
 
 
 def quarantine(annotated: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) by an annotated `violations` column."""
+    """(accepted, rejected) by an annotated `violations` column; persist it before."""
     accepted = annotated.where(F.size("violations") == 0).drop("violations")
     return accepted, annotated.where(F.size("violations") > 0)
 
 
-def strict(df: DataFrame, checks: Mapping[str, Column], not_null=()) -> DataFrame:
-    """The same rows, but any breach fails the job that writes them, by name."""
+def strict(df: DataFrame, checks: Mapping[str, Column], not_null=(), guard: str = "") -> DataFrame:
+    """The same rows, but any breach fails the job that writes them, by name.
+
+    The check rides on the `guard` column (the first one by default). As a filter
+    it would be pushed below the projections and compute their columns again.
+    """
+    guard = guard or df.columns[0]
     violations = violations_column(checks, not_null)
-    verdict = F.when(F.size(violations) == 0, F.lit(True)).otherwise(
-        F.raise_error(F.concat(F.lit("Constraint violated: "), F.array_join(violations, ", ")))
-    )
-    return df.where(verdict.cast("boolean"))
+    message = F.concat(F.lit("Constraint violated: "), F.array_join(violations, ", "))
+    checked = F.when(F.size(violations) == 0, F.col(guard)).otherwise(F.raise_error(message))
+    return df.select(*[checked.alias(c) if c == guard else c for c in df.columns])
 
 
 def violation_counts(annotated: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 from dataclasses import asdict
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,9 +60,14 @@ def train(
     folded = folds.assign(models.prepare(training), "fold").withColumn(
         "fold", F.col("fold").cast("int")
     )
-    oof = models.out_of_fold(folded, lambda rows: models.fit(rows, spec))
-    scored = materialise(oof.select("udi", "failure_type", "y", "fold", "proba"))
-    scored.write.mode("overwrite").parquet(f"{out}/oof")
+    folded.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        oof = models.out_of_fold(folded, lambda rows: models.fit(rows, spec))
+        stored = oof.select("udi", "failure_type", "y", "fold", "proba")
+        stored.write.mode("overwrite").parquet(f"{out}/oof")
+    finally:
+        folded.unpersist()
+    scored = spark.read.parquet(f"{out}/oof")
 
     tables = results.evaluation_tables(scored, "oof")
     tables["fold_std"] = evaluation.metric_long(evaluation.fold_std(scored), "cv", "_std")
