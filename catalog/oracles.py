@@ -13,7 +13,7 @@ CUTOFF = "TIMESTAMP '2024-01-20 00:00:00'"
 BUDGET = "0.10e0"
 MIN_ROWS = 1000
 EXPECTED_FLAGGED = "(391e0/7992e0)"
-SIZES = (100, 500)
+SIZES = (100, 200)
 WINDOWS = 20
 
 MODES = ("no_failure", "TWF", "HDF", "PWF", "OSF")

@@ -39,7 +39,7 @@ QUERIES: dict[str, Query] = {}
 
 CUTOFF = datetime.datetime(2024, 1, 20, tzinfo=datetime.timezone.utc)
 BUDGET = 0.10
-WINDOW_SIZES = (100, 500)
+WINDOW_SIZES = (100, 200)
 WINDOWS_PER_SIZE = 20
 FAULT_K = 2.0
 ROUNDING = 6

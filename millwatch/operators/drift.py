@@ -112,12 +112,17 @@ def js_drift(
         .groupBy("column", "value")
         .agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
     )
-    whole = Window.partitionBy("column")
-    shares = counts.select(
-        "column",
-        (F.col("r") / F.nullif(F.sum("r").over(whole), F.lit(0))).alias("p"),
-        (F.col("c") / F.nullif(F.sum("c").over(whole), F.lit(0))).alias("q"),
-    ).withColumn("m", (F.col("p") + F.col("q")) / 2)
+    # One row per column, so the totals are safe to broadcast.
+    totals = counts.groupBy("column").agg(F.sum("r").alias("n_r"), F.sum("c").alias("n_c"))
+    shares = (
+        counts.join(F.broadcast(totals), "column")
+        .select(
+            "column",
+            (F.col("r") / F.nullif("n_r", F.lit(0))).alias("p"),
+            (F.col("c") / F.nullif("n_c", F.lit(0))).alias("q"),
+        )
+        .withColumn("m", (F.col("p") + F.col("q")) / 2)
+    )
     divergence = _entropy_term(F.col("p"), F.col("m")) + _entropy_term(F.col("q"), F.col("m"))
     defined = F.count("m") == F.count("*")
     return shares.groupBy("column").agg(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from millwatch import schema as S
 from millwatch.functions import classes, physics
 from millwatch.operators.selection import RANK_ROWS, running_sums
-from millwatch.session import dimension, literal_array
+from millwatch.session import dimension
 
 _SCORES = ("precision", "recall", "f1", "roc_auc")
 
@@ -99,23 +99,45 @@ def _class_scores(confusion: DataFrame, *by: str) -> DataFrame:
     )
 
 
+def _score_profiles(scored: DataFrame, *by: str, buckets: int = 64) -> dict[int, dict]:
+    """Row count and split points of each class's scores, per `by`."""
+    shares = [i / buckets for i in range(1, buckets)]
+    sketches = [
+        F.percentile_approx(F.element_at("proba", k + 1), shares, 1000).alias(f"splits_{k}")
+        for k in range(len(S.CLASSES))
+    ]
+    rows = scored.groupBy(*by).agg(F.count("*").alias("n"), *sketches).collect()
+    return {
+        (row[by[0]] if by else 0) * len(S.CLASSES) + k: {
+            "distinct": row["n"],
+            "splits": row[f"splits_{k}"] or [],
+        }
+        for row in rows
+        for k in range(len(S.CLASSES))
+    }
+
+
 def _auc(scored: DataFrame, *by: str, plain_rows: int = RANK_ROWS) -> DataFrame:
     """One-vs-rest ROC-AUC per class; a tie counts one half, one-sided truth gives NULL.
 
-    Rows collapse to distinct scores per class before anything is ordered.
+    Rows collapse to distinct scores per class before anything is ordered. The
+    split points come from one pass of sketches over the scores as they are.
+    `by` is empty or one column of small integers, such as the fold.
     """
-    codes = literal_array(range(len(S.CLASSES)))
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by]
-    long = scored.select(*by, "y", F.posexplode(classes.checked_proba("proba")).alias("k", "score"))
+    width = len(S.CLASSES)
+    profiles = _score_profiles(scored, *by)
+    group = F.col(by[0]) * width + F.col("k") if by else F.col("k")
     counts = (
-        long.withColumn("group", F.concat_ws("|", *parts, F.element_at(codes, F.col("k") + 1)))
-        .groupBy(*by, "k", "group", "score")
+        scored.select(*by, "y", F.posexplode(classes.checked_proba("proba")).alias("k", "score"))
+        .groupBy(*by, "k", group.cast("int").alias("group"), "score")
         .agg(
             F.count_if(F.col("y") == F.col("k")).alias("pos"),
             F.count_if(F.col("y") != F.col("k")).alias("neg"),
         )
     )
-    running, _ = running_sums(counts, "group", "score", ["neg"], plain_rows=plain_rows)
+    running, _ = running_sums(
+        counts, "group", "score", ["neg"], plain_rows=plain_rows, profiles=profiles
+    )
     below = F.col("upto_neg") - F.col("neg")
     wins = F.sum(F.col("pos").cast("double") * (below + F.col("neg") / 2))
     pairs = F.sum("pos").cast("double") * F.sum("neg")

@@ -58,8 +58,12 @@ def choose_threshold(
     healthy = scored.where(classes.healthy("y")).select(
         (top != 0).alias("is_high"), classes.confidence("proba").alias("score")
     )
+    candidate = F.when(~F.col("is_high"), F.col("score"))
     counts = healthy.agg(
-        F.count("*").alias("n_healthy"), F.count_if("is_high").alias("n_healthy_high")
+        F.count("*").alias("n_healthy"),
+        F.count_if("is_high").alias("n_healthy_high"),
+        F.min(candidate).alias("lo"),
+        F.max(candidate).alias("hi"),
     ).first()
     n_healthy, n_high = counts["n_healthy"], counts["n_healthy_high"]
     budget = math.floor(budget_fraction * n_healthy)
@@ -72,7 +76,10 @@ def choose_threshold(
         raise ValueError(
             f"Budget of {budget} healthy rows would flag every candidate; no threshold is needed"
         )
-    threshold = kth_largest(healthy.where(~F.col("is_high")), "score", room, rank_rows=rank_rows)
+    threshold = kth_largest(
+        healthy.where(~F.col("is_high")), "score", room, rank_rows=rank_rows,
+        bounds=(counts["lo"], counts["hi"], n_healthy - n_high),
+    )
     return ThresholdChoice(threshold, budget, n_healthy, n_high, room)
 
 

@@ -121,10 +121,17 @@ def at_or_before(hash_column: str, id_column: str, cut: CutKey) -> Column:
 
 
 def kth_largest(
-    df: DataFrame, column: str, offset: int, fanout: int = 4096, rank_rows: int = RANK_ROWS
+    df: DataFrame,
+    column: str,
+    offset: int,
+    fanout: int = 4096,
+    rank_rows: int = RANK_ROWS,
+    bounds: tuple[float, float, int] | None = None,
 ) -> float:
     """The value at a 0-based position in descending order, ties counted per row.
 
+    `bounds` is (lowest, highest, count) where the caller knows them already.
+
     Each round splits the live range into `fanout` equal steps (a monotone map,
     so order survives), counts them, and keeps the step holding the position.
     A value shared by any share of the rows ends as a range of width zero.
@@ -132,8 +139,9 @@ def kth_largest(
     values = df.select(F.col(column).cast("double").alias("x")).where(
         F.col("x").isNotNull() & ~F.isnan("x")
     )
-    row = values.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n")).first()
-    lo, hi, n = row["lo"], row["hi"], row["n"]
+    if bounds is None:
+        bounds = tuple(values.agg(F.min("x"), F.max("x"), F.count("*")).first())
+    lo, hi, n = bounds
     if not 0 <= offset < n:
         raise ValueError(f"Position {offset} outside {n} values")
     while lo < hi and n > rank_rows:
@@ -188,6 +196,7 @@ def running_sums(
     sums: Sequence[str],
     buckets: int = 64,
     plain_rows: int = RANK_ROWS,
+    profiles: dict[object, dict] | None = None,
 ) -> tuple[DataFrame, dict[object, dict]]:
     """Running totals of `sums` by ascending value, and the value that follows.
 
@@ -197,9 +206,14 @@ def running_sums(
     split points read beforehand; each range sums on its own and starts from the
     total of the ranges before it. The number of groups is a few columns times a
     few classes or folds, so profiles and range totals stay small.
+
+    Without `profiles` the counts are computed once, kept, and profiled; that
+    suits counts much smaller than the rows behind them. Given profiles need
+    `distinct` (an upper bound will do) and `splits`.
     """
-    counts = materialise(counts)
-    profiles = group_profiles(counts, group, value, sums, buckets)
+    if profiles is None:
+        counts = materialise(counts)
+        profiles = group_profiles(counts, group, value, sums, buckets)
     largest = max((p["distinct"] for p in profiles.values()), default=0)
     if largest <= plain_rows:
         window = Window.partitionBy(group).orderBy(value)

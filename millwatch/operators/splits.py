@@ -58,12 +58,19 @@ class QuotaCuts:
 
 
 def class_counts(df: DataFrame, label: str) -> dict[str, int]:
-    """Rows per class, in class order; an unknown label is an error."""
-    counted = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count("*").alias("n")).collect()}
-    unknown = sorted(str(name) for name in counted if name not in S.CLASSES)
-    if unknown:
-        raise ValueError(f"Unknown class labels: {unknown}; expected one of {S.CLASSES}")
-    return {name: counted[name] for name in S.CLASSES if name in counted}
+    """Rows per class, in class order; an unknown label is an error.
+
+    At most one row per class and one for all unknown labels reach the driver.
+    """
+    known = F.when(F.col(label).isin(*S.CLASSES), F.col(label))
+    rows = df.groupBy(known.alias("class")).agg(F.count("*").alias("n"), F.min(label).alias("example"))
+    counted = {r["class"]: (r["n"], r["example"]) for r in rows.collect()}
+    if None in counted:
+        n, example = counted[None]
+        raise ValueError(
+            f"Unknown class labels on {n} rows, such as {example!r}; expected one of {S.CLASSES}"
+        )
+    return {name: counted[name][0] for name in S.CLASSES if name in counted}
 
 
 def proportional(counts: dict[str, int], wanted: int) -> dict[str, int]:

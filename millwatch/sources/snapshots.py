@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from millwatch import schema as S
 from millwatch.operators import upsert
-from millwatch.session import materialise, path_exists
+from millwatch.session import path_exists
 
 
 def _bucket(key: str, buckets: int) -> Column:
@@ -72,9 +72,8 @@ def upsert_table(
         r["bucket"] for r in staged.select(_bucket(key, buckets).alias("bucket")).distinct().collect()
     ]
     target = _read(spark, root, schema, manifest, touched)
-    merged = materialise(
-        upsert.upsert_rows(target, staged, key).withColumn("bucket", _bucket(key, buckets))
-    )
+    merged = upsert.upsert_rows(target, staged, key).withColumn("bucket", _bucket(key, buckets))
+    # Count first: a batch that changes nothing costs one join and writes nothing.
     actions = merged.groupBy("bucket", "action").agg(F.count("*").alias("n")).collect()
     totals = {"insert": 0, "update": 0, "unchanged": 0}
     changed = set()
@@ -85,9 +84,12 @@ def upsert_table(
             changed.add(row["bucket"])
     if changed:
         version = max(manifest.values(), default=0) + 1
+        # Join again, now over the changed buckets alone.
+        changed_target = _read(spark, root, schema, manifest, changed)
+        changed_staged = staged.where(_bucket(key, buckets).isin(*sorted(changed)))
         (
-            merged.where(F.col("bucket").isin(*sorted(changed)))
-            .select(*schema.names, "bucket")
+            upsert.upsert_rows(changed_target, changed_staged, key)
+            .select(*schema.names, _bucket(key, buckets).alias("bucket"))
             .repartition("bucket")
             .write.mode("overwrite")
             .partitionBy("bucket")
