@@ -119,7 +119,7 @@ def derive_log(scored: DataFrame) -> DataFrame:
 def _spread(df: DataFrame) -> DataFrame:
     """Use every core even where the source is one small file."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, "udi") if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, build, partition_by=()) -> DataFrame:
@@ -139,8 +139,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def readings_with_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build():
-        ids = events(spark, sf_dir).select("event_id", "ts", F.col("event_id").alias("udi"))
-        return derive_readings(_spread(ids))
+        return derive_readings(_spread(events(spark, sf_dir).select("event_id", "ts")))
 
     return _table(spark, sf_dir, "readings", build)
 

@@ -781,6 +781,7 @@ ORACLES["column_verdicts"] = sql(
         round(score, 6) AS score, score >= 0.1e0 AS drifted FROM scores""",
     _DRIFT,
 )
+ORACLES["profile_verdicts"] = ORACLES["column_verdicts"]
 _VERDICT = """CASE WHEN count(*) FILTER (WHERE score >= 0.1e0) > 0 THEN 'drift' ELSE 'no_drift' END"""
 _NAMES = """coalesce(string_agg("column", ',' ORDER BY "column") FILTER (WHERE score >= 0.1e0), 'none')"""
 ORACLES["dataset_verdict"] = sql(

@@ -807,6 +807,21 @@ def column_verdicts(spark, sf):
     return _rounded(_both_windows(spark, sf, drift.drift_verdicts), "score")
 
 
+@query
+def profile_verdicts(spark, sf):
+    """The same verdicts from a stored profile of the reference."""
+    path = scratch_path(spark, "profile")
+    drift.reference_profile(I.reference_window(spark, sf)).write.parquet(path)
+    profile = spark.read.parquet(path)
+    parts = [
+        drift.profile_verdicts(profile, I.current_window(spark, sf, fault)).withColumn(
+            "scenario", F.lit(name)
+        )
+        for name, fault in (("healthy", 0.0), ("fault", FAULT_K))
+    ]
+    return _rounded(parts[0].unionByName(parts[1]), "score")
+
+
 @query
 def dataset_verdict(spark, sf):
     def build(reference, current):

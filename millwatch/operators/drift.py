@@ -25,28 +25,57 @@ from millwatch.session import materialise
 # ---------------------------------------------------------------------------
 
 
-def _long(df: DataFrame, columns: Sequence[str], side: str) -> DataFrame:
-    """(column, value, in_ref, in_cur): one narrow row per input row and column."""
+def numeric_counts(df: DataFrame, columns: Sequence[str] = S.NUMERIC_FEATURES) -> DataFrame:
+    """(column, value, n = 1): one narrow row per input row and column."""
     casted = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     return (
         casted.unpivot([], list(columns), "column", "value")
         .where(F.col("value").isNotNull())
-        .select(
-            "column",
-            "value",
-            F.lit(int(side == "ref")).alias("in_ref"),
-            F.lit(int(side == "cur")).alias("in_cur"),
-        )
+        .withColumn("n", F.lit(1).cast("long"))
     )
 
 
-def value_counts(
-    reference: DataFrame, current: DataFrame, columns: Sequence[str] = S.NUMERIC_FEATURES
+def category_counts(
+    df: DataFrame, columns: Sequence[str] = S.CATEGORICAL_FEATURES
 ) -> DataFrame:
-    """(column, value, n_ref, n_cur) over both sides."""
-    both = _long(reference, columns, "ref").unionByName(_long(current, columns, "cur"))
-    return both.groupBy("column", "value").agg(
-        F.sum("in_ref").alias("n_ref"), F.sum("in_cur").alias("n_cur")
+    """(column, category, n = 1): one narrow row per input row and column."""
+    return (
+        df.select(*columns)
+        .unpivot([], list(columns), "column", "category")
+        .withColumn("n", F.lit(1).cast("long"))
+    )
+
+
+def reference_profile(reference: DataFrame) -> DataFrame:
+    """All that a drift score needs of the reference: (column, value, category, n).
+
+    Written once with the model, it lets every monitoring run read the distinct
+    values of the training rows instead of the rows.
+    """
+    numeric = (
+        numeric_counts(reference)
+        .groupBy("column", "value")
+        .agg(F.sum("n").alias("n"))
+        .select("column", "value", F.lit(None).cast("string").alias("category"), "n")
+    )
+    categories = (
+        category_counts(reference)
+        .groupBy("column", "category")
+        .agg(F.sum("n").alias("n"))
+        .select("column", F.lit(None).cast("double").alias("value"), "category", "n")
+    )
+    return numeric.unionByName(categories)
+
+
+def _both(reference: DataFrame, current: DataFrame, value: str) -> DataFrame:
+    """(column, <value>, n_ref, n_cur): the counts of two sides next to each other."""
+    none = F.lit(0).cast("long")
+    left = reference.select("column", value, F.col("n").alias("n_ref"), none.alias("n_cur"))
+    right = current.select("column", value, none.alias("n_ref"), F.col("n").alias("n_cur"))
+    return (
+        left.unionByName(right)
+        .groupBy("column", value)
+        .agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"))
     )
 
 
@@ -57,17 +86,15 @@ def _per_column(profiles: dict, key: str) -> Column:
     return picked
 
 
-def wasserstein_drift(
-    reference: DataFrame,
-    current: DataFrame,
-    columns: Sequence[str] = S.NUMERIC_FEATURES,
-    plain_rows: int = RANK_ROWS,
+def wasserstein_between(
+    reference: DataFrame, current: DataFrame, plain_rows: int = RANK_ROWS
 ) -> DataFrame:
-    """(column, score): area between the two step CDFs over the reference's std.
+    """(column, score) of two sides given as (column, value, n) counts, collapsed or not.
 
-    A constant or empty reference column has no scale: its score is NULL.
+    The score is the area between the two step CDFs over the reference's std. A
+    constant or empty reference column has no scale: its score is NULL.
     """
-    counts = value_counts(reference, current, columns)
+    counts = _both(reference, current, "value")
     running, profiles = running_sums(
         counts, "column", "value", ["n_ref", "n_cur"], plain_rows=plain_rows
     )
@@ -84,8 +111,18 @@ def wasserstein_drift(
         (F.col("n_ref") * deviation * deviation / n_ref).alias("variance"),
     )
     std = F.sqrt(F.sum("variance"))
-    return terms.groupBy("column").agg(
-        F.when(std > 0, F.sum("area") / std).alias("score")
+    return terms.groupBy("column").agg(F.when(std > 0, F.sum("area") / std).alias("score"))
+
+
+def wasserstein_drift(
+    reference: DataFrame,
+    current: DataFrame,
+    columns: Sequence[str] = S.NUMERIC_FEATURES,
+    plain_rows: int = RANK_ROWS,
+) -> DataFrame:
+    """(column, score) of two tables of rows."""
+    return wasserstein_between(
+        numeric_counts(reference, columns), numeric_counts(current, columns), plain_rows
     )
 
 
@@ -93,25 +130,12 @@ def _entropy_term(share: Column, middle: Column) -> Column:
     return F.when(share > 0, share * F.log(share / middle)).otherwise(0.0)
 
 
-def js_drift(
-    reference: DataFrame, current: DataFrame, columns: Sequence[str] = S.CATEGORICAL_FEATURES
-) -> DataFrame:
-    """(column, score): Jensen-Shannon distance, natural logarithm, of category shares."""
+def js_between(reference: DataFrame, current: DataFrame) -> DataFrame:
+    """(column, score) of two sides given as (column, category, n) counts.
 
-    def tagged(df: DataFrame, side: str) -> DataFrame:
-        return df.select(*columns).unpivot([], list(columns), "column", "value").select(
-            "column",
-            "value",
-            F.lit(int(side == "ref")).alias("r"),
-            F.lit(int(side == "cur")).alias("c"),
-        )
-
-    counts = (
-        tagged(reference, "ref")
-        .unionByName(tagged(current, "cur"))
-        .groupBy("column", "value")
-        .agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
-    )
+    The score is the Jensen-Shannon distance, natural logarithm, of the shares.
+    """
+    counts = _both(reference, current, "category").withColumnsRenamed({"n_ref": "r", "n_cur": "c"})
     # One row per column, so the totals are safe to broadcast.
     totals = counts.groupBy("column").agg(F.sum("r").alias("n_r"), F.sum("c").alias("n_c"))
     shares = (
@@ -130,6 +154,13 @@ def js_drift(
     )
 
 
+def js_drift(
+    reference: DataFrame, current: DataFrame, columns: Sequence[str] = S.CATEGORICAL_FEATURES
+) -> DataFrame:
+    """(column, score) of two tables of rows."""
+    return js_between(category_counts(reference, columns), category_counts(current, columns))
+
+
 # ---------------------------------------------------------------------------
 # Verdicts
 # ---------------------------------------------------------------------------
@@ -168,6 +199,19 @@ def drift_verdicts(
     return column_verdicts(scores, threshold)
 
 
+def profile_verdicts(
+    profile: DataFrame, current: DataFrame, threshold: float = S.DRIFT_THRESHOLD
+) -> DataFrame:
+    """One verdict per model input, against a stored reference profile."""
+    numeric = wasserstein_between(
+        profile.where(F.col("value").isNotNull()), numeric_counts(current)
+    )
+    categories = js_between(
+        profile.where(F.col("column").isin(*S.CATEGORICAL_FEATURES)), category_counts(current)
+    )
+    return column_verdicts(numeric.unionByName(categories), threshold)
+
+
 def dataset_verdict(verdicts: DataFrame, columns: Sequence[str] = S.FEATURES) -> DataFrame:
     """One row: drift if any column drifted; the share rule must agree.
 
@@ -240,16 +284,23 @@ def drift_window(
 ) -> tuple[DataFrame, DataFrame | None]:
     """(window row, verdict rows or None) of one monitoring run.
 
-    `current` holds the nine inputs and `risk_tier`. The counts of the window,
-    one row, decide on the driver whether the drift plan is built at all.
+    `current` holds the nine inputs and `risk_tier`; `reference` the nine inputs,
+    or the profile of them. The counts of the window, one row, decide on the
+    driver whether the drift plan is built at all.
     """
-    spark = reference.sparkSession
+    spark = current.sparkSession
+    is_profile = "category" in reference.columns
     counts = window_counts(current).first().asDict()
-    n_reference = reference.count()
     n_current = counts["n_current"]
+    if is_profile:
+        one_column = reference.where(F.col("column") == S.CATEGORICAL_FEATURES[0])
+        n_reference = one_column.agg(F.sum("n")).first()[0]
+    else:
+        n_reference = reference.count()
     verdicts, verdict, n_drifted, drifted = None, S.INSUFFICIENT_DATA, None, None
     if n_current >= min_rows:
-        verdicts = materialise(drift_verdicts(reference, current))
+        build = profile_verdicts if is_profile else drift_verdicts
+        verdicts = materialise(build(reference, current))
         summary = dataset_verdict(verdicts).first()
         verdict, n_drifted = summary["verdict"], summary["n_drifted"]
         drifted = summary["drifted_columns"]
@@ -341,9 +392,9 @@ def window_wasserstein(
     weights by value inside a slot then price the values of all windows together.
     """
     counts = (
-        _long(reference, columns, "ref")
+        numeric_counts(reference, columns)
         .groupBy("column", "value")
-        .agg(F.sum("in_ref").alias("n_ref"))
+        .agg(F.sum("n").alias("n_ref"))
     )
     running, profiles = running_sums(counts, "column", "value", ["n_ref"], plain_rows=plain_rows)
     n_ref = _per_column(profiles, "total_n_ref").cast("long")

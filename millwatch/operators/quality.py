@@ -210,10 +210,10 @@ def validate_readings(requests: DataFrame, body: str = "body") -> DataFrame:
     unknown keys. A text that is no JSON object yields one (body, json_invalid).
     Works on batches and streams; rows are neither dropped nor reordered.
     """
-    cleaned = F.regexp_replace(F.col(body), _NON_FINITE, _NON_FINITE_JSON)
-    parsed = requests.withColumn("_body", F.try_parse_json(cleaned))
+    text = F.regexp_replace(F.col(body), _NON_FINITE, _NON_FINITE_JSON)
+    parsed = requests.withColumn("_text", text).withColumn("_body", F.try_parse_json("_text"))
     is_object = F.coalesce(F.schema_of_variant("_body").startswith("OBJECT"), F.lit(False))
-    keys = F.coalesce(F.json_object_keys(cleaned), F.array().cast("array<string>"))
+    keys = F.coalesce(F.json_object_keys("_text"), F.array().cast("array<string>"))
     parsed = parsed.withColumn("_keys", F.when(is_object, keys))
     unknown = F.transform(
         F.array_sort(F.array_except(F.col("_keys"), literal_array(S.RAW_INPUTS))),

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
+_local_dirs: dict[str, str] = {}
 
 
 def local_session(cores: str = "*", app: str = "millwatch", **conf: str) -> SparkSession:
@@ -35,14 +36,13 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only a local session may fall back to a temporary folder of this machine.
     """
-    named = spark.conf.get(_CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    named = spark.conf.get(_CHECKPOINT_DIR, None) or context.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise RuntimeError(f"Set {_CHECKPOINT_DIR} to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="millwatch-")
-    spark.conf.set(_CHECKPOINT_DIR, folder)
-    return folder
+    return _local_dirs.setdefault(context.applicationId, tempfile.mkdtemp(prefix="millwatch-"))
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -70,7 +70,7 @@ def literal_array(values) -> Column:
 
 def dimension(spark: SparkSession, **columns: tuple[str, ...]) -> DataFrame:
     """Every combination of a few fixed names, such as tier x class, with positions."""
-    rows = spark.range(1)
+    rows = spark.range(0, 1, 1, numPartitions=1)
     for name, values in columns.items():
         rows = rows.select(
             *[c for c in rows.columns if c != "id"],

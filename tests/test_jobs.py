@@ -54,16 +54,16 @@ def test_the_path_from_threshold_to_monitoring(spark, readings, bundle, folder):
     answers = jobs.score_table(readings.select(*S.RAW_INPUTS), model, log_root, "b1")
     assert answers.count() == readings.count()
 
-    window = jobs.monitor(readings, out, log_root, start, f"{folder}/monitor", "w1").first()
+    window = jobs.monitor(spark, out, log_root, start, f"{folder}/monitor", "w1").first()
     assert window["n_current"] == readings.count() and window["n_reference"] == notes["n_train"]
     assert window["verdict"] == "no_drift"
     stored = spark.read.parquet(f"{folder}/monitor/monitor_column_drift")
     assert stored.count() == 9 and stored.first()["window_id"] == "w1"
     later = start + datetime.timedelta(days=1)
-    empty = jobs.monitor(readings, out, log_root, later, f"{folder}/monitor", "w2").first()
+    empty = jobs.monitor(spark, out, log_root, later, f"{folder}/monitor", "w2").first()
     assert empty["verdict"] == "insufficient_data" and empty["share_low"] is None
     with pytest.raises(ValueError, match="timezone"):
-        jobs.monitor(readings, out, log_root, datetime.datetime(2026, 1, 1), folder, "w3")
+        jobs.monitor(spark, out, log_root, datetime.datetime(2026, 1, 1), folder, "w3")
 
 
 def test_a_changed_test_row_stops_the_threshold_job(readings, bundle):
