@@ -224,7 +224,7 @@ ACTION = "CASE WHEN udi % 10 = 0 THEN 'insert' WHEN udi % 7 = 0 THEN 'update' EL
 ORACLES["upsert_diff"] = sql(
     "readings", f"SELECT {ACTION} AS action, count(*) AS n_rows FROM readings GROUP BY 1"
 )
-ORACLES["upsert_merged"] = sql("readings", f"SELECT *, {ACTION} AS action FROM ({STAGED})")
+ORACLES["upsert"] = sql("readings", f"SELECT *, {ACTION} AS action FROM ({STAGED})")
 ORACLES["upsert_rerun"] = sql(
     "readings",
     """SELECT 'load' AS run, count(*) AS n_insert, 0::BIGINT AS n_update, 0::BIGINT AS n_unchanged
@@ -540,6 +540,16 @@ ORACLES["stratified_split"] = sql("split", "SELECT udi, failure_type, split FROM
 ORACLES["stratified_folds"] = sql(
     "train_part", "SELECT udi, failure_type, fold FROM folded", folds_of("train_part")
 )
+ORACLES["sample_head"] = sql(
+    "train_part", f"SELECT udi, {cols(*FEATURES)} FROM train_part ORDER BY udi LIMIT 5"
+)
+ORACLES["model_save_load"] = sql("split", "SELECT udi, true AS same FROM split WHERE split = 'test'")
+ORACLES["oof_proba"] = sql(
+    "train_part",
+    f"""SELECT udi, {CODE} AS y, fold, 5 AS n_classes, true AS in_range, true AS sums_to_one
+        FROM folded""",
+    folds_of("train_part"),
+)
 ORACLES["sample_weights"] = sql(
     "train_part",
     """SELECT udi, round(total / (k * CAST(c AS DOUBLE)), 6) AS weight

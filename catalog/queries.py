@@ -46,7 +46,7 @@ ROUNDING = 6
 
 
 def query(function: Query) -> Query:
-    QUERIES[function.__name__] = function
+    QUERIES[function.__name__.rstrip("_")] = function
     return function
 
 
@@ -105,7 +105,7 @@ def upsert_diff(spark, sf):
 
 
 @query
-def upsert_merged(spark, sf):
+def upsert_(spark, sf):
     return upsert.upsert_rows(*_upsert_sides(spark, sf), "udi")
 
 
@@ -547,8 +547,9 @@ def top_two(spark, sf):
 
 @query
 def sample_head(spark, sf):
-    """Five input rows, the example stored with a model."""
-    return splits.train_rows(I.training(spark, sf)).select(*S.FEATURES).limit(5)
+    """The first five training rows by id, the example stored with a model."""
+    training = splits.train_rows(I.training(spark, sf))
+    return training.select("udi", *S.FEATURES).orderBy("udi").limit(5)
 
 
 # --- splits, weights and models -------------------------------------------------
@@ -616,11 +617,17 @@ def oof_proba(spark, sf):
     )
     folded.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        oof = models.out_of_fold(folded, lambda rows: models.fit(rows, FOREST))
+        oof = models.out_of_fold(folded, FOREST)
         scored = materialise(oof.select("udi", "y", "fold", "proba"))
     finally:
         folded.unpersist()
-    return scored
+    total = F.aggregate("proba", F.lit(0.0), lambda a, b: a + b)
+    return scored.select(
+        "udi", "y", "fold",
+        F.size("proba").alias("n_classes"),
+        F.forall("proba", lambda p: p.between(0, 1)).alias("in_range"),
+        (F.abs(total - 1) < 1e-9).alias("sums_to_one"),
+    )
 
 
 @query

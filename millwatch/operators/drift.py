@@ -9,6 +9,7 @@ is ordered afterwards is distinct sensor values, not rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,7 +17,13 @@ from pyspark.sql import functions as F
 from millwatch import schema as S
 from millwatch.functions.hashing import order_key
 from millwatch.operators.audits import shares_of
-from millwatch.operators.selection import RANK_ROWS, rank_cuts, at_or_before, running_sums
+from millwatch.operators.selection import (
+    RANK_ROWS,
+    at_or_before,
+    group_profiles,
+    rank_cuts,
+    running_sums,
+)
 from millwatch.session import materialise
 
 
@@ -46,20 +53,26 @@ def category_counts(
     )
 
 
-def reference_profile(reference: DataFrame) -> DataFrame:
+def reference_profile(
+    reference: DataFrame,
+    columns: Sequence[str] = S.NUMERIC_FEATURES,
+    categorical: Sequence[str] = S.CATEGORICAL_FEATURES,
+) -> DataFrame:
     """All that a drift score needs of the reference: (column, value, category, n).
 
     Written once with the model, it lets every monitoring run read the distinct
     values of the training rows instead of the rows.
     """
     numeric = (
-        numeric_counts(reference)
+        numeric_counts(reference, columns)
         .groupBy("column", "value")
         .agg(F.sum("n").alias("n"))
         .select("column", "value", F.lit(None).cast("string").alias("category"), "n")
     )
+    if not categorical:
+        return numeric
     categories = (
-        category_counts(reference)
+        category_counts(reference, categorical)
         .groupBy("column", "category")
         .agg(F.sum("n").alias("n"))
         .select("column", F.lit(None).cast("double").alias("value"), "category", "n")
@@ -375,43 +388,57 @@ def healthy_windows(
     return result
 
 
-def window_wasserstein(
+@dataclass(frozen=True)
+class ReferenceSteps:
+    """A reference made ready once for any number of windows."""
+
+    running: DataFrame
+    profiles: dict
+    categories: DataFrame
+
+
+def reference_steps(
     reference: DataFrame,
-    windows: DataFrame,
-    size: int,
     columns: Sequence[str] = S.NUMERIC_FEATURES,
+    categorical: Sequence[str] = S.CATEGORICAL_FEATURES,
     plain_rows: int = RANK_ROWS,
-) -> DataFrame:
+) -> ReferenceSteps:
+    profile = materialise(reference_profile(reference, columns, categorical))
+    numeric = profile.where(F.col("value").isNotNull()).select("column", "value", "n")
+    running, profiles = running_sums(
+        numeric, "column", "value", ["n"], plain_rows=plain_rows,
+        profiles=group_profiles(numeric, "column", "value", ["n"]),
+    )
+    return ReferenceSteps(
+        running, profiles, profile.where(F.col("column").isin(*categorical))
+    )
+
+
+def window_wasserstein(steps: ReferenceSteps, windows: DataFrame, size: int) -> DataFrame:
     """(window_id, column, score) of many windows of `size` rows against one reference.
 
     The reference is not repeated per window. In quantile space each of the
     `size` sorted values of a window owns one slot of width 1/size, and the
     distance is the sum over slots of how far the reference values in that slot
     lie from it. The reference is cut into the slots once, weighted in whole
-    units (a slot weighs n_ref units, a reference row weighs `size`); running
-    weights by value inside a slot then price the values of all windows together.
+    units (a slot weighs n units, a reference row weighs `size`); running weights
+    by value inside a slot then price the values of all windows together.
     """
-    counts = (
-        numeric_counts(reference, columns)
-        .groupBy("column", "value")
-        .agg(F.sum("n").alias("n_ref"))
-    )
-    running, profiles = running_sums(counts, "column", "value", ["n_ref"], plain_rows=plain_rows)
-    n_ref = _per_column(profiles, "total_n_ref").cast("long")
-    end = F.col("upto_n_ref") * F.lit(size)
-    start = end - F.col("n_ref") * F.lit(size)
-    slots = F.sequence(
-        F.floor(start / n_ref).cast("int"), F.floor((end - 1) / n_ref).cast("int")
-    )
+    running, profiles = steps.running, steps.profiles
+    columns = list(profiles)
+    n_ref = _per_column(profiles, "total_n").cast("long")
+    end = F.col("upto_n") * F.lit(size)
+    start = end - F.col("n") * F.lit(size)
+    slots = F.sequence(F.expr("int(start div total)"), F.expr("int((end - 1) div total)"))
     pieces = (
         running.select(
-            "column", "value", start.alias("start"), end.alias("end"), n_ref.alias("n"),
-            F.explode(slots).alias("slot"),
+            "column", "value", start.alias("start"), end.alias("end"), n_ref.alias("total")
         )
+        .withColumn("slot", F.explode(slots))
         .withColumn(
             "weight",
-            F.least("end", (F.col("slot") + 1) * F.col("n"))
-            - F.greatest("start", F.col("slot") * F.col("n")),
+            F.least("end", (F.col("slot") + 1) * F.col("total"))
+            - F.greatest("start", F.col("slot") * F.col("total")),
         )
         .where("weight > 0")
         .select("column", "slot", "value", "weight", F.lit(None).cast("int").alias("window_id"))
@@ -420,7 +447,7 @@ def window_wasserstein(
     in_window = Window.partitionBy("window_id", "column").orderBy("value")
     values = (
         windows.select("window_id", *[F.col(c).cast("double").alias(c) for c in columns])
-        .unpivot(["window_id"], list(columns), "column", "value")
+        .unpivot(["window_id"], columns, "column", "value")
         .select(
             "column",
             (F.row_number().over(in_window) - 1).alias("slot"),
@@ -448,53 +475,51 @@ def window_wasserstein(
         + (F.col("m_all") - F.col("m_below"))
         - F.col("value") * above
     )
-    std = F.broadcast(_reference_std(running, profiles))
+    # One row per column, so the spread is safe to broadcast.
+    deviation = F.col("value") - _per_column(profiles, "mean_n")
+    spread = running.groupBy("column").agg(
+        F.sqrt(F.sum(F.col("n") * deviation * deviation) / F.sum("n")).alias("std"),
+        F.sum("n").cast("double").alias("total"),
+    )
     return (
         priced.where(F.col("window_id").isNotNull())
         .groupBy("window_id", "column")
-        .agg((F.sum(cost) / (n_ref_of(profiles) * F.lit(float(size)))).alias("distance"))
-        .join(std, "column")
-        .select("window_id", "column", (F.col("distance") / F.col("std")).alias("score"))
-    )
-
-
-def n_ref_of(profiles: dict) -> Column:
-    return F.first(_per_column(profiles, "total_n_ref").cast("double"))
-
-
-def _reference_std(running: DataFrame, profiles: dict) -> DataFrame:
-    deviation = F.col("value") - _per_column(profiles, "mean_n_ref")
-    n_ref = _per_column(profiles, "total_n_ref").cast("double")
-    return running.groupBy("column").agg(
-        F.sqrt(F.sum(F.col("n_ref") * deviation * deviation / n_ref)).alias("std")
+        .agg(F.sum(cost).alias("cost"))
+        .join(F.broadcast(spread), "column")
+        .select(
+            "window_id",
+            "column",
+            (F.col("cost") / (F.col("total") * F.lit(float(size))) / F.col("std")).alias("score"),
+        )
     )
 
 
 def window_js(
-    reference: DataFrame, windows: DataFrame, column: str = S.CATEGORICAL_FEATURES[0]
+    steps: ReferenceSteps, windows: DataFrame, column: str = S.CATEGORICAL_FEATURES[0]
 ) -> DataFrame:
-    """(window_id, column, score) for a categorical column of few categories."""
-    everything = Window.partitionBy()
-    p = reference.groupBy(column).agg(F.count("*").alias("r")).select(
-        F.col(column).alias("value"), (F.col("r") / F.sum("r").over(everything)).alias("p")
-    )
-    per_window = windows.groupBy("window_id", F.col(column).alias("value")).agg(
+    """(window_id, column, score) for one categorical column."""
+    counted = steps.categories.where(F.col("column") == column)
+    total = counted.agg(F.sum("n")).first()[0]
+    p = counted.select("category", (F.col("n") / F.lit(total)).alias("p"))
+    per_window = windows.groupBy("window_id", F.col(column).alias("category")).agg(
         F.count("*").alias("c")
     )
     q = per_window.select(
         "window_id",
-        "value",
+        "category",
         (F.col("c") / F.sum("c").over(Window.partitionBy("window_id"))).alias("q"),
     )
-    # Categories a window lacks still count: their reference share p adds p*ln(2)/2.
-    joined = q.join(F.broadcast(p), "value", "left")
+    # Categories a window lacks still count: their reference share p adds p * ln 2.
+    joined = q.join(p, "category", "left")
     share_p, share_q = F.coalesce("p", F.lit(0.0)), F.col("q")
     middle = (share_p + share_q) / 2
     present = F.sum(_entropy_term(share_p, middle) + _entropy_term(share_q, middle))
     absent = (F.lit(1.0) - F.sum(share_p)) * F.log(F.lit(2.0))
     divergence = F.greatest((present + absent) / 2, F.lit(0.0))
-    return joined.groupBy("window_id").agg(F.sqrt(divergence).alias("score")).select(
-        "window_id", F.lit(column).alias("column"), "score"
+    return (
+        joined.groupBy("window_id")
+        .agg(F.sqrt(divergence).alias("score"))
+        .select("window_id", F.lit(column).alias("column"), "score")
     )
 
 
@@ -507,12 +532,11 @@ def false_alarm_rate(
     seed: str | int = S.SEED,
 ) -> DataFrame:
     """(window_size, n_windows, n_alarms, rate): healthy windows with any drifted column."""
+    steps = reference_steps(reference)
     result = None
     for size in sizes:
         drawn = materialise(healthy_windows(held_out, size, windows, seed))
-        scores = window_wasserstein(reference, drawn, size).unionByName(
-            window_js(reference, drawn)
-        )
+        scores = window_wasserstein(steps, drawn, size).unionByName(window_js(steps, drawn))
         alarms = scores.groupBy("window_id").agg(
             F.bool_or(F.col("score") >= threshold).alias("alarm")
         )

@@ -7,16 +7,18 @@ the same `proba` array, in class order.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
+from multiprocessing.pool import ThreadPool
+from typing import TypeVar
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millwatch import schema as S
@@ -42,6 +44,7 @@ class ModelSpec:
     learning_rate: float = 0.1
     bins: int = 128
     seed: int = S.SEED
+    parallelism: int = 5
 
     def __post_init__(self):
         if self.kind not in ("forest", "boosted"):
@@ -80,19 +83,31 @@ def _forest(prepared: DataFrame, spec: ModelSpec) -> list[Transformer]:
     return [forest.fit(prepared)]
 
 
+Fitted = TypeVar("Fitted")
+
+
+def fit_side_by_side(
+    spark: SparkSession, fits: Sequence[Callable[[], Fitted]], parallelism: int
+) -> list[Fitted]:
+    """Independent fits at the same time: one fills the gaps between another's jobs."""
+    if parallelism <= 1:
+        return [run() for run in fits]
+    with ThreadPool(min(parallelism, len(fits))) as pool:
+        return pool.map(inheritable_thread_target(spark)(lambda run: run()), fits)
+
+
 def _boosted(prepared: DataFrame, spec: ModelSpec) -> list[Transformer]:
-    stages = []
-    for k in range(len(S.CLASSES)):
+    def one_against_rest(k: int) -> Transformer:
         booster = GBTClassifier(
             featuresCol="features", labelCol=f"is_{k}", weightCol="weight",
             maxIter=spec.trees, maxDepth=spec.depth, stepSize=spec.learning_rate,
             maxBins=spec.bins, seed=spec.seed, predictionCol=f"prediction_{k}",
         )
         booster.setRawPredictionCol(f"raw_{k}").setProbabilityCol(f"probability_{k}")
-        stages.append(
-            booster.fit(prepared.withColumn(f"is_{k}", (F.col("y") == k).cast("double")))
-        )
-    return stages
+        return booster.fit(prepared.withColumn(f"is_{k}", (F.col("y") == k).cast("double")))
+
+    fits = [partial(one_against_rest, k) for k in range(len(S.CLASSES))]
+    return fit_side_by_side(prepared.sparkSession, fits, spec.parallelism)
 
 
 def fit(prepared: DataFrame, spec: ModelSpec) -> PipelineModel:
@@ -127,17 +142,19 @@ def score(model: PipelineModel, inputs: DataFrame) -> DataFrame:
     )
 
 
-def out_of_fold(
-    folded: DataFrame, fit_one: Callable[[DataFrame], PipelineModel], folds: int = S.CV_FOLDS
-) -> DataFrame:
+def out_of_fold(folded: DataFrame, spec: ModelSpec, folds: int = S.CV_FOLDS) -> DataFrame:
     """Each prepared row scored by the model that did not see its fold.
 
     `folded` is prepared rows with `fold`. Every fit and every score reads it, so
-    the caller keeps it in storage until the scores are written.
+    the caller keeps it in storage until the scores are written. Forests of
+    several folds grow at once; boosted models already run one fit per class.
     """
     kept = [c for c in folded.columns if c not in ("features", "type_code", "label", "weight")]
-    parts = []
-    for k in range(folds):
-        model = fit_one(folded.where(F.col("fold") != k))
-        parts.append(score(model, folded.where(F.col("fold") == k).select(kept)))
+    fits = [partial(fit, folded.where(F.col("fold") != k), spec) for k in range(folds)]
+    at_once = spec.parallelism if spec.kind == "forest" else 1
+    fitted = fit_side_by_side(folded.sparkSession, fits, at_once)
+    parts = [
+        score(model, folded.where(F.col("fold") == k).select(kept))
+        for k, model in enumerate(fitted)
+    ]
     return reduce(DataFrame.unionByName, parts)

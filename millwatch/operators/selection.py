@@ -164,7 +164,7 @@ def kth_largest(
 
 
 def group_profiles(
-    counts: DataFrame, group: str, value: str, sums: Sequence[str], buckets: int
+    counts: DataFrame, group: str, value: str, sums: Sequence[str], buckets: int = 64
 ) -> dict[object, dict]:
     """Per group: distinct values, totals, weighted means and balanced split points."""
     shares = [i / buckets for i in range(1, buckets)]

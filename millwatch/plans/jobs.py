@@ -55,6 +55,7 @@ def train(
     labelled = projections.training_rows(readings)
     cuts = splits.split_cuts(labelled)
     training, sealed = _parts(labelled, cuts)
+    example = training.select("udi", *S.FEATURES).orderBy("udi").drop("udi").limit(5)
 
     folds = splits.fold_cuts(training)
     folded = folds.assign(models.prepare(training), "fold").withColumn(
@@ -62,7 +63,7 @@ def train(
     )
     folded.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        oof = models.out_of_fold(folded, lambda rows: models.fit(rows, spec))
+        oof = models.out_of_fold(folded, spec)
         stored = oof.select("udi", "failure_type", "y", "fold", "proba")
         stored.write.mode("overwrite").parquet(f"{out}/oof")
     finally:
@@ -83,7 +84,7 @@ def train(
         "spec": asdict(spec),
         "classes": list(S.CLASSES),
         "inputs": list(S.FEATURES),
-        "input_example": [r.asDict() for r in training.select(*S.FEATURES).limit(5).collect()],
+        "input_example": [r.asDict() for r in example.collect()],
         "split": cuts.to_dict(),
         "n_train": sum(shares[0] for shares in cuts.quotas.values()),
         "n_test": sum(shares[1] for shares in cuts.quotas.values()),
