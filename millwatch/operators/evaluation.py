@@ -129,11 +129,9 @@ def _auc(scored: DataFrame, *by: str, plain_rows: int = RANK_ROWS) -> DataFrame:
     group = F.col(by[0]) * width + F.col("k") if by else F.col("k")
     counts = (
         scored.select(*by, "y", F.posexplode(classes.checked_proba("proba")).alias("k", "score"))
-        .groupBy(*by, "k", group.cast("int").alias("group"), "score")
-        .agg(
-            F.count_if(F.col("y") == F.col("k")).alias("pos"),
-            F.count_if(F.col("y") != F.col("k")).alias("neg"),
-        )
+        .select(group.cast("int").alias("group"), "score", (F.col("y") == F.col("k")).alias("hit"))
+        .groupBy("group", "score")
+        .agg(F.count_if("hit").alias("pos"), F.count_if(~F.col("hit")).alias("neg"))
     )
     running, _ = running_sums(
         counts, "group", "score", ["neg"], plain_rows=plain_rows, profiles=profiles
@@ -141,10 +139,10 @@ def _auc(scored: DataFrame, *by: str, plain_rows: int = RANK_ROWS) -> DataFrame:
     below = F.col("upto_neg") - F.col("neg")
     wins = F.sum(F.col("pos").cast("double") * (below + F.col("neg") / 2))
     pairs = F.sum("pos").cast("double") * F.sum("neg")
-    return (
-        running.groupBy(*by, "k")
-        .agg(F.when(pairs > 0, wins / pairs).alias("roc_auc"))
-        .withColumnRenamed("k", "class_pos")
+    auc = running.groupBy("group").agg(F.when(pairs > 0, wins / pairs).alias("roc_auc"))
+    part = F.floor(F.col("group") / width).cast("int")
+    return auc.select(
+        *[part.alias(c) for c in by], (F.col("group") % width).alias("class_pos"), "roc_auc"
     )
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from millwatch.session import literal_array, materialise
 
-_HEX_STEP = 4
+_HEX_STEP = 3
 _HASH_WIDTH = 32
 # How many rows one task may sort: beyond it the range is narrowed further.
 RANK_ROWS = 200_000
@@ -41,77 +41,70 @@ def rank_cuts(
     """(hash, id) of the row at each wanted 1-based rank of each stratum.
 
     Rows are ordered by (hash, id) inside a stratum. Each round counts the next
-    four hex digits within the prefixes still wanted (at most 65,536 counts per
-    prefix); once a prefix holds few rows, only those are ranked.
+    three hex digits within the prefixes still wanted, at most 4,096 counts for
+    each; once every wanted prefix holds few rows, only those are ranked.
     """
     rows = df.select(
         F.col(stratum).alias("s"), F.col(hash_column).alias("h"), F.col(id_column).alias("i")
     )
-    # (stratum, prefix, rank inside the prefix, original rank)
-    wanted = [(s, "", k, k) for s, ks in ranks.items() for k in ks]
-    small = []
+    # (stratum, rank) -> (prefix holding that rank, rank inside the prefix)
+    wanted = {(s, k): ("", k) for s, ks in ranks.items() for k in ks}
+    if not wanted:
+        return {s: [] for s in ranks}
     depth = 0
-    while wanted:
+
+    def in_scope(column: str) -> Column:
+        """Rows under a wanted prefix. The hash is named once: a pushed-down filter
+        computes it again for every mention."""
+        prefixes = {f"{s}:{prefix}" for (s, _), (prefix, _) in wanted.items()}
+        key = F.concat(F.col("s").cast("string"), F.lit(":"), F.substring(column, 1, depth))
+        return key.isin(*sorted(prefixes))
+
+    largest = None
+    while largest is None or (largest > rank_rows and depth < _HASH_WIDTH):
+        scoped = rows.where(in_scope("h"))
         depth += _HEX_STEP
-        scope = _any([(F.col("s") == s) & F.col("h").startswith(p) for s, p in {w[:2] for w in wanted}])
-        counts = (
-            rows.where(scope)
-            .groupBy("s", F.substring("h", 1, depth).alias("p"))
-            .agg(F.count("*").alias("n"))
+        counts = scoped.groupBy("s", F.substring("h", 1, depth).alias("p")).agg(
+            F.count("*").alias("n")
         )
         parent = F.substring("p", 1, depth - _HEX_STEP)
-        window = Window.partitionBy("s", parent).orderBy("p")
-        upto = counts.withColumn("upto", F.sum("n").over(window))
-        hits = upto.where(
-            _any(
-                [
-                    (F.col("s") == s) & F.col("p").startswith(p)
-                    & (F.col("upto") >= k) & (F.col("upto") - F.col("n") < k)
-                    for s, p, k, _ in wanted
-                ]
-            )
-        ).collect()
-        following = []
-        for s, p, k, original in wanted:
+        upto = F.sum("n").over(Window.partitionBy("s", parent).orderBy("p"))
+        holds_a_rank = _any(
+            [
+                (F.col("s") == s) & F.col("p").startswith(prefix)
+                & (F.col("upto") >= k) & (F.col("upto") - F.col("n") < k)
+                for (s, _), (prefix, k) in wanted.items()
+            ]
+        )
+        hits = counts.withColumn("upto", upto).where(holds_a_rank).collect()
+        largest = 0
+        for (s, rank), (prefix, k) in wanted.items():
             hit = next(
                 (
                     r for r in hits
-                    if r["s"] == s and r["p"].startswith(p) and r["upto"] - r["n"] < k <= r["upto"]
+                    if r["s"] == s and r["p"].startswith(prefix)
+                    and r["upto"] - r["n"] < k <= r["upto"]
                 ),
                 None,
             )
             if hit is None:
-                raise ValueError(f"Stratum {s!r} has fewer than {original} rows")
-            entry = (s, hit["p"], k - (hit["upto"] - hit["n"]), original)
-            done = hit["n"] <= rank_rows or depth >= _HASH_WIDTH
-            (small if done else following).append(entry)
-        wanted = following
-    if not small:
-        return {s: [] for s in ranks}
-    window = Window.partitionBy("s", "prefix").orderBy("h", "i")
-    # Prefixes are disjoint or equal within a stratum, so a row belongs to one.
-    prefix = F.coalesce(
-        *[
-            F.when((F.col("s") == s) & F.col("h").startswith(p), F.lit(p))
-            for s, p in sorted({e[:2] for e in small}, key=str)
+                raise ValueError(f"Stratum {s!r} has fewer than {rank} rows")
+            wanted[(s, rank)] = (hit["p"], k - (hit["upto"] - hit["n"]))
+            largest = max(largest, hit["n"])
+
+    prefixed = rows.where(in_scope("h")).withColumn("p", F.substring("h", 1, depth))
+    position = F.row_number().over(Window.partitionBy("s", "p").orderBy("h", "i"))
+    at_a_rank = _any(
+        [
+            (F.col("s") == s) & (F.col("p") == prefix) & (F.col("position") == k)
+            for (s, _), (prefix, k) in wanted.items()
         ]
     )
-    ranked = (
-        rows.withColumn("prefix", prefix)
-        .where(F.col("prefix").isNotNull())
-        .withColumn("rank", F.row_number().over(window))
-    )
-    found = ranked.where(
-        _any(
-            [
-                (F.col("s") == s) & (F.col("prefix") == p) & (F.col("rank") == k)
-                for s, p, k, _ in small
-            ]
-        )
-    ).collect()
-    by_entry = {(r["s"], r["prefix"], r["rank"]): (r["h"], r["i"]) for r in found}
-    by_rank = {(s, original): by_entry[(s, p, k)] for s, p, k, original in small}
-    return {s: [by_rank[(s, k)] for k in ks] for s, ks in ranks.items()}
+    found = {
+        (r["s"], r["p"], r["position"]): (r["h"], r["i"])
+        for r in prefixed.withColumn("position", position).where(at_a_rank).collect()
+    }
+    return {s: [found[(s, *wanted[(s, k)])] for k in ks] for s, ks in ranks.items()}
 
 
 def at_or_before(hash_column: str, id_column: str, cut: CutKey) -> Column:
@@ -189,6 +182,34 @@ def _lookup(group: str, values: Mapping[object, Column]) -> Column:
     return picked
 
 
+def _with_range(
+    counts: DataFrame, group: str, value: str, profiles: Mapping[object, dict]
+) -> DataFrame:
+    """Adds `_range`: how many split points of its group lie below a value.
+
+    A binary search over a literal array, one projection per halving, so that it
+    stays inside generated code.
+    """
+    splits = {
+        key: sorted({float(x) for x in profile["splits"] if not math.isnan(x)})
+        for key, profile in profiles.items()
+    }
+    width = 1 << max((len(points) for points in splits.values()), default=1).bit_length()
+    padded = {
+        key: literal_array(points + [math.inf] * (width - 1 - len(points)))
+        for key, points in splits.items()
+    }
+    ranged = counts.withColumns({"_splits": _lookup(group, padded), "_range": F.lit(0)})
+    step = width // 2
+    while step:
+        below = F.get("_splits", F.col("_range") + (step - 1)) < F.col(value)
+        ranged = ranged.withColumn(
+            "_range", F.col("_range") + F.when(below, step).otherwise(0)
+        )
+        step //= 2
+    return ranged.drop("_splits")
+
+
 def running_sums(
     counts: DataFrame,
     group: str,
@@ -224,12 +245,7 @@ def running_sums(
         )
         return result, profiles
 
-    splits = {
-        key: literal_array(sorted({float(x) for x in profile["splits"] if not math.isnan(x)}))
-        for key, profile in profiles.items()
-    }
-    bucket = F.size(F.filter(_lookup(group, splits), lambda split: split < F.col(value)))
-    ranged = counts.withColumn("_range", bucket)
+    ranged = _with_range(counts, group, value, profiles)
     order = Window.partitionBy(group).orderBy("_range")
     starts = (
         ranged.groupBy(group, "_range")

@@ -58,13 +58,18 @@ def test_valid_readings_keep_their_values(spark):
 
 def test_several_faults_are_all_listed_in_order(spark):
     body = {**toys.READING, "type": "Q", "torque_nm": -2.0, "zeta": 1, "alpha": 2}
-    found, _ = violations(spark, json.dumps(body), "no json", "[1]", "{}")
+    good = json.dumps(toys.READING)
+    found, _ = violations(
+        spark, json.dumps(body), "no json", "[1]", "{}", None, "", good + " x", good[:-1],
+        good.replace('"type"', '"torque_nm": 1.0, "type"'), good.replace('"', "'"),
+    )
     assert found[0] == [
         ("type", "literal_error"), ("torque_nm", "greater_than_equal"),
         ("alpha", "extra_forbidden"), ("zeta", "extra_forbidden"),
     ]
     assert found[1] == found[2] == [("body", "json_invalid")]
     assert found[3] == [(field, "missing") for field in S.RAW_INPUTS]
+    assert found[4:] == [[("body", "json_invalid")]] * 6
 
 
 def test_column_contract_lists_both_mismatches(spark):
