@@ -51,13 +51,24 @@ def confusion_counts(scored: DataFrame) -> DataFrame:
 
 
 def confusion_normalised(scored: DataFrame) -> DataFrame:
+    return normalised_of(confusion_counts(scored))
+
+
+def normalised_of(cells: DataFrame) -> DataFrame:
     """Cells as a share of their true class; a class without rows gives 0."""
-    cells = confusion_counts(scored)
     totals = cells.groupBy("true").agg(F.sum("n_rows").alias("total"))
     share = F.coalesce(F.col("n_rows") / F.nullif(F.col("total"), F.lit(0)), F.lit(0.0))
     return cells.join(F.broadcast(totals), "true").select("true", "predicted", share.alias("share"))
 
 
+def _pairs_of(cells: DataFrame) -> DataFrame:
+    return cells.select(
+        classes.class_code("true").alias("y"),
+        classes.class_code("predicted").alias("pred"),
+        F.col("n_rows").alias("n"),
+    )
+
+
 def _ratio(numerator, denominator):
     return F.when(denominator > 0, numerator / denominator).otherwise(F.lit(0.0))
 
@@ -157,9 +168,13 @@ def ovr_auc(scored: DataFrame, plain_rows: int = RANK_ROWS) -> DataFrame:
 
 def per_class_metrics(scored: DataFrame) -> DataFrame:
     """precision, recall, F1, AUC and support of every class, in class order."""
+    return per_class_of(confusion_counts(scored), ovr_auc(scored))
+
+
+def per_class_of(cells: DataFrame, auc: DataFrame) -> DataFrame:
     return (
-        _class_scores(_confusion(scored))
-        .join(_auc(scored), "class_pos", "left")
+        _class_scores(_pairs_of(cells))
+        .join(auc, "class", "left")
         .orderBy("class_pos")
         .select("class", *_SCORES, "support")
     )
@@ -191,8 +206,13 @@ def fold_std(scored: DataFrame, fold: str = "fold") -> DataFrame:
 
 
 def false_alarms(scored: DataFrame) -> DataFrame:
-    top = classes.top_code(classes.checked_proba("proba"))
-    return scored.agg(F.count_if(classes.healthy("y") & (top != 0)).alias("false_alarms"))
+    """Healthy rows predicted as any failure."""
+    return false_alarms_of(confusion_counts(scored))
+
+
+def false_alarms_of(cells: DataFrame) -> DataFrame:
+    needless = (F.col("true") == S.NO_FAILURE) & (F.col("predicted") != S.NO_FAILURE)
+    return cells.agg(F.sum(F.when(needless, F.col("n_rows")).otherwise(0)).alias("false_alarms"))
 
 
 def metric_long(table: DataFrame, prefix: str, suffix: str = "") -> DataFrame:
@@ -237,7 +257,11 @@ def _summary(class_scores: DataFrame, *by: str) -> DataFrame:
 def summary_scores(scored: DataFrame) -> DataFrame:
     """One row: macro-F1 over all five classes (the test-set form), over the labels
     that occur (the fold form), and balanced accuracy over the true classes."""
-    return _summary(_class_scores(_confusion(scored)))
+    return summary_of(confusion_counts(scored))
+
+
+def summary_of(cells: DataFrame) -> DataFrame:
+    return _summary(_class_scores(_pairs_of(cells)))
 
 
 def cv_scores(scored: DataFrame, fold: str = "fold") -> DataFrame:
@@ -253,7 +277,10 @@ def cv_scores(scored: DataFrame, fold: str = "fold") -> DataFrame:
 
 def macro_auc(scored: DataFrame) -> DataFrame:
     """Mean AUC twice: undefined if any class is (out of fold), and over defined ones."""
-    auc = ovr_auc(scored)
+    return macro_of(ovr_auc(scored))
+
+
+def macro_of(auc: DataFrame) -> DataFrame:
     mean = F.avg("roc_auc")
     defined = F.count("roc_auc") == F.count("*")
     return auc.agg(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millwatch.operators import evaluation
+from millwatch.session import materialise
 
 
 def log_window(
@@ -26,11 +27,17 @@ def log_window(
 
 
 def evaluation_tables(scored: DataFrame, prefix: str) -> dict[str, DataFrame]:
-    """Everything an evaluation stores, by table name."""
-    per_class = evaluation.per_class_metrics(scored)
-    summary = evaluation.summary_scores(scored)
-    alarms = evaluation.false_alarms(scored)
-    macro = evaluation.macro_auc(scored)
+    """Everything an evaluation stores, by table name.
+
+    The confusion cells and the AUCs, a few rows each, are computed once; all
+    other tables but the errors follow from them.
+    """
+    cells = materialise(evaluation.confusion_counts(scored))
+    auc = materialise(evaluation.ovr_auc(scored))
+    per_class = evaluation.per_class_of(cells, auc)
+    summary = evaluation.summary_of(cells)
+    alarms = evaluation.false_alarms_of(cells)
+    macro = evaluation.macro_of(auc)
 
     def as_metrics(table: DataFrame) -> DataFrame:
         doubles = table.select(*[F.col(c).cast("double").alias(f"{prefix}_{c}") for c in table.columns])
@@ -42,8 +49,8 @@ def evaluation_tables(scored: DataFrame, prefix: str) -> dict[str, DataFrame]:
     return {
         "metrics": metrics,
         "per_class": per_class,
-        "confusion_counts": evaluation.confusion_counts(scored),
-        "confusion_normalised": evaluation.confusion_normalised(scored),
+        "confusion_counts": cells,
+        "confusion_normalised": evaluation.normalised_of(cells),
         "errors": evaluation.misclassified_rows(scored),
     }
 

@@ -97,12 +97,9 @@ def upsert_table(
         )
         manifest = {**manifest, **{b: version for b in changed}}
         (
-            spark.createDataFrame(
-                [(b, v, version) for b, v in sorted(manifest.items())],
-                "bucket int, version int, generation int",
-            )
+            spark.createDataFrame(sorted(manifest.items()), "bucket int, version int")
             .coalesce(1)
-            .write.mode("append")
-            .parquet(f"{root}/manifest")
+            .write.mode("overwrite")
+            .parquet(f"{root}/manifest/generation={version}")
         )
     return totals

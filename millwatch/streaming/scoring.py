@@ -10,6 +10,7 @@ a constraint is a bug and fails the batch.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -69,7 +70,14 @@ def score_requests(accepted: DataFrame, served: Served) -> DataFrame:
     return risk.log_rows(served.scorer(inputs), served.threshold, served.name, served.version)
 
 
-def process_batch(batch: DataFrame, batch_id: int, served: Served, paths: StreamPaths) -> None:
+def stream_id(spark: SparkSession, paths: StreamPaths) -> str:
+    """The id Spark keeps in the checkpoint. A stream that starts over without its
+    checkpoint counts its batches from 0 again, but under another id."""
+    return json.loads(spark.read.text(f"{paths.checkpoint}/metadata").first()["value"])["id"]
+
+
+def process_batch(batch: DataFrame, batch_id: str, served: Served, paths: StreamPaths) -> None:
+    """One micro-batch; `batch_id` names it for good, across restarts."""
     checked = quality.validate_readings(batch.select("body")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         accepted, rejected = quality.quarantine(checked)
@@ -86,9 +94,14 @@ def process_batch(batch: DataFrame, batch_id: int, served: Served, paths: Stream
 
 def start(requests: DataFrame, served: Served, paths: StreamPaths, once: bool = True) -> StreamingQuery:
     """Start scoring; `once` drains what is there and stops."""
-    writer = requests.writeStream.foreachBatch(
-        lambda batch, batch_id: process_batch(batch, batch_id, served, paths)
-    ).option("checkpointLocation", paths.checkpoint)
+
+    def handle(batch: DataFrame, number: int) -> None:
+        name = f"{stream_id(batch.sparkSession, paths)}-{number}"
+        process_batch(batch, name, served, paths)
+
+    writer = requests.writeStream.foreachBatch(handle).option(
+        "checkpointLocation", paths.checkpoint
+    )
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 

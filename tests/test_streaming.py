@@ -63,9 +63,9 @@ def test_later_files_continue_the_stream(spark, folder):
 def test_a_replayed_batch_publishes_the_same_ids(spark, folder):
     paths = scoring.StreamPaths(f"{folder}/out")
     batch = spark.createDataFrame([(json.dumps(toys.READING),), (json.dumps(HOT),)], "body string")
-    scoring.process_batch(batch, 0, served(), paths)
+    scoring.process_batch(batch, "s-0", served(), paths)
     before = {r["request_id"] for r in spark.read.parquet(paths.published).collect()}
-    scoring.process_batch(batch, 0, served(), paths)
+    scoring.process_batch(batch, "s-0", served(), paths)
     after = {r["request_id"] for r in spark.read.parquet(paths.published).collect()}
     assert before == after and len(after) == 2
     assert prediction_log.read_log(spark, paths.log).count() == 2
@@ -79,7 +79,8 @@ def test_nothing_is_published_when_the_log_write_fails(spark, folder):
     with pytest.raises(Exception, match="predictions_log_p_no_failure_check"):
         run(spark, folder, served(bad))
     paths = scoring.StreamPaths(f"{folder}/out")
-    assert not prediction_log.is_committed(spark, paths.log, 0)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|CANNOT_READ|UNABLE_TO_INFER"):
+        spark.read.parquet(paths.log)
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(paths.published)
     # Once the scorer is mended, the same batch goes through.
@@ -87,6 +88,18 @@ def test_nothing_is_published_when_the_log_write_fails(spark, folder):
     assert spark.read.parquet(paths.published).count() == 1
 
 
+def test_a_stream_without_its_checkpoint_loses_no_row(spark, folder):
+    """Batch numbers start over, batch names do not."""
+    put(folder, "1", toys.READING)
+    first = run(spark, folder, served())
+    put(folder, "1", HOT, HOT)
+    again = scoring.StreamPaths(first.root)
+    other = type("Elsewhere", (scoring.StreamPaths,), {"checkpoint": f"{folder}/new"})(again.root)
+    requests = scoring.read_requests(spark, f"{folder}/in")
+    scoring.start(requests, served(), other).awaitTermination()
+    assert prediction_log.read_log(spark, first.log).count() == 3
+
+
 def test_batch_and_stream_score_alike(spark, folder):
     put(folder, "1", toys.READING, HOT)
     paths = run(spark, folder, served())
