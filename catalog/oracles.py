@@ -292,7 +292,7 @@ _RULES |= {f"{f}_binary": f"{f} NOT IN (0, 1)" for f in FLAGS}
 ORACLES["validate_batch"] = sql(
     "readings",
     " UNION ALL ".join(
-        f"SELECT '{rule}' AS rule, count(*) FILTER (WHERE {bad}) AS n_bad FROM dirty"
+        f"SELECT '{rule}' AS rule, count(*) FILTER (WHERE coalesce({bad}, true)) AS n_bad FROM dirty"
         for rule, bad in _RULES.items()
     )
     + " UNION ALL SELECT 'udi_unique', count(*) - count(DISTINCT udi) FROM dirty",
@@ -686,15 +686,19 @@ ORACLES["error_margin"] = sql(
                 FROM topped WHERE pred <> y) WHERE mode IS NOT NULL)
         GROUP BY 1, 2""",
 )
+_SINGLE = """UNION ALL SELECT '{0}_false_alarms',
+        CAST(count(*) FILTER (WHERE y = 0 AND pred <> 0) AS DOUBLE) FROM topped"""
 ORACLES["evaluation_sink"] = sql(
     "topped",
-    f"""SELECT metric, value, 'run' AS run_id FROM ({_METRIC_ROWS}
-        UNION ALL SELECT 'oof_f1_macro_all', round(avg(f1), 6) FROM f
-        UNION ALL SELECT 'oof_f1_macro_seen', round(avg(f1) FILTER (WHERE support > 0 OR called > 0), 6) FROM f
-        UNION ALL SELECT 'oof_balanced_accuracy', round(avg(recall) FILTER (WHERE support > 0), 6) FROM f
-        UNION ALL SELECT 'oof_false_alarms', CAST(count(*) FILTER (WHERE y = 0 AND pred <> 0) AS DOUBLE) FROM topped
-        UNION ALL SELECT 'oof_roc_auc_macro_strict', CASE WHEN count(auc) = count(*) THEN round(avg(auc), 6) END FROM auc
-        UNION ALL SELECT 'oof_roc_auc_macro_defined', round(avg(auc), 6) FROM auc)""",
+    f"""SELECT metric, value, 'cv' AS run_id FROM ({_METRIC_ROWS} {_SINGLE.format('oof')}
+        UNION ALL SELECT 'oof_roc_auc_macro',
+            CASE WHEN count(auc) = count(*) THEN round(avg(auc), 6) END FROM auc)
+        UNION ALL SELECT metric, value, 'sealed' FROM ({_METRIC_ROWS.replace("'oof_", "'test_")}
+        {_SINGLE.format('test')}
+        UNION ALL SELECT 'test_roc_auc_macro', round(avg(auc), 6) FROM auc
+        UNION ALL SELECT 'test_f1_macro', round(avg(f1), 6) FROM f
+        UNION ALL SELECT 'test_balanced_accuracy',
+            round(avg(recall) FILTER (WHERE support > 0), 6) FROM f)""",
     _FIXED,
     ("modes",),
 )

@@ -178,8 +178,11 @@ def monitor_sink(spark, sf):
 
 @query
 def evaluation_sink(spark, sf):
+    """The metrics of an out-of-fold and of a sealed evaluation, through the sink and back."""
     root = scratch_path(spark, "evaluation")
-    results.write_evaluation(results.evaluation_tables(I.scored(spark, sf), "oof"), root, "run")
+    scored = I.scored(spark, sf)
+    results.write_evaluation(results.evaluation_tables(scored, "oof"), root, "cv")
+    results.write_evaluation(results.evaluation_tables(scored, "test", sealed=True), root, "sealed")
     return _rounded(spark.read.parquet(f"{root}/metrics"), "value")
 
 

@@ -407,7 +407,7 @@ def reference_steps(
     numeric = profile.where(F.col("value").isNotNull()).select("column", "value", "n")
     running, profiles = running_sums(
         numeric, "column", "value", ["n"], plain_rows=plain_rows,
-        profiles=group_profiles(numeric, "column", "value", ["n"]),
+        profiles=group_profiles(numeric, "column", "value", ["n"], plain_rows),
     )
     return ReferenceSteps(
         running, profiles, profile.where(F.col("column").isin(*categorical))

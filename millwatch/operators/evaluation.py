@@ -12,7 +12,12 @@ from pyspark.sql import functions as F
 
 from millwatch import schema as S
 from millwatch.functions import classes, physics
-from millwatch.operators.selection import RANK_ROWS, running_sums
+from millwatch.operators.selection import (
+    RANK_ROWS,
+    range_count,
+    running_sums,
+    split_shares,
+)
 from millwatch.session import dimension
 
 _SCORES = ("precision", "recall", "f1", "roc_auc")
@@ -110,21 +115,25 @@ def _class_scores(confusion: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def _score_profiles(scored: DataFrame, *by: str, buckets: int = 64) -> dict[int, dict]:
-    """Row count and split points of each class's scores, per `by`."""
-    shares = [i / buckets for i in range(1, buckets)]
-    sketches = [
-        F.percentile_approx(F.element_at("proba", k + 1), shares, 1000).alias(f"splits_{k}")
-        for k in range(len(S.CLASSES))
-    ]
-    rows = scored.groupBy(*by).agg(F.count("*").alias("n"), *sketches).collect()
+def _score_profiles(scored: DataFrame, *by: str, plain_rows: int) -> dict[int, dict]:
+    """Row count of each class's scores per `by`; for many rows also split points.
+
+    The split points are the same for every fold: they only balance the work.
+    """
+    counted = scored.groupBy(*by).agg(F.count("*").alias("n")).collect()
+    largest = max((row["n"] for row in counted), default=0)
+    splits: list[list[float]] = [[] for _ in S.CLASSES]
+    if largest > plain_rows:
+        shares, accuracy = split_shares(range_count(largest))
+        sketches = [
+            F.percentile_approx(F.element_at("proba", k + 1), shares, accuracy).alias(f"k{k}")
+            for k in range(len(S.CLASSES))
+        ]
+        splits = list(scored.agg(*sketches).first())
     return {
-        (row[by[0]] if by else 0) * len(S.CLASSES) + k: {
-            "distinct": row["n"],
-            "splits": row[f"splits_{k}"] or [],
-        }
-        for row in rows
-        for k in range(len(S.CLASSES))
+        (row[by[0]] if by else 0) * len(S.CLASSES) + k: {"distinct": row["n"], "splits": points}
+        for row in counted
+        for k, points in enumerate(splits)
     }
 
 
@@ -136,7 +145,7 @@ def _auc(scored: DataFrame, *by: str, plain_rows: int = RANK_ROWS) -> DataFrame:
     `by` is empty or one column of small integers, such as the fold.
     """
     width = len(S.CLASSES)
-    profiles = _score_profiles(scored, *by)
+    profiles = _score_profiles(scored, *by, plain_rows=plain_rows)
     group = F.col(by[0]) * width + F.col("k") if by else F.col("k")
     counts = (
         scored.select(*by, "y", F.posexplode(classes.checked_proba("proba")).alias("k", "score"))

@@ -21,7 +21,7 @@ def column_contract(raw: DataFrame, mapping: Mapping[str, str] = S.CSV_COLUMNS)
 
 
 def batch_rules() -> dict[str, Column]:
-    """Row rules of a staged batch whose flags are still 0/1; true means bad."""
+    """Row rules of a staged batch whose flags are still 0/1; true or NULL means bad."""
     columns = tuple(S.CSV_COLUMNS.values())
     rules = {f"{c}_null": F.col(c).isNull() for c in columns}
     rules["type_domain"] = ~F.col("type").isin(*S.GRADES)
@@ -39,11 +39,10 @@ def validate_batch(batch: DataFrame, key: str = "udi") -> DataFrame:
     """
     rules = batch_rules()
     per_rule = batch.agg(
-        *[F.count_if(F.coalesce(bad, F.lit(False))).alias(rule) for rule, bad in rules.items()]
+        *[F.count_if(F.coalesce(bad, F.lit(True))).alias(rule) for rule, bad in rules.items()]
     ).unpivot([], list(rules), "rule", "n_bad")
     repeated = (
-        batch.where(F.col(key).isNotNull())
-        .groupBy(key)
+        batch.groupBy(key)
         .agg(F.count("*").alias("n"))
         .agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n_bad"))
         .select(F.lit(f"{key}_unique").alias("rule"), F.col("n_bad").cast("long"))

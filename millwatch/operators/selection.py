@@ -16,12 +16,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millwatch.session import literal_array, materialise
+from millwatch.session import materialise
 
 _HEX_STEP = 3
 _HASH_WIDTH = 32
 # How many rows one task may sort: beyond it the range is narrowed further.
 RANK_ROWS = 200_000
+# How many values a range should hold, and how many ranges a group may have.
+RANGE_ROWS = 1_000_000
+_FEWEST_RANGES = 64
+_MOST_RANGES = 4096
 
 CutKey = tuple[str, int]
 
@@ -156,22 +160,45 @@ def kth_largest(
     return float(inside.orderBy(F.desc("x")).offset(offset).limit(1).first()["x"])
 
 
+def range_count(rows: int) -> int:
+    """How many value ranges to cut a group of that many values into: a power of two."""
+    wanted = max(1, -(-rows // RANGE_ROWS))
+    return min(max(1 << (wanted - 1).bit_length(), _FEWEST_RANGES), _MOST_RANGES)
+
+
+def split_shares(ranges: int) -> tuple[list[float], int]:
+    """The quantiles that cut a group into that many ranges, and the sketch accuracy."""
+    return [i / ranges for i in range(1, ranges)], max(1000, 10 * ranges)
+
+
 def group_profiles(
-    counts: DataFrame, group: str, value: str, sums: Sequence[str], buckets: int = 64
+    counts: DataFrame,
+    group: str,
+    value: str,
+    sums: Sequence[str],
+    plain_rows: int = RANK_ROWS,
 ) -> dict[object, dict]:
-    """Per group: distinct values, totals, weighted means and balanced split points."""
-    shares = [i / buckets for i in range(1, buckets)]
+    """Per group: distinct values, totals and weighted means; for large groups also
+    the points that split their values evenly."""
     rows = (
         counts.groupBy(group)
         .agg(
             F.count("*").alias("distinct"),
-            F.percentile_approx(value, shares, 1000).alias("splits"),
             *[F.sum(s).alias(f"total_{s}") for s in sums],
             *[(F.sum(F.col(s) * F.col(value)) / F.sum(s)).alias(f"mean_{s}") for s in sums],
         )
         .collect()
     )
-    return {row[group]: row.asDict() for row in rows}
+    profiles = {row[group]: row.asDict() for row in rows}
+    largest = max((p["distinct"] for p in profiles.values()), default=0)
+    if largest > plain_rows:
+        shares, accuracy = split_shares(range_count(largest))
+        sketches = counts.groupBy(group).agg(
+            F.percentile_approx(value, shares, accuracy).alias("splits")
+        )
+        for row in sketches.collect():
+            profiles[row[group]]["splits"] = row["splits"]
+    return profiles
 
 
 def _lookup(group: str, values: Mapping[object, Column]) -> Column:
@@ -195,11 +222,14 @@ def _with_range(
         for key, profile in profiles.items()
     }
     width = 1 << max((len(points) for points in splits.values()), default=1).bit_length()
-    padded = {
-        key: literal_array(points + [math.inf] * (width - 1 - len(points)))
-        for key, points in splits.items()
-    }
-    ranged = counts.withColumns({"_splits": _lookup(group, padded), "_range": F.lit(0)})
+
+    def literal(points: list[float]) -> Column:
+        # One text that folds into one literal, however many points there are.
+        padded = points + [math.inf] * (width - 1 - len(points))
+        return F.split(F.lit(",".join(map(repr, padded))), ",").cast("array<double>")
+
+    found = _lookup(group, {key: literal(points) for key, points in splits.items()})
+    ranged = counts.withColumns({"_splits": found, "_range": F.lit(0)})
     step = width // 2
     while step:
         below = F.get("_splits", F.col("_range") + (step - 1)) < F.col(value)
@@ -215,7 +245,6 @@ def running_sums(
     group: str,
     value: str,
     sums: Sequence[str],
-    buckets: int = 64,
     plain_rows: int = RANK_ROWS,
     profiles: dict[object, dict] | None = None,
 ) -> tuple[DataFrame, dict[object, dict]]:
@@ -226,15 +255,16 @@ def running_sums(
     values is one window partition. Larger ones are cut into value ranges at
     split points read beforehand; each range sums on its own and starts from the
     total of the ranges before it. The number of groups is a few columns times a
-    few classes or folds, so profiles and range totals stay small.
+    few classes or folds and a group has at most 4,096 ranges, so profiles and
+    range totals stay small.
 
     Without `profiles` the counts are computed once, kept, and profiled; that
     suits counts much smaller than the rows behind them. Given profiles need
-    `distinct` (an upper bound will do) and `splits`.
+    `distinct` (an upper bound will do) and, beyond `plain_rows`, `splits`.
     """
     if profiles is None:
         counts = materialise(counts)
-        profiles = group_profiles(counts, group, value, sums, buckets)
+        profiles = group_profiles(counts, group, value, sums, plain_rows)
     largest = max((p["distinct"] for p in profiles.values()), default=0)
     if largest <= plain_rows:
         window = Window.partitionBy(group).orderBy(value)

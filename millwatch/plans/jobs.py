@@ -111,7 +111,7 @@ def evaluate(readings: DataFrame, out: str) -> DataFrame:
     _, sealed = _rebuilt(readings, notes)
     encoded = projections.encode_labels(sealed)
     scored = materialise(models.score(bundles.load_model(out), encoded))
-    tables = results.evaluation_tables(scored, "test")
+    tables = results.evaluation_tables(scored, "test", sealed=True)
     results.write_evaluation(tables, f"{out}/sealed", notes["run_id"])
     bundles.write_notes(spark, out, "sealed_test", {"run_id": notes["run_id"]})
     return spark.read.parquet(f"{out}/sealed/metrics/run_id={notes['run_id']}")

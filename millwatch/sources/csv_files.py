@@ -39,7 +39,8 @@ def typed(contract: DataFrame) -> DataFrame:
     for field in S.READINGS_SCHEMA.fields:
         text = F.trim(F.col(field.name))
         value = F.when(~text.isin(*NULL_TOKENS), text)
-        target = "int" if field.name in S.FLAGS else field.dataType.simpleString()
+        # A flag may be written 1 or 1.0; half a flag must reach validation as it is.
+        target = "double" if field.name in S.FLAGS else field.dataType.simpleString()
         columns.append((value if target == "string" else value.try_cast(target)).alias(field.name))
     return contract.select(*columns)
 

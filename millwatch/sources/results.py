@@ -26,26 +26,31 @@ def log_window(
     )
 
 
-def evaluation_tables(scored: DataFrame, prefix: str) -> dict[str, DataFrame]:
+def evaluation_tables(scored: DataFrame, prefix: str, sealed: bool = False) -> dict[str, DataFrame]:
     """Everything an evaluation stores, by table name.
 
     The confusion cells and the AUCs, a few rows each, are computed once; all
-    other tables but the errors follow from them.
+    other tables but the errors follow from them. Out of fold, the macro AUC is
+    undefined if any class is; on the sealed rows it averages the defined ones,
+    next to macro-F1 over all classes and balanced accuracy.
     """
     cells = materialise(evaluation.confusion_counts(scored))
     auc = materialise(evaluation.ovr_auc(scored))
     per_class = evaluation.per_class_of(cells, auc)
-    summary = evaluation.summary_of(cells)
-    alarms = evaluation.false_alarms_of(cells)
-    macro = evaluation.macro_of(auc)
-
-    def as_metrics(table: DataFrame) -> DataFrame:
-        doubles = table.select(*[F.col(c).cast("double").alias(f"{prefix}_{c}") for c in table.columns])
-        return doubles.unpivot([], doubles.columns, "metric", "value")
-
+    macro = "roc_auc_macro_defined" if sealed else "roc_auc_macro_strict"
+    single = [
+        evaluation.false_alarms_of(cells),
+        evaluation.macro_of(auc).select(F.col(macro).alias("roc_auc_macro")),
+    ]
+    if sealed:
+        summary = evaluation.summary_of(cells)
+        single.append(summary.select(F.col("f1_macro_all").alias("f1_macro"), "balanced_accuracy"))
     metrics = evaluation.metric_long(per_class, prefix)
-    for table in (summary, alarms, macro):
-        metrics = metrics.unionByName(as_metrics(table))
+    for table in single:
+        named = table.select(
+            *[F.col(c).cast("double").alias(f"{prefix}_{c}") for c in table.columns]
+        )
+        metrics = metrics.unionByName(named.unpivot([], named.columns, "metric", "value"))
     return {
         "metrics": metrics,
         "per_class": per_class,

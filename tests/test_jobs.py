@@ -43,7 +43,7 @@ def test_the_path_from_threshold_to_monitoring(spark, readings, bundle, folder):
     assert chosen["oof_healthy_flagged"] <= chosen["budget"]
 
     metrics = {r["metric"]: r["value"] for r in jobs.evaluate(readings, out).collect()}
-    assert {"test_f1_macro_all", "test_false_alarms", "test_roc_auc_macro_defined"} <= set(metrics)
+    assert {"test_f1_macro", "test_balanced_accuracy", "test_false_alarms", "test_roc_auc_macro"} <= set(metrics)
     with pytest.raises(RuntimeError, match="already evaluated"):
         jobs.evaluate(readings, out)
 

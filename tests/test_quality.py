@@ -157,3 +157,15 @@ def test_response_contradictions(spark):
     assert found == [
         [], ["flagged_matches_tier"], ["high_matches_mode"], ["high_matches_mode"], ["runner_up_differs"],
     ]
+
+
+def test_a_missing_value_breaks_its_domain_rule_too(spark):
+    batch = staged(spark, [(1, {}), (2, {})])
+    none = F.when(F.col("udi") == 2, None)
+    batch = batch.withColumn("type", none.otherwise(F.col("type")))
+    batch = batch.withColumn("twf", none.otherwise(F.col("twf")))
+    bad = {r["rule"]: r["n_bad"] for r in quality.validate_batch(batch).where("n_bad > 0").collect()}
+    assert bad == {"type_null": 1, "type_domain": 1, "twf_null": 1, "twf_binary": 1}
+    keyless = batch.withColumn("udi", F.lit(None).cast("long"))
+    bad = {r["rule"]: r["n_bad"] for r in quality.validate_batch(keyless).where("n_bad > 0").collect()}
+    assert bad["udi_null"] == 2 and bad["udi_unique"] == 1

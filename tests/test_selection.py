@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from millwatch.operators.selection import kth_largest, rank_cuts, running_sums
+from millwatch.operators.selection import kth_largest, range_count, rank_cuts, running_sums
 
 
 @pytest.mark.parametrize("shape", ["uniform", "third_tied", "all_tied", "clustered"])
@@ -50,7 +50,7 @@ def test_running_sums_equal_a_full_sort(spark, plain_rows):
             for g in ("p", "q") for v in rng.sample(range(-500, 500), 400)]
     rows += [("single", 1.5, 2, 3)]
     df = spark.createDataFrame(rows, "g string, v double, a int, b int").repartition(4)
-    out, profiles = running_sums(df, "g", "v", ["a", "b"], buckets=16, plain_rows=plain_rows)
+    out, profiles = running_sums(df, "g", "v", ["a", "b"], plain_rows=plain_rows)
     expected = []
     for g in ("p", "q", "single"):
         mine = sorted(r for r in rows if r[0] == g)
@@ -62,3 +62,8 @@ def test_running_sums_equal_a_full_sort(spark, plain_rows):
         assert profiles[g]["distinct"] == len(mine)
     found = [tuple(r) for r in out.select("g", "v", "upto_a", "upto_b", "next_v").collect()]
     assert sorted(found) == sorted(expected)
+
+
+def test_ranges_grow_with_the_data_up_to_a_limit():
+    found = [range_count(n) for n in (0, 1, 64_000_000, 64_000_001, 10**9, 10**13)]
+    assert found == [64, 64, 64, 128, 1024, 4096]

@@ -30,6 +30,17 @@ def test_csv_with_bom_and_null_tokens(spark, folder):
     assert rows[2]["process_temp_k"] is None and rows[2]["rotational_speed_rpm"] is None
 
 
+def test_flags_may_be_written_as_decimals_but_not_as_halves(spark, folder):
+    row = "M14860,M,298.1,308.6,1551,42.8,0,1.0,0,0,0,0"
+    good = write_csv(folder, HEADER, f"1,{row},0.0", name="good.csv")
+    batch = csv_files.read_batch(spark, good)
+    quality.require_valid(batch)
+    assert quality.flags_to_bool(batch).first()["machine_failure"] is True
+    half = write_csv(folder, HEADER, f"1,{row},0.5", name="half.csv")
+    with pytest.raises(ValueError, match=r"issues: rnf_binary \(1 rows\)$"):
+        quality.require_valid(csv_files.read_batch(spark, half))
+
+
 def test_wrong_header_fails(spark, folder):
     path = write_csv(folder, HEADER.replace("UDI", "ID"), "1,M14860,M,298.1,308.6,1551,42.8,0,0,0,0,0,0,0")
     with pytest.raises(ValueError, match="Missing.*UDI.*Unexpected.*ID"):
