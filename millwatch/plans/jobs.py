@@ -26,8 +26,8 @@ from millwatch.sources import bundles, csv_files, prediction_log, results, snaps
 from millwatch.streaming import scoring
 
 THRESHOLD_RULE = (
-    "lowest t with high+elevated flagging <= floor(budget_fraction x "
-    "healthy OOF training rows); elevated if 1 - P(no_failure) > t"
+    "smallest score t that flags at most budget_fraction of the healthy training rows, "
+    "judged on out-of-fold scores; a row is elevated if its score is above t"
 )
 
 
@@ -35,7 +35,9 @@ def ingest(spark: SparkSession, csv_path: str, table: str, buckets: int = 64) ->
     """Load CSV files into the readings table; returns rows per action."""
     batch = csv_files.read_batch(spark, csv_path)
     quality.require_valid(batch)
-    return snapshots.upsert_table(quality.flags_to_bool(batch), table, buckets=buckets)
+    return snapshots.upsert_table(
+        quality.flags_to_bool(batch), table, buckets=buckets, proven_unique=True
+    )
 
 
 def _parts(labelled: DataFrame, cuts: splits.QuotaCuts) -> tuple[DataFrame, DataFrame]:

@@ -53,18 +53,29 @@ def read_table(
     return _read(spark, root, schema, _manifest(spark, root))
 
 
+def _require_unique(batch: DataFrame, key: str) -> None:
+    repeated = batch.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").limit(1).collect()
+    if repeated:
+        raise ValueError(f"{key} {repeated[0][key]} occurs {repeated[0]['n']} times in the batch")
+
+
 def upsert_table(
     batch: DataFrame,
     root: str,
     key: str = "udi",
     schema: T.StructType = S.READINGS_SCHEMA,
     buckets: int = 64,
+    proven_unique: bool = False,
 ) -> dict[str, int]:
-    """Upsert a validated batch; returns the rows per action (insert, update, unchanged).
+    """Upsert a batch; returns the rows per action (insert, update, unchanged).
 
-    Pick `buckets` once per table so that a bucket is a comfortable task.
+    Pick `buckets` once per table so that a bucket is a comfortable task. A key
+    that occurs twice has no single new value, and would be joined pair by pair:
+    unless validation has ruled that out, it is looked for first and refused.
     """
     spark = batch.sparkSession
+    if not proven_unique:
+        _require_unique(batch, key)
     manifest = _manifest(spark, root)
     staged = batch.select(*schema.names)
     # Bounded by the number of buckets, whatever the size of the batch.

@@ -64,6 +64,12 @@ def test_ingest_is_idempotent_and_repairs_one_corruption(spark, folder):
     assert snapshots.read_table(spark, table).count() == 200
 
 
+def test_a_repeated_key_is_refused_before_any_join(spark, folder):
+    rows = toys.readings_frame(spark, [(1, {}), (2, {}), (2, {"torque_nm": 1.0})])
+    with pytest.raises(ValueError, match="udi 2 occurs 2 times"):
+        snapshots.upsert_table(rows, folder)
+
+
 def test_invalid_file_loads_nothing(spark, folder):
     path = write_csv(
         folder, HEADER, "1,M14860,M,298.1,308.6,1551,42.8,0,0,0,0,0,0,2",
