@@ -42,7 +42,9 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not context.master.startswith("local"):
         raise RuntimeError(f"Set {_CHECKPOINT_DIR} to a folder that all executors share")
-    return _local_dirs.setdefault(context.applicationId, tempfile.mkdtemp(prefix="millwatch-"))
+    if context.applicationId not in _local_dirs:
+        _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="millwatch-")
+    return _local_dirs[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
