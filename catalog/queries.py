@@ -858,7 +858,7 @@ def workload_vs_expected(spark, sf):
 
 @query
 def drift_window(spark, sf):
-    reference = I.reference_window(spark, sf)
+    reference = materialise(drift.reference_profile(I.reference_window(spark, sf)))
     rows = []
     for name, fault in (("healthy", 0.0), ("fault", FAULT_K)):
         window, _ = drift.drift_window(
