@@ -4,10 +4,10 @@ import pytest
 
 import __spark_entry__ as driver
 import compare
-from catalog import inputs, queries
+from catalog import inputs, oracles, queries
 from millwatch.operators import drift, risk
 
-QUERIES, ORACLES = driver.queries(), driver.oracle_sql()
+QUERIES, ORACLES = dict(queries.QUERIES), dict(oracles.ORACLES)
 ROWS_ONLY = {"forest_model", "boosted_model", "batch_score"}
 
 
@@ -19,6 +19,7 @@ def oracle(sf_dir):
 def test_only_model_scores_lack_an_oracle():
     assert set(QUERIES) - set(ORACLES) == ROWS_ONLY
     assert set(ORACLES) <= set(QUERIES)
+    assert set(QUERIES) <= set(driver.queries()) and set(driver.oracle_sql()) <= set(driver.queries())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
