@@ -4,13 +4,14 @@ Every document of a source has the same expected number of copies. Its whole
 part is taken by all; the fraction is an inclusion probability. Blocks of
 documents move their probabilities along the null space of two balancing
 constraints, words and documents, until at most two stay undecided; those meet
-in blocks of the next level. The last two of a source are landed.
+in blocks of the next level. The last two of a source are landed with one exchange.
 """
 
 from __future__ import annotations
 
 import hashlib
 import random
+from bisect import bisect_left
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -107,20 +108,37 @@ def flight(sizes, probabilities, rng) -> list[float]:
     return found
 
 
-def land(sizes, probabilities) -> list[float]:
-    """Decide the last units: the choice that misses the words least, then the documents."""
-    left = [i for i, p in enumerate(probabilities) if 0 < p < 1]
+def land(sizes, probabilities, before) -> list[float]:
+    """Decide the last units and settle the words.
+
+    The undecided take the choice that misses the words of `before`, the
+    probabilities at the start, least, then the documents. What is still missed
+    is made up by one exchange of a taken unit for one that is not, which leaves
+    the number of documents alone; only units that were open may be exchanged.
+    """
+    found = list(probabilities)
+    left = [i for i, p in enumerate(found) if 0 < p < 1]
     best = min(
         range(1 << len(left)),
         key=lambda bits: (
-            abs(sum(((bits >> k & 1) - probabilities[i]) * int(sizes[i]) for k, i in enumerate(left))),
-            abs(sum((bits >> k & 1) - probabilities[i] for k, i in enumerate(left))),
+            abs(sum(((bits >> k & 1) - found[i]) * int(sizes[i]) for k, i in enumerate(left))),
+            abs(sum((bits >> k & 1) - found[i] for k, i in enumerate(left))),
             bits,
         ),
     )
-    found = list(probabilities)
     for k, i in enumerate(left):
         found[i] = float(best >> k & 1)
+    missed = sum((x - p) * int(n) for x, p, n in zip(found, before, sizes))
+    units = [(int(n), i) for i, (n, p) in enumerate(zip(sizes, before)) if EPS < p < 1 - EPS]
+    taken, free = ([u for u in units if found[u[1]] == x] for x in (1.0, 0.0))
+    free.sort()
+    choice = (abs(missed), -1, -1)
+    for n, i in taken if free else ():
+        k = bisect_left(free, (n - missed, -1))
+        for m, j in free[max(0, k - 1) : k + 1]:
+            choice = min(choice, (abs(missed - n + m), i, j))
+    if choice[1] >= 0:
+        found[choice[1]], found[choice[2]] = 0.0, 1.0
     return found
 
 
@@ -151,9 +169,10 @@ def allocate(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
         part = part.sort_values(["size", "doc_id", "mark"], ascending=[False, True, True], na_position="last", kind="stable")
         rng = random.Random(hashlib.sha256(repr((seed, None if pd.isna(key[0]) else key[0], int(key[1]), int(key[2]))).encode()).digest())
         base = [float(int(p + EPS)) for p in part["p"]]
-        p = flight(part["size"], [max(0.0, a - b) for a, b in zip(part["p"], base)], rng)
+        before, sizes = [max(0.0, a - b) for a, b in zip(part["p"], base)], part["size"].tolist()
+        p = flight(sizes, before, rng)
         if part["n_blocks"].iloc[0] == 1:
-            p = land(part["size"].tolist(), p)
+            p = land(sizes, p, before)
         return part.assign(p=[a + b for a, b in zip(base, p)])
 
     done, level = [], open_units

@@ -182,7 +182,7 @@ def frequent_words(docs: DataFrame, most: int = 5000) -> list[str]:
 def scan(docs: DataFrame, words: list[str] = (), least_log10: float = 8.0) -> DataFrame:
     """One row per document with its secrets.
 
-    Returns doc_id, n_assign, n_access, n_hex, n_guess, base_sha256, spans,
+    Returns doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_guess,
     max_log10_guesses. Positions count code points of the whole text; null and
     empty texts give no span, a repeated row gives its row again, an empty table
     an empty result. Extra columns are not looked at.
@@ -193,7 +193,7 @@ def scan(docs: DataFrame, words: list[str] = (), least_log10: float = 8.0) -> Da
     longest = max(map(len, ranks))
     schema = pa.schema(
         [("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()),
-         ("n_guess", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("max_log10_guesses", pa.float64())]
+         ("base_sha256", pa.string()), ("spans", pa.string()), ("n_guess", pa.int64()), ("max_log10_guesses", pa.float64())]
     )
 
     def row(doc_id, text):
@@ -202,7 +202,7 @@ def scan(docs: DataFrame, words: list[str] = (), least_log10: float = 8.0) -> Da
         spans = sorted([*base, *((s, e, 3) for s, e, _ in added)], key=lambda s: (s[0], s[2]))
         kinds = Counter(k for _, _, k in spans)
         digest = hashlib.sha256(joined(base).encode()).hexdigest()
-        return doc_id, kinds[0], kinds[1], kinds[2], kinds[3], digest, joined(spans), max((c for *_, c in added), default=None)
+        return doc_id, kinds[0], kinds[1], kinds[2], digest, joined(spans), kinds[3], max((c for *_, c in added), default=None)
 
     def run(parts):
         for part in parts:
@@ -210,5 +210,5 @@ def scan(docs: DataFrame, words: list[str] = (), least_log10: float = 8.0) -> Da
             yield from common.batches(map(row, ids, found), schema)
 
     return common.texts(docs).select(common.DOC, "text").mapInArrow(
-        run, "doc_id long, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string, max_log10_guesses double"
+        run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long, max_log10_guesses double"
     )
