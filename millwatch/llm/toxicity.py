@@ -112,8 +112,8 @@ def learn(documents: DataFrame, labels: DataFrame, sample_rows: int = 12_000, mo
         labels.select(F.col("doc_id").cast("long").alias(common.DOC), F.col("toxic").cast("int").alias("toxic"))
         .filter(F.col(common.DOC).isNotNull() & F.col("toxic").isNotNull()).filter(~held_out(common.DOC))
         .groupBy(common.DOC).agg(F.max("toxic").alias("toxic"))
-        .orderBy(F.xxhash64(common.DOC), common.DOC).limit(sample_rows)
     )
+    marked = common.hashed_sample(marked, common.DOC, sample_rows)
     text = common.texts(documents).select(common.DOC, "text")
     sample = text.join(F.broadcast(marked), common.DOC).select("text", "toxic").cache()
     counts = pa.schema([("entry", pa.string()), ("pos", pa.int64()), ("neg", pa.int64())])

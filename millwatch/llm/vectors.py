@@ -33,7 +33,7 @@ def vectors(embeddings: DataFrame, nonzero: bool) -> DataFrame:
 def sample(rows: DataFrame, most: int) -> dict[int, np.ndarray]:
     """At most `most` vectors, those of the smallest id hashes, by their length."""
     found: dict[int, list] = {}
-    for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).collect():
+    for r in common.hashed_sample(rows, "vec_id", most).collect():
         found.setdefault(r["dim"], []).append(r["v"])
     return {dim: np.array(v, dtype=float) for dim, v in found.items()}
 
