@@ -156,7 +156,8 @@ def joined(spans) -> str:
 def frequent_words(docs: DataFrame, most: int = 5000) -> list[str]:
     """The `most` most frequent lower-case words of 4 to 20 letters over all documents, in falling order.
 
-    `most` is the size of a guesser's word list: it bounds what reaches the driver.
+    `most` is the size of a guesser's word list: it bounds what reaches the
+    driver. Words that occur once are in no such list.
     """
     schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
 
@@ -176,7 +177,16 @@ def frequent_words(docs: DataFrame, most: int = 5000) -> list[str]:
         .filter(F.col("word").rlike(r"^\p{L}{4,20}$"))
         .groupBy("word").agg(F.sum("n").alias("n"))
     )
-    return [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()]
+    counted = common.stored(counted.filter("n > 1"), "words")
+    # counts by powers of two tell a bound that few words more than wanted reach
+    powers = {r["power"]: r["words"] for r in counted.groupBy(F.floor(F.log2("n")).alias("power")).agg(F.count("*").alias("words")).collect()}
+    reached, least = 0, 0
+    for least in sorted(powers, reverse=True):
+        reached += powers[least]
+        if reached >= most:
+            break
+    frequent = counted.filter(F.floor(F.log2("n")) >= least)
+    return [r["word"] for r in frequent.orderBy(F.desc("n"), "word").limit(most).collect()]
 
 
 def scan(docs: DataFrame, words: list[str] = (), least_log10: float = 8.0) -> DataFrame:
