@@ -28,9 +28,10 @@ from millwatch.llm import common
 #: Fixed value: the length of what counts as a repeat, in bytes.
 LENGTH = 400
 GRAM = 200
-#: Windows per node in the rounds after the first. The offset of a window's
-#: sampled position is below 2**8, as nodes hold it in a byte.
-WIDTHS = (34, 6, 1)
+#: Windows per node in the rounds after the first; each width divides the one
+#: before, so that no window belongs to two nodes of a position. The offset of a
+#: window's sampled position is below 2**8, as nodes hold it in a byte.
+WIDTHS = (36, 6, 1)
 _SLICE = 1 << 20
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _hash = xxhash.xxh3_64_intdigest
@@ -70,7 +71,9 @@ def sampled(data: bytes, length: int = LENGTH, q: int = GRAM) -> tuple[np.ndarra
         first = np.flatnonzero(np.r_[True, named[1:] != named[:-1]])
         last = np.r_[first[1:], len(named)] - 1
         found.append((named[first] + at, h[named[first]].view(np.int64), first + at, last + at))
-    return tuple(np.concatenate(x) for x in zip(*found))
+    at, grams, first, last = (np.concatenate(x) for x in zip(*found))
+    new = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])  # a position that two slices name is one
+    return at[new], grams[new], first[new], last[np.r_[new[1:] - 1, len(at) - 1]]
 
 
 # A node is a position, the offsets of the windows that name it, and the first offset of the node's range
@@ -242,6 +245,8 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, q: int = GRAM, widths:
     reach = length - q
     if not 8 <= q <= length or reach > 255:
         raise ValueError("q must be at least 8 and leave at most 255 offsets; choose a longer q")
+    if widths[-1] != 1 or any(a % b for a, b in zip(widths, widths[1:])):
+        raise ValueError("each width must divide the one before, and the last must be 1")
     base = common.stored(scan(docs, length, q), "repeats-scan")
     each = base.select("number", F.explode(F.arrays_zip("nodes", "coarse", "fine")).alias("x")).select("number", "x.nodes", "x.coarse", "x.fine")
     first = settle(each.withColumnRenamed("nodes", "node"), "repeats-0")
