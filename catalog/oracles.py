@@ -200,6 +200,7 @@ CHAIN["chosen"] = (*CHAIN["topped"], "budgeted", "chosen")
 CHAIN["budget_tiers"] = (*CHAIN["second"], "budgeted", "chosen", "budget_tiers")
 CHAIN["split"] = (*CHAIN["training"], "class_n", "quota", "split")
 CHAIN["train_part"] = (*CHAIN["split"], "train_part")
+CHAIN["monitored"] = tuple(dict.fromkeys((*CHAIN["log"], *CHAIN["train_part"])))
 
 
 def sql(chain: str, body: str, more: dict[str, str] | None = None, dims: tuple[str, ...] = ()) -> str:
@@ -225,6 +226,9 @@ ORACLES["upsert_diff"] = sql(
     "readings", f"SELECT {ACTION} AS action, count(*) AS n_rows FROM readings GROUP BY 1"
 )
 ORACLES["upsert"] = sql("readings", f"SELECT *, {ACTION} AS action FROM ({STAGED})")
+ORACLES["rebucket"] = sql(
+    "readings", "SELECT count(*) AS n_rows, count(*) AS n_keys, 0::BIGINT AS n_changed FROM readings"
+)
 ORACLES["upsert_rerun"] = sql(
     "readings",
     """SELECT 'load' AS run, count(*) AS n_insert, 0::BIGINT AS n_update, 0::BIGINT AS n_unchanged
@@ -373,7 +377,8 @@ ORACLES["response_consistency"] = sql(
     """SELECT request_id, concat_ws(',',
          CASE WHEN flagged <> (tier <> 'low') THEN 'flagged_matches_tier' END,
          CASE WHEN (tier = 'high') <> (predicted_mode <> 'no_failure') THEN 'high_matches_mode' END,
-         CASE WHEN k % 13 = 0 THEN 'runner_up_differs' END) AS violations
+         CASE WHEN k % 13 = 0 THEN 'runner_up_differs' END,
+         CASE WHEN k % 17 = 0 THEN 'confidence_score_range' END) AS violations
        FROM (SELECT *, CASE WHEN k % 7 = 0 THEN risk_tier = 'low' ELSE risk_tier <> 'low' END AS flagged,
                 CASE WHEN k % 11 = 0 THEN 'high' ELSE risk_tier END AS tier
              FROM (SELECT *, CAST('0x' || substr(request_id, 1, 4) AS BIGINT) AS k FROM log))""",
@@ -819,9 +824,10 @@ ORACLES["workload_vs_expected"] = sql(
 )
 _LOGGED = {
     **_DRIFT,
-    "shifted": f"""SELECT udi, 'healthy' AS scenario, {cols(*RAW)}, risk_tier FROM log WHERE udi % 5 = 0
+    "ref": f"SELECT udi, {cols(*FEATURES)} FROM train_part",
+    "shifted": f"""SELECT udi, 'healthy' AS scenario, {cols(*RAW)}, risk_tier FROM log WHERE created_at >= {CUTOFF}
         UNION ALL SELECT udi, 'fault', type, air_temp_k + 2e0, {cols(*RAW[2:])}, risk_tier
-        FROM log WHERE udi % 5 = 0""",
+        FROM log WHERE created_at >= {CUTOFF}""",
     "loads": f"""SELECT scenario, count(*) AS n_current, {_SHARE_COLUMNS},
         round({_FLAGGED} / {EXPECTED_FLAGGED}, 6) AS flagged_vs_expected FROM cur GROUP BY scenario""",
     "verdicts": f"""SELECT scenario, {_VERDICT} AS verdict,
@@ -835,9 +841,9 @@ _WINDOW_ROW = f"""'2024-01-20T00:00:00+00:00' AS since,
     CASE WHEN n_current >= {MIN_ROWS} THEN n_drifted END AS n_drifted,
     CASE WHEN n_current >= {MIN_ROWS} THEN drifted_columns END AS drifted_columns"""
 _FROM_WINDOWS = "FROM loads JOIN verdicts USING (scenario)"
-ORACLES["drift_window"] = sql("log", f"SELECT scenario, {_WINDOW_ROW} {_FROM_WINDOWS}", _LOGGED)
+ORACLES["drift_window"] = sql("monitored", f"SELECT scenario, {_WINDOW_ROW} {_FROM_WINDOWS}", _LOGGED)
 ORACLES["monitor_sink"] = sql(
-    "log", f"SELECT scenario AS window_id, {_WINDOW_ROW} {_FROM_WINDOWS}", _LOGGED
+    "monitored", f"SELECT scenario AS window_id, {_WINDOW_ROW} {_FROM_WINDOWS}", _LOGGED
 )
 
 

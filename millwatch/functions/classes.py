@@ -52,7 +52,7 @@ def checked_proba(proba: str | Column) -> Column:
     proba = _col(proba)
     wrong = F.raise_error(
         F.concat(
-            F.lit(f"Expected probabilities of shape (n, {len(S.CLASSES)}), got width "),
+            F.lit(f"A row needs one probability for each of {len(S.CLASSES)} classes; it has "),
             F.coalesce(F.size(proba).cast("string"), F.lit("NULL")),
         )
     )

@@ -157,7 +157,7 @@ def tier_shares(log: DataFrame) -> DataFrame:
 
 def shares_of(counts: DataFrame) -> DataFrame:
     """Shares from one row of tier counts."""
-    undefined = F.raise_error(F.lit("No requests in the window: tier shares are undefined"))
+    undefined = F.raise_error(F.lit("Shares need a request at least; widen the window, which is empty"))
     total = sum((F.col(t) for t in S.TIERS[1:]), F.col(S.TIERS[0]))
     checked = F.when(total > 0, total).otherwise(undefined.cast("long"))
     shares = counts.select(*[(F.col(t) / checked).alias(f"share_{t}") for t in S.TIERS])

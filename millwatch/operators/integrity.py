@@ -37,7 +37,7 @@ def verify_fingerprint(rows: DataFrame, expected: str, *columns: str) -> None:
     """Fail unless the rows are the ones the fingerprint was taken of."""
     actual = fingerprint_hex(rows, *columns)
     if actual != expected:
-        raise RuntimeError(f"Test set changed since training: expected {expected}, got {actual}")
+        raise RuntimeError(f"These are not the rows sealed at training (then {expected}, now {actual}); restore them or train again")
 
 
 def sealed_columns(id_column: str = "udi") -> tuple[str, ...]:

@@ -61,10 +61,10 @@ def require_reproduced(recomputed: DataFrame, logged: DataFrame, run_id: str) ->
     cells = matrix_differences(recomputed, logged).collect()
     if cells:
         shown = ", ".join(
-            f"{c['true']}/{c['predicted']}: got {c['n_recomputed']}, logged {c['n_logged']}"
+            f"{c['true']} as {c['predicted']} {c['n_recomputed']} times ({c['n_logged']} logged)"
             for c in cells
         )
-        raise RuntimeError(f"Predictions do not reproduce run {run_id}'s logged matrix: {shown}")
+        raise RuntimeError(f"Recomputing run {run_id} gives other counts than its log: {shown}")
 
 
 def multiset_difference(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -70,11 +70,11 @@ def choose_threshold(
     room = budget - n_high
     if room < 0:
         raise ValueError(
-            f"High tier alone flags {n_high} healthy rows, above the budget of {budget}"
+            f"The high tier takes {n_high} healthy rows, more than the {budget} to be reviewed; raise the budget"
         )
     if room >= n_healthy - n_high:
         raise ValueError(
-            f"Budget of {budget} healthy rows would flag every candidate; no threshold is needed"
+            f"All healthy rows below the high tier fit into a review of {budget}; lower the budget to get a threshold"
         )
     threshold = kth_largest(
         healthy.where(~F.col("is_high")), "score", room, rank_rows=rank_rows,

@@ -31,7 +31,7 @@ THRESHOLD_RULE = (
 )
 
 
-def ingest(spark: SparkSession, csv_path: str, table: str, buckets: int = 64) -> dict[str, int]:
+def ingest(spark: SparkSession, csv_path: str, table: str, buckets: int | None = None) -> dict[str, int]:
     """Load CSV files into the readings table; returns rows per action."""
     batch = csv_files.read_batch(spark, csv_path)
     quality.require_valid(batch)
@@ -109,7 +109,7 @@ def evaluate(readings: DataFrame, out: str) -> DataFrame:
     spark = readings.sparkSession
     notes = bundles.read_notes(spark, out, "training")
     if bundles.has_notes(spark, out, "sealed_test"):
-        raise RuntimeError(f"Sealed test set already evaluated on run {notes['run_id']}")
+        raise RuntimeError(f"Run {notes['run_id']} has scored its sealed rows once; train a new run to score them again")
     _, sealed = _rebuilt(readings, notes)
     encoded = projections.encode_labels(sealed)
     scored = materialise(models.score(bundles.load_model(out), encoded))
@@ -184,7 +184,7 @@ def monitor(
     prediction_log.require_aware(since)
     expected = bundles.read_notes(spark, out, "threshold")["expected_flagged_share"]
     reference = spark.read.parquet(f"{out}/reference_profile")
-    current = prediction_log.window_scan(prediction_log.read_log(spark, log_root), since)
+    current = prediction_log.window_scan(prediction_log.read_log(spark, log_root, since), since)
     window, verdicts = drift.drift_window(
         reference, current, since.isoformat(), expected_flagged=expected
     )

@@ -66,6 +66,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
 
 
+def matching_paths(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths of a glob pattern, sorted, on whatever file system its scheme names."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(jvm_path)
+    return sorted(status.getPath().toString() for status in found or [])
+
+
 def literal_array(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 

@@ -34,10 +34,12 @@ def typed(contract: DataFrame) -> DataFrame:
     """Contract columns with their types; flags stay 0/1 until they are validated.
 
     A text that is no value of its type becomes NULL, which validation reports.
+    Numbers may stand among spaces; texts are kept as they are, so that a padded
+    one breaks its rule.
     """
     columns = []
     for field in S.READINGS_SCHEMA.fields:
-        text = F.trim(F.col(field.name))
+        text = F.col(field.name) if field.dataType.simpleString() == "string" else F.trim(F.col(field.name))
         value = F.when(~text.isin(*NULL_TOKENS), text)
         # A flag may be written 1 or 1.0; half a flag must reach validation as it is.
         target = "double" if field.name in S.FLAGS else field.dataType.simpleString()

@@ -1,4 +1,9 @@
-"""The append-only prediction log: Parquet by batch and log date."""
+"""The append-only prediction log: Parquet by log date, then batch.
+
+A batch is one folder, log_date=D/batch_id=B, named by the day it was logged.
+Its success marker commits it; folders without one are never read. Readers list
+the dates they need and the batches below those.
+"""
 
 from __future__ import annotations
 
@@ -10,27 +15,21 @@ from pyspark.sql import types as T
 
 from millwatch import schema as S
 from millwatch.operators import quality
-from millwatch.session import path_exists
+from millwatch.session import matching_paths
 
 CURRENT_COLUMNS = (*S.FEATURES, "risk_tier", "predicted_mode")
-_STORED = T.StructType([*S.LOG_SCHEMA.fields, T.StructField("log_date", T.DateType())])
+_PARTITIONS = [T.StructField("log_date", T.DateType()), T.StructField("batch_id", T.StringType())]
+_DONE = "_SUCCESS"
 
 
-def batch_path(root: str, batch_id: int | str) -> str:
-    return f"{root}/batch_id={batch_id}"
+def _committed(spark: SparkSession, root: str, batch_id: int | str) -> str | None:
+    """The folder of a committed batch, whatever its date."""
+    found = matching_paths(spark, f"{root}/log_date=*/batch_id={batch_id}/{_DONE}")
+    return found[0].removesuffix(f"/{_DONE}") if found else None
 
 
 def is_committed(spark: SparkSession, root: str, batch_id: int | str) -> bool:
-    return path_exists(spark, f"{batch_path(root, batch_id)}/_SUCCESS")
-
-
-def require_log_columns(records: DataFrame) -> None:
-    missing = sorted(set(S.LOG_COLUMNS) - set(records.columns))
-    unexpected = sorted(set(records.columns) - set(S.LOG_COLUMNS))
-    if missing or unexpected:
-        raise ValueError(
-            f"Prediction record has missing keys {missing} and unexpected keys {unexpected}"
-        )
+    return _committed(spark, root, batch_id) is not None
 
 
 def append(records: DataFrame, root: str, batch_id: int | str) -> DataFrame:
@@ -38,11 +37,15 @@ def append(records: DataFrame, root: str, batch_id: int | str) -> DataFrame:
 
     Every named constraint holds or the write fails and nothing is committed. Ids
     and times are drawn while writing, so the committed files are the only place
-    to read them from; a batch that is already committed is not written again.
+    to read them from; a batch that is already committed is not written again. A
+    bloom filter on the id lets lookups skip row groups.
     """
     spark = records.sparkSession
-    require_log_columns(records)
-    if not is_committed(spark, root, batch_id):
+    quality.require_columns(records, S.LOG_COLUMNS, "A log record")
+    path = _committed(spark, root, batch_id)
+    if path is None:
+        today = datetime.datetime.now(datetime.timezone.utc).date()
+        path = f"{root}/log_date={today}/batch_id={batch_id}"
         stamped = quality.strict(
             records.select(*S.LOG_COLUMNS), quality.log_checks(), S.LOG_COLUMNS
         ).select(
@@ -51,33 +54,35 @@ def append(records: DataFrame, root: str, batch_id: int | str) -> DataFrame:
             *S.LOG_COLUMNS,
         )
         (
-            stamped.withColumn("log_date", F.to_date("created_at"))
-            .write.mode("overwrite")
-            .partitionBy("log_date")
-            .parquet(batch_path(root, batch_id))
+            stamped.write.mode("overwrite")
+            .option("parquet.bloom.filter.enabled#request_id", "true")
+            .parquet(path)
         )
-    return spark.read.schema(_STORED).parquet(batch_path(root, batch_id)).drop("log_date")
+    return spark.read.schema(S.LOG_SCHEMA).parquet(path)
 
 
-def read_log(spark: SparkSession, root: str) -> DataFrame:
-    """All committed rows, with the `log_date` and `batch_id` partition columns."""
-    schema = T.StructType([*_STORED.fields, T.StructField("batch_id", T.StringType())])
-    return spark.read.schema(schema).parquet(root)
+def _first_date(since: datetime.datetime) -> datetime.date:
+    """The first date that can hold rows of a window: a batch may cross midnight, in any zone."""
+    return since.astimezone(datetime.timezone.utc).date() - datetime.timedelta(days=1)
 
 
-def require_aware(since: datetime.datetime) -> None:
-    if since.tzinfo is None:
-        raise ValueError(
-            "since must be timezone-aware (created_at is an instant); got a naive datetime"
-        )
+def read_log(spark: SparkSession, root: str, since: datetime.datetime | None = None) -> DataFrame:
+    """Committed rows, with the `log_date` and `batch_id` partition columns; with `since`, of the dates it needs."""
+    dates = matching_paths(spark, f"{root}/log_date=*")
+    if since is not None:
+        require_aware(since)
+        dates = [d for d in dates if d.rpartition("=")[2] >= _first_date(since).isoformat()]
+    done = [p for d in dates for p in matching_paths(spark, f"{d}/batch_id=*/{_DONE}")]
+    schema = T.StructType([*S.LOG_SCHEMA.fields, *_PARTITIONS])
+    if not done:
+        return spark.createDataFrame([], schema)
+    paths = [p.removesuffix(f"/{_DONE}") for p in done]
+    return spark.read.option("basePath", root).schema(schema).parquet(*paths)
 
 
-def parse_since(text: str) -> datetime.datetime:
-    """An ISO 8601 time with a UTC offset."""
-    since = datetime.datetime.fromisoformat(text)
+def require_aware(since: datetime.datetime) -> None:
     if since.tzinfo is None:
-        raise ValueError(f"{text!r} has no UTC offset; add one, e.g. {text}+05:30")
-    return since
+        raise ValueError(f"A window needs a timezone to begin at an instant; add one to {since}")
 
 
 def since_rows(log: DataFrame, since: datetime.datetime) -> DataFrame:
@@ -86,10 +91,9 @@ def since_rows(log: DataFrame, since: datetime.datetime) -> DataFrame:
     Dates are those of the session time zone; one day of slack covers any zone.
     """
     require_aware(since)
-    utc = since.astimezone(datetime.timezone.utc)
-    rows = log.where(F.col("created_at") >= F.lit(utc))
+    rows = log.where(F.col("created_at") >= F.lit(since.astimezone(datetime.timezone.utc)))
     if "log_date" in log.columns:
-        rows = rows.where(F.col("log_date") >= F.lit(utc.date() - datetime.timedelta(days=1)))
+        rows = rows.where(F.col("log_date") >= F.lit(_first_date(since)))
     return rows
 
 

@@ -87,5 +87,5 @@ def test_unknown_grade_fails(spark):
 
 def test_wrong_number_of_classes_fails(spark):
     df = spark.createDataFrame([([0.5, 0.5],)], "proba array<double>")
-    with pytest.raises(Exception, match="Expected probabilities of shape"):
+    with pytest.raises(Exception, match="needs one probability for each of 5"):
         df.select(classes.confidence("proba")).collect()

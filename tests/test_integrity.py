@@ -42,7 +42,7 @@ def test_any_change_changes_the_digest(spark, rows):
 def test_verification_names_both_digests(spark):
     df = spark.createDataFrame(ROWS, SCHEMA)
     integrity.verify_fingerprint(df, integrity.fingerprint_hex(df))
-    with pytest.raises(RuntimeError, match="Test set changed since training"):
+    with pytest.raises(RuntimeError, match="not the rows sealed at training"):
         integrity.verify_fingerprint(df.limit(2), integrity.fingerprint_hex(df))
 
 
@@ -57,5 +57,5 @@ def test_reproduction_names_the_cells(spark):
     one = spark.createDataFrame([("TWF", "HDF", 3)], "true string, predicted string, n_rows long")
     two = spark.createDataFrame([("TWF", "HDF", 4)], "true string, predicted string, n_rows long")
     require_reproduced(one, one, "r1")
-    with pytest.raises(RuntimeError, match="r1.*TWF/HDF: got 3, logged 4"):
+    with pytest.raises(RuntimeError, match=r"r1.*TWF as HDF 3 times \(4 logged\)"):
         require_reproduced(one, two, "r1")

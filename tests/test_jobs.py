@@ -44,7 +44,7 @@ def test_the_path_from_threshold_to_monitoring(spark, readings, bundle, folder):
 
     metrics = {r["metric"]: r["value"] for r in jobs.evaluate(readings, out).collect()}
     assert {"test_f1_macro", "test_balanced_accuracy", "test_false_alarms", "test_roc_auc_macro"} <= set(metrics)
-    with pytest.raises(RuntimeError, match="already evaluated"):
+    with pytest.raises(RuntimeError, match="scored its sealed rows once"):
         jobs.evaluate(readings, out)
 
     model = jobs.load_served(spark, out, "failure-classifier", 1)
@@ -69,7 +69,7 @@ def test_the_path_from_threshold_to_monitoring(spark, readings, bundle, folder):
 def test_a_changed_test_row_stops_the_threshold_job(readings, bundle):
     out, _ = bundle
     moved = readings.withColumn("torque_nm", F.nanvl("torque_nm", F.lit(0.0)) + 1e-9)
-    with pytest.raises(RuntimeError, match="Test set changed"):
+    with pytest.raises(RuntimeError, match="not the rows sealed"):
         jobs.choose_threshold(moved, out)
 
 

@@ -11,33 +11,33 @@ def scored(spark):
 
 def test_confidence_is_one_minus_p_no_failure(scored):
     found = [r[1] for r in risk.confidence_scores(scored).orderBy("udi").collect()]
-    assert found == pytest.approx([0.05, 0.20, 0.30, 0.60, 0.50, 0.90])
+    assert found == pytest.approx([0.08, 0.15, 0.25, 0.35, 0.70, 0.55, 0.80])
 
 
 @pytest.mark.parametrize("rank_rows", [1, 200_000])
 def test_threshold_sits_just_past_the_room(scored, rank_rows):
-    choice = risk.choose_threshold(scored, 0.5, rank_rows=rank_rows)
-    assert choice.threshold == pytest.approx(0.20)
-    assert (choice.budget, choice.room) == (2, 1)
+    choice = risk.choose_threshold(scored, 0.6, rank_rows=rank_rows)
+    assert choice.threshold == pytest.approx(0.15)
+    assert (choice.budget, choice.room) == (3, 2)
 
 
 def test_tiers_follow_the_rule_and_the_boundary_stays_low(scored):
-    threshold = risk.choose_threshold(scored, 0.5).threshold
+    threshold = risk.choose_threshold(scored, 0.6).threshold
     rows = risk.assign_tiers(scored, threshold).orderBy("udi").collect()
-    assert [r["risk_tier"] for r in rows] == ["low", "low", "elevated", "high", "elevated", "high"]
+    assert "".join(r["risk_tier"][0] for r in rows) == "lleeheh"
     assert rows[1]["confidence_score"] == threshold
     counts = risk.flag_counts(risk.assign_tiers(scored, threshold)).first()
-    assert tuple(counts) == (2, 1)
+    assert tuple(counts) == (3, 0)
 
 
-@pytest.mark.parametrize(("budget", "message"), [(0.1, "High tier alone"), (1.0, "no threshold is needed")])
+@pytest.mark.parametrize(("budget", "message"), [(0.1, "takes 1 healthy rows, more than the 0"), (1.0, "fit into a review of 5")])
 def test_impossible_budgets_are_rejected(scored, budget, message):
     with pytest.raises(ValueError, match=message):
         risk.choose_threshold(scored, budget)
 
 
 def test_label_and_score_counts_must_match(scored):
-    with pytest.raises(ValueError, match="5 labels but 6"):
+    with pytest.raises(ValueError, match="5 labels but 7"):
         reconcile.require_aligned(scored.select("udi"), scored.where("udi < 106").select("udi"))
 
 
