@@ -8,6 +8,7 @@ is ordered afterwards is distinct sensor values, not rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -350,6 +351,9 @@ WINDOW_SCHEMA = (
 # ---------------------------------------------------------------------------
 
 
+_RANKED_TOGETHER = 5000
+
+
 def healthy_windows(
     rows: DataFrame, size: int, windows: int, seed: str | int = S.SEED, id_column: str = "udi"
 ) -> DataFrame:
@@ -357,36 +361,45 @@ def healthy_windows(
 
     Rows are dealt in a seeded hash order, `size` to a window. When they run out,
     they are dealt again in a new order (a lap), so the work is about
-    windows x size rows however large the table is: with one lap, rows beyond
-    the last needed rank are cut off by their hash before anything is ordered.
+    windows x size rows however large the table is; with one lap, rows beyond
+    the last needed rank are cut off by their hash first. A row's place is its
+    rank among the hashes of its lap that begin alike, plus the counts of the
+    beginnings before, so no lap is sorted in one task and the plan is the same
+    for any number of windows.
     """
     total = rows.count()
     per_lap = total // size
     if per_lap == 0:
         raise ValueError(f"{total} rows cannot fill a window of {size}")
     laps = -(-windows // per_lap)
-    dealt = []
-    for lap in range(laps):
-        used = min(per_lap, windows - lap * per_lap)
-        lap_seed = f"window-{seed}-{size}-{lap}"
-        keyed = rows.withColumn("_h", order_key(lap_seed, id_column))
-        if total > 2 * used * size:
-            last = keyed.select(F.lit("all").alias("s"), "_h", id_column)
-            cut = rank_cuts(last, "s", "_h", id_column, {"all": [used * size]})["all"][0]
-            keyed = keyed.where(at_or_before("_h", id_column, cut))
-        # At most windows x size rows get here, a number set by the caller.
-        position = F.row_number().over(Window.orderBy("_h", id_column)) - 1
-        window = (F.floor(position / size) + lap * per_lap).cast("int")
-        dealt.append(
-            keyed.withColumn("_position", position)
-            .where(F.col("_position") < used * size)
-            .withColumn("window_id", window)
-            .drop("_h", "_position")
+    hashed = F.md5(
+        F.concat(
+            F.lit(f"window-{seed}-{size}-"), F.col("_lap").cast("string"), F.lit(":"),
+            F.col(id_column).cast("string"),
         )
-    result = dealt[0]
-    for lap_rows in dealt[1:]:
-        result = result.unionByName(lap_rows)
-    return result
+    )
+    keyed = rows.withColumn("_lap", F.explode(F.sequence(F.lit(0), F.lit(laps - 1)))).withColumn("_h", hashed)
+    if laps == 1 and windows * size < total:
+        last = keyed.select(F.lit("all").alias("s"), "_h", id_column)
+        cut = rank_cuts(last, "s", "_h", id_column, {"all": [windows * size]})["all"][0]
+        keyed = keyed.where(at_or_before("_h", id_column, cut))
+    digits = max(0, math.ceil(math.log(total / _RANKED_TOGETHER, 16)))
+    keyed = keyed.withColumn("_start", F.substring("_h", 1, digits) if digits else F.lit(""))
+    earlier = Window.partitionBy("_lap").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        keyed.groupBy("_lap", "_start").agg(F.count("*").alias("_n"))
+        .select("_lap", "_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    )
+    among = F.row_number().over(Window.partitionBy("_lap", "_start").orderBy("_h", id_column)) - 1
+    window = F.floor(F.col("_position") / size) + F.col("_lap") * per_lap
+    return (
+        keyed.join(starts, ["_lap", "_start"])
+        .withColumn("_position", F.col("_before") + among)
+        .where(F.col("_position") < per_lap * size)
+        .withColumn("window_id", window.cast("int"))
+        .where(F.col("window_id") < windows)
+        .drop("_lap", "_h", "_start", "_before", "_position")
+    )
 
 
 @dataclass(frozen=True)
