@@ -14,9 +14,7 @@ from millwatch import schema as S
 from millwatch.functions import classes, physics
 from millwatch.operators.selection import (
     RANK_ROWS,
-    range_count,
     running_sums,
-    split_shares,
 )
 from millwatch.session import dimension
 
@@ -115,37 +113,23 @@ def _class_scores(confusion: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def _score_profiles(scored: DataFrame, *by: str, plain_rows: int) -> dict[int, dict]:
-    """Row count of each class's scores per `by`; for many rows also split points.
-
-    The split points are the same for every fold: they only balance the work.
-    """
+def _score_profiles(scored: DataFrame, *by: str) -> dict[int, dict]:
+    """Row count of each class's scores per `by`: as many distinct scores at most."""
     counted = scored.groupBy(*by).agg(F.count("*").alias("n")).collect()
-    largest = max((row["n"] for row in counted), default=0)
-    splits: list[list[float]] = [[] for _ in S.CLASSES]
-    if largest > plain_rows:
-        shares, accuracy = split_shares(range_count(largest))
-        sketches = [
-            F.percentile_approx(F.element_at("proba", k + 1), shares, accuracy).alias(f"k{k}")
-            for k in range(len(S.CLASSES))
-        ]
-        splits = list(scored.agg(*sketches).first())
     return {
-        (row[by[0]] if by else 0) * len(S.CLASSES) + k: {"distinct": row["n"], "splits": points}
+        (row[by[0]] if by else 0) * len(S.CLASSES) + k: {"distinct": row["n"]}
         for row in counted
-        for k, points in enumerate(splits)
+        for k in range(len(S.CLASSES))
     }
 
 
 def _auc(scored: DataFrame, *by: str, plain_rows: int = RANK_ROWS) -> DataFrame:
     """One-vs-rest ROC-AUC per class; a tie counts one half, one-sided truth gives NULL.
 
-    Rows collapse to distinct scores per class before anything is ordered. The
-    split points come from one pass of sketches over the scores as they are.
-    `by` is empty or one column of small integers, such as the fold.
+    Rows collapse to distinct scores per class before anything is ordered. `by` is empty or one column of small integers, such as the fold.
     """
     width = len(S.CLASSES)
-    profiles = _score_profiles(scored, *by, plain_rows=plain_rows)
+    profiles = _score_profiles(scored, *by)
     group = F.col(by[0]) * width + F.col("k") if by else F.col("k")
     counts = (
         scored.select(*by, "y", F.posexplode(classes.checked_proba("proba")).alias("k", "score"))

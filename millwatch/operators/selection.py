@@ -9,7 +9,6 @@ and columns, not on the data.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -22,10 +21,9 @@ _HEX_STEP = 3
 _HASH_WIDTH = 32
 # How many rows one task may sort: beyond it the range is narrowed further.
 RANK_ROWS = 200_000
-# How many values a range should hold, and how many ranges a group may have.
+# How many values a range should hold, and how many ranges there are at least.
 RANGE_ROWS = 1_000_000
 _FEWEST_RANGES = 64
-_MOST_RANGES = 4096
 
 CutKey = tuple[str, int]
 
@@ -160,26 +158,13 @@ def kth_largest(
     return float(inside.orderBy(F.desc("x")).offset(offset).limit(1).first()["x"])
 
 
-def range_count(rows: int) -> int:
-    """How many value ranges to cut a group of that many values into: a power of two."""
-    wanted = max(1, -(-rows // RANGE_ROWS))
-    return min(max(1 << (wanted - 1).bit_length(), _FEWEST_RANGES), _MOST_RANGES)
-
-
-def split_shares(ranges: int) -> tuple[list[float], int]:
-    """The quantiles that cut a group into that many ranges, and the sketch accuracy."""
-    return [i / ranges for i in range(1, ranges)], max(1000, 10 * ranges)
-
-
 def group_profiles(
     counts: DataFrame,
     group: str,
     value: str,
     sums: Sequence[str],
-    plain_rows: int = RANK_ROWS,
 ) -> dict[object, dict]:
-    """Per group: distinct values, totals and weighted means; for large groups also
-    the points that split their values evenly."""
+    """Per group: distinct values, totals and weighted means."""
     rows = (
         counts.groupBy(group)
         .agg(
@@ -189,55 +174,7 @@ def group_profiles(
         )
         .collect()
     )
-    profiles = {row[group]: row.asDict() for row in rows}
-    largest = max((p["distinct"] for p in profiles.values()), default=0)
-    if largest > plain_rows:
-        shares, accuracy = split_shares(range_count(largest))
-        sketches = counts.groupBy(group).agg(
-            F.percentile_approx(value, shares, accuracy).alias("splits")
-        )
-        for row in sketches.collect():
-            profiles[row[group]]["splits"] = row["splits"]
-    return profiles
-
-
-def _lookup(group: str, values: Mapping[object, Column]) -> Column:
-    """A per-group literal, chosen by CASE."""
-    picked = F
-    for key, literal in values.items():
-        picked = picked.when(F.col(group) == key, literal)
-    return picked
-
-
-def _with_range(
-    counts: DataFrame, group: str, value: str, profiles: Mapping[object, dict]
-) -> DataFrame:
-    """Adds `_range`: how many split points of its group lie below a value.
-
-    A binary search over a literal array, one projection per halving, so that it
-    stays inside generated code.
-    """
-    splits = {
-        key: sorted({float(x) for x in profile["splits"] if not math.isnan(x)})
-        for key, profile in profiles.items()
-    }
-    width = 1 << max((len(points) for points in splits.values()), default=1).bit_length()
-
-    def literal(points: list[float]) -> Column:
-        # One text that folds into one literal, however many points there are.
-        padded = points + [math.inf] * (width - 1 - len(points))
-        return F.split(F.lit(",".join(map(repr, padded))), ",").cast("array<double>")
-
-    found = _lookup(group, {key: literal(points) for key, points in splits.items()})
-    ranged = counts.withColumns({"_splits": found, "_range": F.lit(0)})
-    step = width // 2
-    while step:
-        below = F.get("_splits", F.col("_range") + (step - 1)) < F.col(value)
-        ranged = ranged.withColumn(
-            "_range", F.col("_range") + F.when(below, step).otherwise(0)
-        )
-        step //= 2
-    return ranged.drop("_splits")
+    return {row[group]: row.asDict() for row in rows}
 
 
 def running_sums(
@@ -252,19 +189,18 @@ def running_sums(
 
     `counts` holds one row per (group, value). Adds `upto_<sum>` (inclusive) and
     `next_<value>`, and returns the group profiles. A group with few distinct
-    values is one window partition. Larger ones are cut into value ranges at
-    split points read beforehand; each range sums on its own and starts from the
-    total of the ranges before it. The number of groups is a few columns times a
-    few classes or folds and a group has at most 4,096 ranges, so profiles and
-    range totals stay small.
+    values is one window partition. Beyond, all groups are range-partitioned by
+    (group, value) into as many ranges as their values ask for; each range sums
+    on its own and starts from the totals of its group's ranges before it, of
+    which there is one row per range.
 
     Without `profiles` the counts are computed once, kept, and profiled; that
     suits counts much smaller than the rows behind them. Given profiles need
-    `distinct` (an upper bound will do) and, beyond `plain_rows`, `splits`.
+    `distinct`; an upper bound will do.
     """
     if profiles is None:
         counts = materialise(counts)
-        profiles = group_profiles(counts, group, value, sums, plain_rows)
+        profiles = group_profiles(counts, group, value, sums)
     largest = max((p["distinct"] for p in profiles.values()), default=0)
     if largest <= plain_rows:
         window = Window.partitionBy(group).orderBy(value)
@@ -275,7 +211,12 @@ def running_sums(
         )
         return result, profiles
 
-    ranged = _with_range(counts, group, value, profiles)
+    total = sum(p["distinct"] for p in profiles.values())
+    ranges = max(_FEWEST_RANGES, -(-total // RANGE_ROWS))
+    # Kept, so that a value's range is the same wherever it is asked for.
+    ranged = materialise(
+        counts.repartitionByRange(ranges, group, value).withColumn("_range", F.spark_partition_id())
+    )
     order = Window.partitionBy(group).orderBy("_range")
     starts = (
         ranged.groupBy(group, "_range")
@@ -288,7 +229,7 @@ def running_sums(
         )
     )
     window = Window.partitionBy(group, "_range").orderBy(value)
-    result = ranged.join(F.broadcast(starts), [group, "_range"]).select(
+    result = ranged.join(starts, [group, "_range"]).select(
         *counts.columns,
         *[(F.sum(s).over(window) + F.col(f"_before_{s}")).alias(f"upto_{s}") for s in sums],
         F.coalesce(F.lead(value).over(window), "_next").alias(f"next_{value}"),

@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from millwatch.operators.selection import kth_largest, range_count, rank_cuts, running_sums
+from millwatch.operators import selection
+from millwatch.operators.selection import kth_largest, rank_cuts, running_sums
 
 
 @pytest.mark.parametrize("shape", ["uniform", "third_tied", "all_tied", "clustered"])
@@ -64,6 +65,16 @@ def test_running_sums_equal_a_full_sort(spark, plain_rows):
     assert sorted(found) == sorted(expected)
 
 
-def test_ranges_grow_with_the_data_up_to_a_limit():
-    found = [range_count(n) for n in (0, 1, 64_000_000, 64_000_001, 10**9, 10**13)]
-    assert found == [64, 64, 64, 128, 1024, 4096]
+def test_ranges_grow_with_the_values(spark, monkeypatch):
+    """Ranges of a few values each, a value that a third of the rows share, groups of unequal size."""
+    monkeypatch.setattr(selection, "RANGE_ROWS", 3)
+    rng = random.Random(8)
+    rows = [(g, 7.0 if rng.random() < 0.33 else round(rng.gauss(0, 40), 1)) for g in range(3) for _ in range((900, 40, 1)[g])]
+    counts = spark.createDataFrame(rows, "g int, x double").groupBy("g", "x").agg(F.count("*").alias("n"))
+    running, _ = running_sums(counts, "g", "x", ["n"], plain_rows=0)
+    found = {(r["g"], r["x"]): (r["upto_n"], r["next_x"]) for r in running.collect()}
+    for g, x in set(rows):
+        larger = [v for h, v in rows if h == g and v > x]
+        assert found[g, x] == (sum(h == g and v <= x for h, v in rows), min(larger, default=None))
+    plan = running._jdf.queryExecution().toString()
+    assert "percentile" not in plan and len(found) == len(set(rows))
