@@ -241,7 +241,11 @@ def merged(found) -> list[tuple[int, int]]:
 
 
 def removed_spans(docs: DataFrame, length: int = LENGTH, q: int = GRAM, widths: tuple[int, ...] = WIDTHS) -> tuple[DataFrame, DataFrame]:
-    """(scan, found): every document's scan row, and key, z and spans of those that may lose bytes."""
+    """(scan, found): every document's scan row, and key, compressed text and settled nodes of those that may lose bytes.
+
+    What reads the second turns nodes into runs in the same task as its own work,
+    so that no task needs two Python workers.
+    """
     reach = length - q
     if not 8 <= q <= length or reach > 255:
         raise ValueError("q must be at least 8 and leave at most 255 offsets; choose a longer q")
@@ -274,26 +278,18 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, q: int = GRAM, widths:
     for more in settled[1:]:
         late = late.unionByName(more)
     late = late.groupBy("number").agg(F.collect_list("x").alias("parts"))
-    schema = pa.schema([("__doc", pa.int64()), ("__mark", pa.int64()), ("z", pa.binary()), ("spans", pa.list_(pa.list_(pa.int64())))])
+    return base, texts.join(late, "number", "left").select(common.DOC, common.MARK, "z", "whole", "parts")
 
-    def run(parts):
-        unpack = zstandard.ZstdDecompressor()
 
-        def rows(part):
-            for doc, mark, z, whole, pieces in zip(*(column.to_pylist() for column in part.columns)):
-                size = len(unpack.decompress(z))
-                found = spans(size, whole, reach + 1, length)
-                for x in pieces or ():
-                    found += spans(size, [x["node"]], x["width"], length)
-                yield doc, mark, z, merged(found)
-
-        for part in parts:
-            yield from common.batches(rows(part), schema, 500)
-
-    found = texts.join(late, "number", "left").select(common.DOC, common.MARK, "z", "whole", "parts").mapInArrow(
-        run, "__doc long, __mark long, z binary, spans array<array<long>>"
-    )
-    return base, found
+def _texts_and_runs(part, length: int, reach: int):
+    """Id, mark, bytes and removed runs of each row of a batch of `removed_spans`."""
+    unpack = zstandard.ZstdDecompressor()
+    for doc, mark, z, whole, pieces in zip(*(column.to_pylist() for column in part.columns)):
+        data = unpack.decompress(z)
+        found = spans(len(data), whole, reach + 1, length)
+        for x in pieces or ():
+            found += spans(len(data), [x["node"]], x["width"], length)
+        yield doc, mark, data, merged(found)
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -328,11 +324,8 @@ def digests(docs: DataFrame, length: int = LENGTH, q: int = GRAM, widths: tuple[
     schema = pa.schema([("__doc", pa.int64()), ("__mark", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.string())])
 
     def run(parts):
-        unpack = zstandard.ZstdDecompressor()
-
         def rows(part):
-            for doc, mark, z, runs in zip(*(column.to_pylist() for column in part.columns)):
-                data = unpack.decompress(z)
+            for doc, mark, data, runs in _texts_and_runs(part, length, length - q):
                 yield doc, mark, sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept_bytes(data, runs)).hexdigest()
 
         for part in parts:
@@ -353,12 +346,10 @@ def dedup(docs: DataFrame, length: int = LENGTH, q: int = GRAM, widths: tuple[in
     schema = pa.schema([("doc_id", pa.int64()), ("kept", pa.binary()), ("spans", pa.list_(pa.list_(pa.int64())))])
 
     def run(parts):
-        unpack = zstandard.ZstdDecompressor()
-
         def rows(part):
-            for doc, _, z, runs in zip(*(column.to_pylist() for column in part.columns)):
+            for doc, _, data, runs in _texts_and_runs(part, length, length - q):
                 if runs:
-                    yield doc, kept_bytes(unpack.decompress(z), runs), runs
+                    yield doc, kept_bytes(data, runs), runs
 
         for part in parts:
             yield from common.batches(rows(part), schema, 500)
