@@ -13,8 +13,8 @@ CUTOFF = "TIMESTAMP '2024-01-20 00:00:00'"
 BUDGET = "0.10e0"
 MIN_ROWS = 1000
 EXPECTED_FLAGGED = "(391e0/7992e0)"
-SIZES = (100, 200)
-WINDOWS = 20
+SIZES = (100, 200, 300, 500, 750, 1000)
+WINDOWS = 200
 
 MODES = ("no_failure", "TWF", "HDF", "PWF", "OSF")
 P_COLUMNS = ("p_no_failure", "p_twf", "p_hdf", "p_pwf", "p_osf")
@@ -555,6 +555,14 @@ ORACLES["oof_proba"] = sql(
         FROM folded""",
     folds_of("train_part"),
 )
+_GRADE = "CASE type WHEN 'L' THEN 0 WHEN 'M' THEN 1 ELSE 2 END"
+for _kind in ("forest", "boosted"):
+    ORACLES[f"separable_{_kind}"] = sql(
+        "split", f"SELECT udi, {_GRADE} AS grade_code FROM split WHERE split = 'test'"
+    )
+ORACLES["unseen_folds"] = sql(
+    "train_part", "SELECT udi, fold, 0e0 AS own_share FROM folded", folds_of("train_part")
+)
 ORACLES["sample_weights"] = sql(
     "train_part",
     """SELECT udi, round(total / (k * CAST(c AS DOUBLE)), 6) AS weight
@@ -859,7 +867,7 @@ def alarm_ctes() -> dict[str, str]:
         "pool": f"SELECT udi, {cols(*FEATURES)} FROM features WHERE udi % 5 = 0",
         "wins": f"""SELECT size, w, w // per_lap AS lap, w % per_lap AS slot
             FROM (SELECT size, (SELECT count(*) FROM pool) // size AS per_lap FROM (VALUES {sizes}) s(size)),
-                range({WINDOWS}) r(w)""",
+                range({WINDOWS}) r(w) WHERE per_lap > 0""",
         "laps": "SELECT DISTINCT size, lap FROM wins",
         "ordered": f"""SELECT size, lap, p.*, (row_number() OVER (PARTITION BY size, lap ORDER BY
             md5('window-{SEED}-' || size || '-' || lap || ':' || udi), udi) - 1) // size AS slot

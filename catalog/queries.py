@@ -39,8 +39,8 @@ QUERIES: dict[str, Query] = {}
 
 CUTOFF = datetime.datetime(2024, 1, 20, tzinfo=datetime.timezone.utc)
 BUDGET = 0.10
-WINDOW_SIZES = (100, 200)
-WINDOWS_PER_SIZE = 20
+WINDOW_SIZES = (100, 200, 300, 500, 750, 1000)
+WINDOWS_PER_SIZE = 200
 FAULT_K = 2.0
 ROUNDING = 6
 
@@ -652,6 +652,38 @@ def oof_proba(spark, sf):
     )
 
 
+def _learned_grade(spark, sf, spec) -> DataFrame:
+    """Test rows with the grade that a model names after it was taught the grade as its class."""
+    train, test = _holdout(spark, sf)
+    taught = F.when(F.col("type") == "L", S.CLASSES[0]).when(F.col("type") == "M", S.CLASSES[1])
+    model = models.fit_training_rows(train.withColumn("failure_type", taught.otherwise(S.CLASSES[2])), spec)
+    code = classes.top_code("proba")
+    return models.score(model, test).select("udi", code.cast("int").alias("grade_code"))
+
+
+@query
+def separable_forest(spark, sf):
+    return _learned_grade(spark, sf, FOREST)
+
+
+@query
+def separable_boosted(spark, sf):
+    return _learned_grade(spark, sf, BOOSTED)
+
+
+@query
+def unseen_folds(spark, sf):
+    """Each fold is taught as a class of its own, so only a model that saw a row's fold gives it a share."""
+    folded = splits.stratified_folds(splits.train_rows(I.training(spark, sf)))
+    own = F.element_at(F.array(*[F.lit(c) for c in S.CLASSES]), F.col("fold") + 1)
+    prepared = models.prepare(folded.withColumn("failure_type", own)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        scored = materialise(models.out_of_fold(prepared, FOREST).select("udi", "fold", "proba"))
+    finally:
+        prepared.unpersist()
+    return scored.select("udi", "fold", F.element_at("proba", F.col("fold") + 1).alias("own_share"))
+
+
 @query
 def model_save_load(spark, sf):
     """Scores of the saved and reloaded model next to those before saving."""
@@ -892,9 +924,11 @@ def drift_window(spark, sf):
 
 @query
 def false_alarm_rate(spark, sf):
-    return drift.false_alarm_rate(
-        I.reference_window(spark, sf), I.current_window(spark, sf), WINDOW_SIZES, WINDOWS_PER_SIZE
-    )
+    """Every size of which the pool fills at least one window."""
+    pool = I.current_window(spark, sf)
+    held = pool.count()
+    sizes = [size for size in WINDOW_SIZES if size <= held]
+    return drift.false_alarm_rate(I.reference_window(spark, sf), pool, sizes, WINDOWS_PER_SIZE)
 
 
 @query

@@ -116,8 +116,20 @@ def fit(prepared: DataFrame, spec: ModelSpec) -> PipelineModel:
     return PipelineModel(stages=[*feature_stages(), *stages])
 
 
+def dealt(prepared: DataFrame, rows_in_part: int = 1_000_000) -> DataFrame:
+    """Prepared rows over all cores, in an order that follows from the rows alone.
+
+    Trees draw their rows by partition and place, so with a fixed order the same
+    rows, seed and cores grow the same trees, however the source was laid out.
+    """
+    by = [*S.FEATURES, "y"]
+    cores = prepared.sparkSession.sparkContext.defaultParallelism
+    parts = max(cores, -(-prepared.count() // rows_in_part))
+    return prepared.repartition(parts, *by).sortWithinPartitions(*by)
+
+
 def fit_training_rows(training: DataFrame, spec: ModelSpec) -> PipelineModel:
-    prepared = prepare(training).persist(StorageLevel.MEMORY_AND_DISK)
+    prepared = dealt(prepare(training)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return fit(prepared, spec)
     finally:

@@ -1,11 +1,13 @@
 """Every registered query against its SQL oracle, and the golden values."""
 
+from dataclasses import replace
+
 import pytest
 
 import __spark_entry__ as driver
 import compare
 from catalog import inputs, oracles, queries
-from millwatch.operators import drift, risk
+from millwatch.operators import drift, models, risk
 
 QUERIES, ORACLES = dict(queries.QUERIES), dict(oracles.ORACLES)
 ROWS_ONLY = {"forest_model", "boosted_model", "batch_score"}
@@ -27,6 +29,28 @@ def test_query_equals_its_oracle(spark, sf_dir, oracle, name):
     assert compare.compare(QUERIES[name](spark, sf_dir), oracle, ORACLES[name]) is None
 
 
+def test_batch_scores_are_shares_of_the_held_out_rows(spark, sf_dir):
+    rows = QUERIES["batch_score"](spark, sf_dir).collect()
+    test = QUERIES["stratified_split"](spark, sf_dir).where("split = 'test'")
+    assert sorted(r["udi"] for r in rows) == sorted(r["udi"] for r in test.collect())
+    for row in rows:
+        shares = list(row)[1:]
+        assert len(shares) == 5 and all(0 <= p <= 1 for p in shares) and abs(sum(shares) - 1) < 1e-9
+
+
+def test_a_refit_depends_on_rows_and_seed_only(spark, sf_dir):
+    train, test = queries._holdout(spark, sf_dir)
+    spec = models.ModelSpec("forest", trees=3, depth=6, bins=32)
+
+    def scores(rows, spec):
+        model = models.fit_training_rows(rows, spec)
+        return {r["udi"]: r["proba"] for r in models.score(model, test).select("udi", "proba").collect()}
+
+    first = scores(train, spec)
+    assert scores(train.repartition(5, "torque_nm").orderBy("strain_min_nm"), spec) == first
+    assert scores(train, replace(spec, seed=7)) != first
+
+
 @pytest.mark.parametrize("name", sorted(ROWS_ONLY))
 def test_rows_only_queries_run(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).collect()
