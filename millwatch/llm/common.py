@@ -56,6 +56,13 @@ def batches(rows, schema: pa.Schema, size: int = 20_000):
         yield _batch(held, schema)
 
 
+def slices(parts, rows: int = 512):
+    """The same rows in smaller batches, so that few texts at a time become Python strings."""
+    for part in parts:
+        for at in range(0, part.num_rows, rows):
+            yield part.slice(at, rows)
+
+
 def _batch(held, schema):
     columns = zip(*held)
     return pa.RecordBatch.from_arrays(

@@ -115,7 +115,9 @@ def learn(documents: DataFrame, labels: DataFrame, sample_rows: int = 12_000, mo
     )
     marked = common.hashed_sample(marked, common.DOC, sample_rows)
     text = common.texts(documents).select(common.DOC, "text")
-    sample = text.join(F.broadcast(marked), common.DOC).select("text", "toxic").cache()
+    # kept as a table: cached, its texts would take the heap that scoring needs
+    sample = text.join(F.broadcast(marked), common.DOC).repartition(common.DOC).select("text", "toxic")
+    sample = common.stored(sample, "toxicity-sample")
     counts = pa.schema([("entry", pa.string()), ("pos", pa.int64()), ("neg", pa.int64())])
 
     def count(parts):
@@ -125,10 +127,10 @@ def learn(documents: DataFrame, labels: DataFrame, sample_rows: int = 12_000, mo
             for entry in held[0].keys() | held[1].keys():
                 yield entry, held[1][entry], held[0][entry]
 
-        for part in parts:
+        for part in common.slices(parts):
             for t, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 held[1 if y else 0].update(_entries(fold(t)))
-                if len(held[0]) + len(held[1]) > 400_000:
+                if len(held[0]) + len(held[1]) > 100_000:
                     yield from common.batches(out(), counts)
                     held = {0: Counter(), 1: Counter()}
         yield from common.batches(out(), counts)
@@ -136,7 +138,6 @@ def learn(documents: DataFrame, labels: DataFrame, sample_rows: int = 12_000, mo
     n = {bool(r["toxic"]): r["n"] for r in sample.groupBy((F.col("toxic") != 0).alias("toxic")).agg(F.count("*").alias("n")).collect()}
     n_pos, n_neg = n.get(True, 0), n.get(False, 0)
     if not n_pos:
-        sample.unpersist()
         return Lexicon(exceptions=exceptions)
     weight = F.log((F.col("pos") + 0.5) / (n_pos + 1.0)) - F.log((F.col("neg") + 0.5) / (n_neg + 1.0))
     rows = (
@@ -157,7 +158,6 @@ def learn(documents: DataFrame, labels: DataFrame, sample_rows: int = 12_000, mo
     lexicon = Lexicon({e: w for e, (w, _) in chosen.items()}, exceptions)
     lexicon.exceptions += _exceptions(sample, lexicon, n_pos, n_neg)
     lexicon.curve = _curve(sample, lexicon)
-    sample.unpersist()
     return lexicon
 
 
@@ -178,7 +178,7 @@ def _exceptions(sample: DataFrame, lexicon: Lexicon, n_pos: int, n_neg: int, mos
                         found.update(" ".join(words[j : j + 2]) for j in (i - 1, i) if 0 <= j < len(words) - 1)
                 yield from ((p, int(bool(y))) for p in found)
 
-        for part in parts:
+        for part in common.slices(parts):
             yield from common.batches(out(part), schema)
 
     clean = F.count(F.when(F.col("toxic") == 0, 1))
@@ -197,14 +197,15 @@ def _curve(sample: DataFrame, lexicon: Lexicon) -> tuple[float, float, float]:
 
     def run(parts):
         matcher = lexicon.matcher()
-        for part in parts:
+        for part in common.slices(parts):
             def out(part=part):
                 for t, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     total, dense, _ = lexicon.features(t, matcher)
                     yield math.log1p(dense), math.log1p(total), float(bool(y))
             yield from common.batches(out(), schema)
 
-    rows = np.array(sample.mapInArrow(run, "a double, b double, y double").collect(), dtype=float)  # at most sample_rows
+    # at most sample_rows; sorted, so that sums don't depend on the order of tasks
+    rows = np.array(sorted(sample.mapInArrow(run, "a double, b double, y double").collect()), dtype=float)
     x, y = np.column_stack([np.ones(len(rows)), rows[:, :2]]), rows[:, 2]
     w = np.zeros(3)
     ridge = np.diag([1e-3, 0.05, 0.05])
@@ -234,7 +235,7 @@ def score(documents: DataFrame, lexicon: Lexicon) -> DataFrame:
                 found = lexicon.features(text, matcher)
                 yield doc, lexicon.score(found), found[2]
 
-        for part in parts:
+        for part in common.slices(parts):
             yield from common.batches(rows(part), schema)
 
     scored = common.texts(documents).select(common.DOC, "text").mapInArrow(run, "doc_id long, score double, n_hits long")
@@ -247,7 +248,7 @@ def clean(documents: DataFrame, lexicon: Lexicon, least: float = 0.5) -> DataFra
 
     def run(parts):
         matcher = lexicon.matcher()
-        for part in parts:
+        for part in common.slices(parts):
             texts = part.column(part.schema.names.index("text")).to_pylist()
             yield part.filter(pa.array([lexicon.score(lexicon.features(t or "", matcher)) < least for t in texts], type=pa.bool_()))
 
