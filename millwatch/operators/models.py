@@ -36,11 +36,11 @@ _WORKING = ("type_code", "features", "rawPrediction", "probability", "prediction
 
 @dataclass(frozen=True)
 class ModelSpec:
-    """What to fit. The defaults are the full-size models; tests pass fewer trees."""
+    """What to fit. The defaults are the full-size forest, as deep as Spark allows; see `boosted_spec` for boosting."""
 
     kind: str = "forest"
     trees: int = 300
-    depth: int = 15
+    depth: int = 30
     learning_rate: float = 0.1
     bins: int = 128
     seed: int = S.SEED
