@@ -715,6 +715,21 @@ ORACLES["evaluation_sink"] = sql(
     _FIXED,
     ("modes",),
 )
+_RUNS = "(VALUES ('cv'), ('sealed')) runs(run_id)"
+ORACLES["evaluation_matrices"] = sql(
+    "topped",
+    f"""SELECT run_id, "true", predicted, n AS n_rows, round(coalesce(
+        n / nullif(CAST(sum(n) OVER (PARTITION BY run_id, t) AS DOUBLE), 0), 0), 6) AS share FROM m, {_RUNS}""",
+    {"m": matrix("topped", "s.y")},
+    ("modes",),
+)
+ORACLES["evaluation_errors"] = sql(
+    "second",
+    f"""SELECT run_id, udi, {name_of('y')} AS "true", {name_of('pred')} AS predicted,
+        {_P_OF.format('pred')} AS p_predicted, {name_of('runner')} AS runner_up,
+        {_P_OF.format('runner')} AS p_runner_up, {_P_OF.format('y')} AS p_true
+        FROM second, {_RUNS} WHERE pred <> y""",
+)
 
 # --- risk tiers -----------------------------------------------------------------
 
@@ -853,6 +868,14 @@ ORACLES["drift_window"] = sql("monitored", f"SELECT scenario, {_WINDOW_ROW} {_FR
 ORACLES["monitor_sink"] = sql(
     "monitored", f"SELECT scenario AS window_id, {_WINDOW_ROW} {_FROM_WINDOWS}", _LOGGED
 )
+ORACLES["monitor_scores"] = sql(
+    "monitored",
+    f"""SELECT scenario AS window_id, "column", CASE WHEN "column" = 'type' THEN 'Jensen-Shannon distance'
+        ELSE 'Wasserstein distance (normed)' END AS method, 0.1e0 AS threshold, round(score, 6) AS score,
+        score >= 0.1e0 AS drifted, score >= 0.1e0 AS listed
+        FROM scores JOIN loads USING (scenario) WHERE n_current >= {MIN_ROWS}""",
+    _LOGGED,
+)
 
 
 def alarm_ctes() -> dict[str, str]:

@@ -178,9 +178,8 @@ def point_lookup(spark, sf):
     return found.withColumn("n_log_rows", F.lit(total.first()["n_log_rows"]))
 
 
-@query
-def monitor_sink(spark, sf):
-    """Two windows through the sink and back."""
+def _monitored(spark, sf) -> str:
+    """The sink after a healthy and a faulty window."""
     root = scratch_path(spark, "monitor")
     reference = materialise(drift.reference_profile(reference_scan(spark, sf)))
     for name, fault in (("healthy", 0.0), ("fault", FAULT_K)):
@@ -188,20 +187,57 @@ def monitor_sink(spark, sf):
             reference, _current_log(spark, sf, fault), CUTOFF.isoformat()
         )
         results.log_window(window, verdicts, root, name)
+    return root
+
+
+@query
+def monitor_sink(spark, sf):
+    """Two windows through the sink and back."""
     return _rounded(
-        spark.read.parquet(f"{root}/monitor_windows"),
+        spark.read.parquet(f"{_monitored(spark, sf)}/monitor_windows"),
         "share_low", "share_elevated", "share_high", "share_flagged", "flagged_vs_expected",
     )
 
 
 @query
-def evaluation_sink(spark, sf):
-    """The metrics of an out-of-fold and of a sealed evaluation, through the sink and back."""
+def monitor_scores(spark, sf):
+    """The column scores of those windows, and whether the window lists the column as drifted."""
+    root = _monitored(spark, sf)
+    scores = results.read_scores(spark, root)
+    windows = spark.read.parquet(f"{root}/monitor_windows")
+    listed = F.array_contains(F.split("drifted_columns", ","), F.col("column"))
+    read = scores.join(windows, "window_id", "left")
+    return _rounded(read.select("window_id", *scores.drop("window_id").columns, listed.alias("listed")), "score")
+
+
+def _evaluated(spark, sf) -> str:
+    """The sink after an out-of-fold and a sealed evaluation."""
     root = scratch_path(spark, "evaluation")
     scored = I.scored(spark, sf)
     results.write_evaluation(results.evaluation_tables(scored, "oof"), root, "cv")
     results.write_evaluation(results.evaluation_tables(scored, "test", sealed=True), root, "sealed")
-    return _rounded(spark.read.parquet(f"{root}/metrics"), "value")
+    return root
+
+
+@query
+def evaluation_sink(spark, sf):
+    """The metrics of both evaluations through the sink and back."""
+    return _rounded(spark.read.parquet(f"{_evaluated(spark, sf)}/metrics"), "value")
+
+
+@query
+def evaluation_matrices(spark, sf):
+    """Both matrices of both evaluations, cell by cell."""
+    root = _evaluated(spark, sf)
+    counts = spark.read.parquet(f"{root}/confusion_counts")
+    shares = spark.read.parquet(f"{root}/confusion_normalised")
+    return _rounded(counts.join(shares, ["run_id", "true", "predicted"], "full"), "share")
+
+
+@query
+def evaluation_errors(spark, sf):
+    """The misclassified rows of both evaluations."""
+    return spark.read.parquet(f"{_evaluated(spark, sf)}/errors")
 
 
 # --- projections and predicates -------------------------------------------------

@@ -2,30 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millwatch.operators import evaluation
 from millwatch.session import materialise
 
+SCORES = "column string, method string, threshold double, score double, drifted boolean"
+
 
 def log_window(
     window: DataFrame, verdicts: DataFrame | None, root: str, window_id: str
 ) -> None:
-    """Persist one monitoring window and, if there was enough data, its column scores.
+    """Persist one monitoring window and its column scores, none if it had too few rows.
 
-    Both land under the window's id, so repeating a window replaces it. The scores
-    are written first: a window that can be seen has its scores.
+    Both land under the window's id, so repeating a window replaces it, scores of
+    a try with more rows included. The scores are written first: a window that can
+    be seen has its scores.
     """
-    if verdicts is not None:
-        verdicts.write.mode("overwrite").parquet(
-            f"{root}/monitor_column_drift/window_id={window_id}"
-        )
+    if verdicts is None:
+        verdicts = window.sparkSession.createDataFrame([], SCORES)
+    verdicts.write.mode("overwrite").parquet(f"{root}/monitor_column_drift/window_id={window_id}")
     window.coalesce(1).write.mode("overwrite").parquet(
         f"{root}/monitor_windows/window_id={window_id}"
     )
 
 
+def read_scores(spark: SparkSession, root: str) -> DataFrame:
+    """Column scores of all windows, with their `window_id`."""
+    schema = f"{SCORES}, window_id string"
+    return spark.read.schema(schema).parquet(f"{root}/monitor_column_drift")
+
+
 def evaluation_tables(scored: DataFrame, prefix: str, sealed: bool = False) -> dict[str, DataFrame]:
     """Everything an evaluation stores, by table name.
 
