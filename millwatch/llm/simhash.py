@@ -210,18 +210,20 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def classes(docs: DataFrame, words: int = 3, limit: int = 3) -> DataFrame:
-    """Document key, fp and component_id: one row per row of `docs`.
+    """Document key, fp, root and component_id: one row per row of `docs`.
 
     Fingerprints within `limit` bits link. Null and empty texts and texts
     without words have fingerprint zero and link like any other. Null ids never
-    name a component unless it has no other. An empty table gives no row.
+    name a component unless it has no other. Components can share a name, by a
+    null or repeated id; `root`, their smallest linked code, tells them apart. An
+    empty table gives no row.
     """
     found = materialise(fingerprints(docs, words))
     distinct = materialise(found.groupBy("fp").agg(F.min(common.DOC).alias("least")))
     stars = components(links(distinct, limit))
     rooted = distinct.join(stars, distinct["fp"] == stars["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_code = rooted.join(named, "root").select("fp", "component_id")
+    by_code = rooted.join(named, "root").select("fp", "root", "component_id")
     return found.join(by_code, "fp")
 
 
@@ -232,10 +234,10 @@ def near_copies(docs: DataFrame, words: int = 3, limit: int = 3) -> DataFrame:
 
 
 def dedup(docs: DataFrame, words: int = 3, limit: int = 3) -> DataFrame:
-    """The rows of `docs` that stay: of each component the document with its smallest id, once."""
+    """The rows of `docs` that stay: of each component the document with its smallest id (null only if it has no other), once."""
     keyed = classes(docs, words, limit)
     least = F.min(F.col(common.MARK))
-    keep = keyed.filter(F.col(common.DOC).eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(least.alias(common.MARK), F.count("*").alias("n"))
+    keep = keyed.filter(F.col(common.DOC).eqNullSafe(F.col("component_id"))).groupBy("root", "component_id").agg(least.alias(common.MARK), F.count("*").alias("n"))
     keep = keep.select(F.col("component_id").alias("d"), F.col(common.MARK).alias("m"), "n")
     rows, names = common.numbered(docs)
     rows = common.keyed(rows, names)

@@ -107,5 +107,13 @@ def test_documents(spark, docs):
     assert all(r["doc_id"] == least.get(tops[prints[r["text"]]]) for r in kept.collect())
 
 
+def test_components_that_share_an_id_keep_one_document_each(spark):
+    rng = random.Random(5)
+    a, b, c, d, e = (corpus.words(rng, 60) for _ in range(5))
+    data = [(i, t, None, None, None) for i, t in [(None, a), (None, a), (None, b), (7, c), (7, d), (7, d), (8, d), (None, c), (9, e), (None, e)]]
+    kept = simhash.dedup(corpus.table(spark, data)).collect()
+    assert sorted((repr(r["doc_id"]), r["text"]) for r in kept) == sorted([("None", a), ("None", b), ("7", c), ("7", d), ("9", e)])
+
+
 def test_empty_table(spark, no_docs):
     assert simhash.near_copies(no_docs).collect() == [] and simhash.dedup(no_docs).collect() == []
