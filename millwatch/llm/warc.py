@@ -19,21 +19,74 @@ from millwatch.llm import common
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL namespace of RFC 4122
 EPOCH = "1970-01-01T00:00:00Z"
 #: Elements whose content is no text, and elements that end a line.
-HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|title)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
+RAW = ("script", "style", "title")
+CLOSED = ("noscript", "template", "svg")
+MARKUP = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)({'|'.join(RAW + CLOSED)})(?=[\s/>])[^>]*(?:>|\Z)", re.I | re.S)
+ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in RAW}
+ENDS_IN_SVG = {name: re.compile(rf"</({name}|svg)(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in RAW}
 BLOCKS = re.compile(
     r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr"
     r"|li|main|nav|ol|option|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul|body|head|html)\b[^>]*>", re.I
 )
 TAG = re.compile(r"<(?:[a-zA-Z/!?][^>]*)(?:>|\Z)")
-TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.I | re.S)
+TITLE = re.compile(r"<title(?=[\s/>])[^>]*>(.*?)</title\s*>", re.I | re.S)
 LINK = re.compile(r"""<a\s[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 SPACES = re.compile(r"[^\S\n]+")
 LINES = re.compile(r"\s*\n\s*")
 
 
+def shown(page: str, closed: tuple[str, ...] = CLOSED) -> str:
+    """The page with a space for each comment, each element of `RAW` and each element of `closed` that has its end tag.
+
+    A raw element without an end runs to the end of the page, as in a browser. In
+    an svg it is an element like others: it may be self-closed, and the svg ends it.
+    """
+    spans: list[tuple[int, int]] = []
+    opened: dict[str, list[int]] = {name: [] for name in CLOSED}
+    endless, at = set(), 0
+
+    def hide(start, end):
+        while spans and spans[-1][0] >= start:
+            spans.pop()
+        spans.append((start, end))
+
+    while m := MARKUP.search(page, at):
+        at, name = m.end(), (m[2] or "").lower()
+        in_svg, self_closed = bool(opened["svg"]), page.endswith("/>", m.start(), at)
+        if not name:
+            hide(m.start(), at)
+        elif m[1]:
+            if opened.get(name):
+                start = opened[name].pop()
+                for starts in opened.values():
+                    while starts and starts[-1] > start:
+                        starts.pop()
+                if name in closed:
+                    hide(start, at)
+        elif name in CLOSED:
+            if not (self_closed and (in_svg or name == "svg")):
+                opened[name].append(m.start())
+        elif not in_svg:
+            end = ENDS[name].search(page, at)
+            at = end.end() if end else len(page)
+            hide(m.start(), at)
+        elif not self_closed and name not in endless:
+            end = ENDS_IN_SVG[name].search(page, at)
+            if not end:
+                endless.add(name)
+            elif end[1].lower() == name:
+                at = end.end()
+                hide(m.start(), at)
+    parts, before = [], 0
+    for start, end in spans:
+        parts.append(page[before:start])
+        before = end
+    return " ".join([*parts, page[before:]])
+
+
 def plain_text(page: str) -> str:
     """Readable text of an HTML page, one line per block; hidden elements, comments and tags go, entities are decoded."""
-    visible = TAG.sub("", BLOCKS.sub("\n", HIDDEN.sub(" ", page.replace("\r\n", "\n"))))
+    visible = TAG.sub("", BLOCKS.sub("\n", shown(page.replace("\r\n", "\n"))))
     return LINES.sub("\n", SPACES.sub(" ", html.unescape(visible))).strip()
 
 
@@ -43,9 +96,9 @@ def title(page: str) -> str:
 
 
 def links(page: str, target: str) -> list[str]:
-    """Absolute targets of the page's anchors, in order, each once."""
+    """Absolute targets of the page's anchors, those of noscript content too, in order, each once."""
     found: dict[str, None] = {}
-    for m in LINK.finditer(HIDDEN.sub(" ", page)):
+    for m in LINK.finditer(shown(page, ("template", "svg"))):
         link = html.unescape(m[m.lastindex]).strip()
         try:
             found.setdefault(urljoin(target, link))

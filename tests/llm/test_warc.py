@@ -61,6 +61,25 @@ def test_plain_text(page, text):
     assert warc.plain_text(page) == text
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ("<p>a</p><svg-icon n=1></svg-icon><p>rest</p>", "a\nrest"), ("<title-bar>a</title-bar><title>T</title>b", "a b"), ("<template-x>a<p>b", "a\nb"), ("a<svg/>b<svg><p>c</svg>d", "ab d"),
+    ("a<noscript>b", "ab"), ("a<template>b<svg>c", "abc"), ("a<noscript>b</noscript>c", "a c"), ("a<svg>b<svg>c</svg>d</svg>e", "a e"), ("a<svg><title/><path/></svg>b", "a b"),
+    ("a<svg><title>b</svg>c", "a c"), ("<svg><template></svg>a</template>", "a"), ("<script>'</svg>'</script>a</svg>b", "ab"), ("<SVG>a</Svg >b<style>c", "b"), ("a<!-->b<!--c-->d", "a b d"),
+    ("a<script>b</script x>c", "a c"), ("a<svg", "a"), ("", ""),
+])
+def test_only_closed_elements_hide_what_follows(page, text):
+    assert warc.plain_text(page) == text
+
+
+def test_links_and_title_past_elements_without_an_end():
+    page = '<title-bar>x</title-bar><title>T</title><svg-icon></svg-icon><a href="/1">1</a><svg/><a href="/2">2</a><noscript><a href="/3">3</a></noscript><template><a href="/4">4</a></template><noscript><a href="/5">5'
+    assert warc.links(page, "http://a.example/") == [f"http://a.example/{i}" for i in (1, 2, 3, 5)] and warc.title(page) == "T"
+
+
+def test_many_open_elements_take_linear_time():
+    assert warc.plain_text("<svg><title><template>" * 100_000 + "x") == "x"
+
+
 def test_text_of_given_pages_is_what_a_parser_reads(spark):
     for r in table(spark, "/root/testdata/sf0.01", "pages").collect():
         assert squeezed(warc.plain_text(r["html"])) == squeezed(parsed(r["html"]))
