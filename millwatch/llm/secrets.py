@@ -12,6 +12,7 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,12 +28,16 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST_VALUE = 6
 KINDS = ("assign", "access", "hex", "guess")
 
-#: Where a value is read as a credential: wider than the base pattern in keys, joints and characters.
+#: Where a value is read as a credential, up to the value: wider than the base pattern in keys, joints and characters.
 CONTEXT = re.compile(
     r"""(?:pass(?:word|wd|phrase|code)|pwd|secret|token|credentials?|(?:api|access|private|auth)[_-]?key)"""
-    r"""["'`]?[ \t]*(?:[:=]=?>?|->|\bis\b)[ \t]*(?:"([^"\n]+)"|'([^'\n]+)'|`([^`\n]+)`|([^\s"'`,;<>]+))""",
+    r"""["'`]?[ \t]*(?:[:=]=?>?|->|\bis\b)[ \t]*(?=\S)""",
     re.I | re.A,
 )
+#: A quoted value, at best with escapes, and what ends no unquoted one.
+QUOTED = {q: re.compile(rf"{q}(?:((?:[^{q}\\\n]|\\[^\n])++){q}|([^{q}\n]+){q})") for q in "\"'`"}
+UNQUOTED = re.compile(r"\S*")
+TRAILING = ".,;:\"'`<>)]}"
 #: Words that stand first in the guessing order; the corpus gives the rest.
 FIRST_WORDS = (
     "password", "passwd", "admin", "letmein", "welcome", "monkey", "dragon", "master", "login", "secret",
@@ -71,33 +76,26 @@ def guess_cost(value: str, ranks: dict[str, int], longest: int) -> float:
 
     Words cost their rank (times two for capitals, times two for digit
     substitutions), dates the days of 119 years, repeats their unit times its
-    count, walks their start times length, everything else its alphabet to the
-    power of its length. Each further segment doubles the guesses. Empty: 0.
+    count, walks their start times length, a space one guess, everything else its
+    alphabet to the power of its length. Each further segment doubles the guesses. Empty: 0.
     """
+    return suffix_costs(value, ranks, longest)[0]
+
+
+def suffix_costs(value: str, ranks: dict[str, int], longest: int) -> list[float]:
+    """`guess_cost` of value[i:] for every i."""
     n = len(value)
     lower = value.lower()
     plain = lower.translate(LEET)
-    dates = {}
-    for i in range(n):
-        m = DATE.match(value, i)
-        if m:
-            dates.setdefault(m.end(), []).append((i, math.log10(119 if m.end() - i == 4 else 119 * 365)))
-    runs, walk = [1] * n, [1] * n  # length of the repeat, of the walk, that ends here
-    for i in range(1, n):
-        if value[i] == value[i - 1]:
-            runs[i] = runs[i - 1] + 1
-        elif lower[i] in WALKS.get(lower[i - 1], ()):
-            walk[i] = walk[i - 1] + 1
-    best = [0.0] + [math.inf] * n  # smallest cost of value[:i]
-    brute = [math.inf] * (n + 1)  # the same, ending in a brute-force span
-    for end in range(1, n + 1):
-        brute[end] = min(brute[end - 1], best[end - 1] + (JOINT if end > 1 else 0)) + _char_cost(value[end - 1])
-        low = brute[end]
-
-        def other(start, cost):
-            return best[start] + cost + (JOINT if start else 0)
-
-        for start in range(max(0, end - longest), end - 1):
+    chars = [_char_cost(c) for c in value]
+    best = [0.0] * (n + 1)
+    rest = np.zeros(n + 1)  # the same with the joint before it, if anything is left
+    logs = np.log10(np.maximum(1, np.arange(n + 1)))
+    brute, run, walk = math.inf, 1, 1  # the cost with a brute-force span first; length of the repeat, of the walk, that starts here
+    for start in range(n - 1, -1, -1):
+        brute = chars[start] + min(brute, rest[start + 1])
+        low = rest[start + 1] if value[start].isspace() else brute
+        for end in range(start + 2, min(n, start + longest) + 1):
             word = lower[start:end]
             rank = ranks.get(word)
             extra = 0.0
@@ -107,24 +105,28 @@ def guess_cost(value: str, ranks: dict[str, int], longest: int) -> float:
             if rank is not None:
                 if word != value[start:end]:
                     extra += JOINT
-                low = min(low, other(start, math.log10(rank + 1) + extra))
-        for start, cost in dates.get(end, ()):
-            low = min(low, other(start, cost))
-        if runs[end - 1] >= 3:
-            low = min(low, other(end - runs[end - 1], _char_cost(value[end - 1]) + math.log10(runs[end - 1])))
-        for unit in (2, 3, 4):  # the last units are equal
+                low = min(low, math.log10(rank + 1) + extra + rest[end])
+        m = DATE.match(value, start)
+        if m:
+            low = min(low, math.log10(119 if m.end() - start == 4 else 119 * 365) + rest[m.end()])
+        last = start == n - 1
+        run = run + 1 if not last and value[start] == value[start + 1] else 1
+        walk = walk + 1 if not last and lower[start + 1] in WALKS.get(lower[start], ()) else 1
+        if run >= 3:
+            low = min(low, chars[start] + logs[run] + rest[start + run])
+        for unit in (2, 3, 4):  # the first units are equal
             count = 1
-            while end - unit * (count + 1) >= 0 and value[end - unit * (count + 1) : end - unit * count] == value[end - unit : end]:
+            while value[start + unit * count : start + unit * (count + 1)] == value[start : start + unit] and start + unit * (count + 1) <= n:
                 count += 1
                 if count > 64:
                     break
             if count >= 2:
-                cost = sum(map(_char_cost, value[end - unit : end])) + math.log10(count)
-                low = min(low, other(end - unit * count, cost))
-        if walk[end - 1] >= 3:
-            low = min(low, other(end - walk[end - 1], math.log10(36 * 2 * walk[end - 1])))
-        best[end] = low
-    return best[n]
+                low = min(low, sum(chars[start : start + unit]) + logs[count] + rest[start + unit * count])
+        if walk >= 3:
+            low = min(low, math.log10(36 * 2 * walk) + rest[start + walk])
+        best[start] = float(low)
+        rest[start] = low + JOINT
+    return best
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -136,16 +138,39 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def guessed_spans(text: str, ranks: dict[str, int], longest: int, least: float) -> list[tuple[int, int, float]]:
-    """(start, end, log10 guesses) of credential values that cost at least 10**least guesses."""
+    """(start, end, log10 guesses) of credential values that cost at least 10**least guesses.
+
+    A quoted value runs to its closing quote, any other to white space, without
+    trailing punctuation unless too little is left. A context inside a value
+    counts too; values that end alike are priced together.
+    """
     found = []
+    run_end, end, base, costs = 0, 0, 0, None
     for m in CONTEXT.finditer(text):
-        k = m.lastindex
-        value = m[k].rstrip(".") if k == 4 else m[k]
-        if len(value) < LEAST_VALUE or any(c.isspace() for c in value):
-            continue
-        cost = guess_cost(value, ranks, longest)
+        start = m.end()
+        quoted = QUOTED[text[start]].match(text, start) if text[start] in QUOTED else None
+        if quoted:
+            start, stop = quoted.span(quoted.lastindex)
+            if stop - start < LEAST_VALUE:
+                continue
+            cost = guess_cost(text[start:stop], ranks, longest)
+        else:
+            start += text[start] in QUOTED
+            if start >= run_end:
+                run_end, costs = UNQUOTED.match(text, start).end(), None
+                end = start + len(text[start:run_end].rstrip(TRAILING))
+            stop = end
+            if stop - start < LEAST_VALUE:
+                stop = start + len(text[start:run_end].rstrip(TRAILING[0]))
+                if stop - start < LEAST_VALUE:
+                    continue
+                cost = guess_cost(text[start:stop], ranks, longest)
+            else:
+                if costs is None:
+                    base, costs = start, suffix_costs(text[start:stop], ranks, longest)
+                cost = costs[start - base]
         if cost >= least:
-            found.append((m.start(k), m.start(k) + len(value), cost))
+            found.append((start, stop, cost))
     return found
 
 

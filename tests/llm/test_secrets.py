@@ -83,6 +83,20 @@ def test_guessable_values_are_no_secrets():
     assert secrets.guessed_spans(easy, RANKS, 8, 8.0) == []
 
 
+@pytest.mark.parametrize(("text", "values"), [
+    ('password = "9$Kq !vB2#mZx7"', ["9$Kq !vB2#mZx7"]), ('password = "monkey sun day"', []), ("password: a9$K,q!vB2#mZ, then", ["a9$K,q!vB2#mZ"]),
+    ("pwd=x9;Kq'!vB2#mZ; ", ["x9;Kq'!vB2#mZ"]), ("token is password: x9$Kq!vB2#mZ", ["x9$Kq!vB2#mZ"]), ("secret=token=x9$Kq!vB2#mZ.", ["token=x9$Kq!vB2#mZ", "x9$Kq!vB2#mZ"]),
+    ('pwd = "x9$Kq!vB2#mZ', ["x9$Kq!vB2#mZ"]), (r'pwd = "x9\"Kq!vB2#mZ" "', [r'x9\"Kq!vB2#mZ']), ("pwd: 'C:\\x9$Kq!\\'", ["C:\\x9$Kq!\\"]), ("pwd is aß3$x)", ["aß3$x)"]), ("secret: ", []),
+])
+def test_values_are_read_whole(text, values):
+    assert [text[s:e] for s, e, _ in secrets.guessed_spans(text, RANKS, 8, 8.0)] == values
+
+
+def test_many_contexts_in_one_value_take_linear_time():
+    text = "token=" * 4000 + "x9$Kq!vB2#mZ"
+    assert secrets.guessed_spans(text, RANKS, 8, 8.0)[-1][:2] == (24000, 24012)
+
+
 def test_scan_keeps_base_and_gives_every_row(spark, docs):
     data = corpus.rows() + [(900 + i, t, None, None, None) for i, t in enumerate(TEXTS)]
     found = secrets.scan(corpus.table(spark, data), ["wordlist"]).collect()
