@@ -45,7 +45,8 @@ FIRST_WORDS = (
     "princess", "football", "baseball", "iloveyou", "trustno", "superman", "batman", "qwerty", "abc", "pass",
     "token", "key", "none", "null", "true", "false", "your", "here", "placeholder", "insert",
 )
-KEY_ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz")
+KEY_ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz")  # the first four lie one below the other
+YEAR = re.compile(r"(?:19|20)\d\d")
 DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d")
 LEET = str.maketrans("013457@$!", "oieastasi")
 JOINT = math.log10(2)
@@ -53,10 +54,12 @@ JOINT = math.log10(2)
 
 def _walks() -> dict[str, set[str]]:
     near: dict[str, set[str]] = {}
-    for row in KEY_ROWS:
-        for a, b in zip(row, row[1:]):
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
+    pairs = [pair for row in KEY_ROWS for pair in zip(row, row[1:])]
+    for above, below in zip(KEY_ROWS[:3], KEY_ROWS[1:4]):  # a key touches the two above it
+        pairs += [*zip(above, below), *zip(above[1:], below)]
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
     return near
 
 
@@ -75,15 +78,19 @@ def guess_cost(value: str, ranks: dict[str, int], longest: int) -> float:
     """log10 of the fewest guesses over all segmentations of `value`.
 
     Words cost their rank (times two for capitals, times two for digit
-    substitutions), dates the days of 119 years, repeats their unit times its
-    count, walks their start times length, a space one guess, everything else its
+    substitutions), dates the days of 119 years, repeats of a unit of any
+    length the unit times its count, walks over neighbouring keys their start times length, a space one guess, everything else its
     alphabet to the power of its length. Each further segment doubles the guesses. Empty: 0.
     """
     return suffix_costs(value, ranks, longest)[0]
 
 
 def suffix_costs(value: str, ranks: dict[str, int], longest: int) -> list[float]:
-    """`guess_cost` of value[i:] for every i."""
+    """`guess_cost` of value[i:] for every i.
+
+    Units that repeat come from how far value[i:] agrees with value[i+u:] for each
+    u: vector steps whose work is the square of the value's length.
+    """
     n = len(value)
     lower = value.lower()
     plain = lower.translate(LEET)
@@ -91,7 +98,11 @@ def suffix_costs(value: str, ranks: dict[str, int], longest: int) -> list[float]
     best = [0.0] * (n + 1)
     rest = np.zeros(n + 1)  # the same with the joint before it, if anything is left
     logs = np.log10(np.maximum(1, np.arange(n + 1)))
-    brute, run, walk = math.inf, 1, 1  # the cost with a brute-force span first; length of the repeat, of the walk, that starts here
+    sums = np.concatenate([[0.0], np.cumsum(chars)])
+    codes = np.array([ord(c) for c in value], dtype=np.int32)
+    units = np.arange(1, n // 2 + 1)
+    same = np.zeros(n // 2, dtype=np.int64)  # by unit: how far the value from here agrees with itself one unit on
+    brute, walk = math.inf, 1  # the cost with a brute-force span first, the length of the walk that starts here
     for start in range(n - 1, -1, -1):
         brute = chars[start] + min(brute, rest[start + 1])
         low = rest[start + 1] if value[start].isspace() else brute
@@ -106,24 +117,26 @@ def suffix_costs(value: str, ranks: dict[str, int], longest: int) -> list[float]
                 if word != value[start:end]:
                     extra += JOINT
                 low = min(low, math.log10(rank + 1) + extra + rest[end])
-        m = DATE.match(value, start)
-        if m:
-            low = min(low, math.log10(119 if m.end() - start == 4 else 119 * 365) + rest[m.end()])
-        last = start == n - 1
-        run = run + 1 if not last and value[start] == value[start + 1] else 1
-        walk = walk + 1 if not last and lower[start + 1] in WALKS.get(lower[start], ()) else 1
-        if run >= 3:
-            low = min(low, chars[start] + logs[run] + rest[start + run])
-        for unit in (2, 3, 4):  # the first units are equal
-            count = 1
-            while value[start + unit * count : start + unit * (count + 1)] == value[start : start + unit] and start + unit * (count + 1) <= n:
-                count += 1
-                if count > 64:
-                    break
-            if count >= 2:
-                low = min(low, sum(chars[start : start + unit]) + logs[count] + rest[start + unit * count])
+        for m in (DATE.match(value, start), YEAR.match(value, start)):
+            if m:
+                low = min(low, math.log10(119 if m.end() - start == 4 else 119 * 365) + rest[m.end()])
+        ahead = min(n - start - 1, n // 2)
+        equal = codes[start + 1 : start + 1 + ahead] == codes[start]
+        same[:ahead] = (same[:ahead] + 1) * equal
+        repeated = units[: (n - start) // 2]
+        repeated = repeated[same[: len(repeated)] >= repeated]
+        while len(repeated):
+            unit = int(repeated[0])
+            reach = unit + int(same[unit - 1])
+            least = 3 if unit == 1 else 2
+            if reach // unit >= least:
+                tails = rest[start + unit * least : start + reach + 1 : unit]
+                low = min(low, sums[start + unit] - sums[start] + float((tails + logs[least : least + len(tails)]).min()))
+            repeated = repeated[1:]  # and no multiple that is itself a repeat of this unit, which costs less
+            repeated = repeated[(repeated % unit != 0) | (repeated > reach)]
+        walk = walk + 1 if start < n - 1 and lower[start + 1] in WALKS.get(lower[start], ()) else 1
         if walk >= 3:
-            low = min(low, math.log10(36 * 2 * walk) + rest[start + walk])
+            low = min(low, math.log10(36 * 2) + float((rest[start + 3 : start + walk + 1] + logs[3 : walk + 1]).min()))
         best[start] = float(low)
         rest[start] = low + JOINT
     return best

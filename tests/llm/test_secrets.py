@@ -1,6 +1,7 @@
 import hashlib
 import itertools
 import math
+import random
 import re
 
 import corpus
@@ -77,6 +78,51 @@ def test_cost_is_the_least_over_all_segmentations(value):
         assert found == pytest.approx(brute)
 
 
+KEYS = "1234567890 qwertyuiop asdfghjkl zxcvbnm".split()
+TOUCH = {frozenset(p) for row in (*KEYS, "abcdefghijklmnopqrstuvwxyz") for p in zip(row, row[1:])} | {
+    frozenset((KEYS[r][c + d], key)) for r in range(3) for c, key in enumerate(KEYS[r + 1]) for d in (0, 1) if c + d < len(KEYS[r])
+}
+
+
+def open_price(s):
+    """The cheapest reading of one segment, with units of any length and a key map of its own."""
+    costs = [sum(map(secrets._char_cost, s))]
+    low = s.lower()
+    if s == " ":
+        return 0.0
+    if low in RANKS:
+        costs.append(math.log10(RANKS[low] + 1) + math.log10(2) * (low != s))
+    if re.fullmatch(r"(?:19|20)\d\d", s):
+        costs.append(math.log10(119))
+    for unit in range(1, len(s) // 2 + 1):
+        if s == s[:unit] * (len(s) // unit) and (unit > 1 or len(s) > 2):
+            costs.append(sum(map(secrets._char_cost, s[:unit])) + math.log10(len(s) // unit))
+    if len(s) >= 3 and all(frozenset(p) in TOUCH for p in zip(low, low[1:])):
+        costs.append(math.log10(72 * len(s)))
+    return min(costs)
+
+
+def open_cost(value):
+    best = [0.0]
+    for end in range(1, len(value) + 1):
+        best.append(min(best[i] + open_price(value[i:end]) + math.log10(2) * (i > 0) for i in range(end)))
+    return best[-1]
+
+
+@pytest.mark.parametrize("value", [
+    "x7Kp2x7Kp2x7Kp2", "1qaz2wsx", "qazwsx", "ab" * 150, "x1Z" * 90 + "x1", "monkeyuio", "xx9Kpv4xx9Kpv4", "abcabcXabcabcX" * 3, "aaaaaa" * 8, "sun day", "zsunsunsunz", "20192019x",
+    *("".join(random.Random(i).choices("ab", k=24)) for i in range(25)), *("".join(random.Random(i).choices("qa1wz ", k=14)) for i in range(25)),
+])
+def test_cost_with_any_unit_and_all_neighbouring_keys(value):
+    found = secrets.suffix_costs(value, RANKS, 8)
+    assert found[0] == pytest.approx(open_cost(value)) and found[len(value) // 2] == pytest.approx(open_cost(value[len(value) // 2 :]))
+
+
+@pytest.mark.parametrize("value", ["x7Kp2x7Kp2x7Kp2", "1qaz2wsx", "qazwsx", "+-" * 200, "ab9" * 120])
+def test_repeats_and_key_columns_are_no_secrets(value):
+    assert secrets.guessed_spans(f"password: {value}", RANKS, 8, 8.0) == []
+
+
 def test_guessable_values_are_no_secrets():
     hard, easy = "passphrase is x9$Kq!vB2#mZ", "passphrase is monkeysunday"
     assert [(s, e) for s, e, _ in secrets.guessed_spans(hard, RANKS, 8, 8.0)] == [(14, 26)]
