@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 import unicodedata
 from collections import Counter
 from dataclasses import dataclass, field
@@ -23,27 +24,34 @@ from pyspark.sql import functions as F
 
 from millwatch.llm import common
 
-#: Letters of other scripts by the Latin letter they look like.
+#: Letters of other scripts and marked or small capital letters by the Latin letter they look like.
 LOOKALIKES = {
-    "a": "аɑα", "b": "Ьвβ", "c": "сϲ", "d": "ԁ", "e": "еєε", "h": "һн", "i": "іιı", "j": "ј", "k": "кκ", "m": "м",
-    "n": "пη", "o": "оοσ", "p": "рρ", "s": "ѕ", "t": "тτ", "u": "υս", "v": "ν", "w": "ѡω", "x": "хχ", "y": "уγ",
+    "a": "аɑαᴀ", "b": "ьвβʙ", "c": "сςᴄ", "d": "ԁđᴅ", "e": "еєεᴇ", "f": "ƒϝꜰ", "g": "ɡցɢ", "h": "һнħʜ", "i": "іιıɪ", "j": "јᴊ", "k": "кκᴋ",
+    "l": "ӏłǀʟ", "m": "мᴍ", "n": "пηոɴ", "o": "оοσᴏ", "p": "рρᴘ", "q": "ԛզ", "r": "гʀ", "s": "ѕꜱ", "t": "тτŧᴛ", "u": "υսᴜ", "v": "νᴠ",
+    "w": "ѡωԝᴡ", "x": "хχ", "y": "уγʏ", "z": "ᴢʐ",
 }
+#: What is not seen in a word, format characters and joiners.
+UNSEEN = [c for c in map(chr, range(0x80, sys.maxunicode + 1)) if unicodedata.category(c) == "Cf" or c == "\u034f" or "\ufe00" <= c <= "\ufe0f"]
 #: Digits and signs by the letter they stand for; i, l and 1 become one letter.
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "i", "l": "i"}
-FOLD = str.maketrans({c: k for k, v in LOOKALIKES.items() for c in v} | {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o"})
-#: Between a letter and a letter the signs are read as letters; a sign at a word's end is punctuation.
-TOKEN = re.compile(r"[^\W_](?:[^\W_]|[@$!|](?=[^\W_]))*")
+FOLD = str.maketrans({c: k for k, v in LOOKALIKES.items() for c in v} | {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o"} | dict.fromkeys(UNSEEN))
+#: Before and between letters the signs are read as letters; a sign at a word's end is punctuation.
+TOKEN = re.compile(r"(?:[^\W_]|[@$!|](?=[^\W\d_]))(?:[^\W_]|[@$!|](?=[^\W_]))*")
+SIGNED = re.compile(r"[@$!|][^\W\d_]")
 SUBSTITUTE = str.maketrans(DIGITS)
 EDGE = "\x00"
 PREFIXES = range(4, 9)
 
 
 def fold(text: str) -> list[str]:
-    """Folded words of a text, in order; numbers stay numbers."""
+    """Folded words of a text, in order; numbers stay numbers. A word after a sign is given with and without it."""
     text = text.lower()
     if not text.isascii():
         text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).lower().translate(FOLD)
-    return [w if w.isdigit() else w.translate(SUBSTITUTE) for w in TOKEN.findall(text)]
+    words = TOKEN.findall(text)
+    if SIGNED.search(text):
+        words = [form for w in words for form in ((w,) if w[0].isalnum() else (w, w[1:]))]
+    return [w if w.isdigit() else w.translate(SUBSTITUTE) for w in words]
 
 
 @dataclass

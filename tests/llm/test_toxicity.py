@@ -15,6 +15,23 @@ def test_folding_reads_lookalikes_and_digits():
     assert toxicity.fold("") == []
 
 
+@pytest.mark.parametrize(("text", "word"), [
+    ("cl\u200bown", "clown"), ("id\u00adiot", "idiot"), ("i\ufe0fdi\u2060ot", "idiot"), ("ɡarbaɡe", "garbage"), ("c\u04c0own C\u04cfOWN", "clown"),
+    ("\u051bueer", "queer"), ("ᴢero", "zero"), ("ƒool", "fool"), ("@sshole", "asshole"), ("$tupid", "stupid"), ("(!diot)", "idiot"),
+    ("@clown", "clown"), ("wow !clown", "clown"), ("|clown|", "clown"),
+])
+def test_disguised_words_are_hits(text, word):
+    lexicon = toxicity.Lexicon({toxicity.EDGE + toxicity.fold(word)[0] + toxicity.EDGE: 3.0})
+    assert lexicon.features(text, lexicon.matcher())[2] == len(text.split()) - ("wow" in text)
+
+
+def test_every_letter_has_lookalikes_of_its_own():
+    found = [c for letters in toxicity.LOOKALIKES.values() for c in letters]
+    assert len(found) == len(set(found)) and set(toxicity.LOOKALIKES) == set("abcdefghijklmnopqrstuvwxyz")
+    assert all(toxicity.fold(f"{c}ab") == toxicity.fold(f"{k}ab") for k, letters in toxicity.LOOKALIKES.items() for c in letters)
+    assert toxicity.fold("it costs $5 | 7!") == [*toxicity.fold("it costs"), "5", "7"]
+
+
 def test_exception_phrases_take_hits_back():
     edge = toxicity.EDGE
     lexicon = toxicity.Lexicon({f"{edge}trash{edge}": 3.0, f"{edge}scu": 2.0}, ("trash can",))
