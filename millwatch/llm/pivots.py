@@ -25,7 +25,14 @@ def quantise(v: np.ndarray) -> np.ndarray:
 
 
 def choose(sample: np.ndarray, n: int) -> np.ndarray:
-    """Pivots far from each other: each next one is the row farthest from those chosen."""
+    """Pivots far from each other: each next one is the row farthest from those chosen.
+
+    Rows so long that distances to them would be rounded are no pivots; none may be left.
+    """
+    with np.errstate(over="ignore"):
+        sample = sample[(sample**2).sum(axis=1) < EXACT]
+    if not len(sample):
+        return sample
     chosen = [int(np.argmax((sample**2).sum(axis=1)))]
     near = np.full(len(sample), np.inf)
     while len(chosen) < min(n, len(sample)):
@@ -60,7 +67,7 @@ def search_block(ids, v, query_ids, queries, k, pivots):
     table, asked = distances(v, pivots), distances(queries, pivots)
     squares, own = (v**2).sum(axis=1), (queries**2).sum(axis=1)
     for query_id, query, d, square in zip(query_ids, queries, asked, own):
-        low = np.abs(table - d).max(axis=1)
+        low = np.abs(table - d).max(axis=1, initial=0)
         # the slack covers rounding in the pivot distances
         bound = (squares + square - low**2) / 2 + 1e-7 * (squares + square) + 1e-3
         order = np.argsort(-bound, kind="stable")

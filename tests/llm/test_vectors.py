@@ -72,6 +72,19 @@ def test_products_beyond_doubles_stay_exact():
     assert best.tolist() == [i for _, i in wanted] and scores[0] == 2**63 - 1
 
 
+@pytest.mark.parametrize("size", [1e15, 1e16, 1e17, 1e200])
+def test_an_outlier_among_the_pivots_cuts_no_row(size):
+    rng = np.random.default_rng(8)
+    v = np.floor(rng.normal(0, 20, (4000, 8)))
+    ids = np.arange(4000)
+    far = np.full((1, 8), size)
+    assert len(pivots.choose(far, 4)) == 0
+    for chosen in (pivots.choose(np.concatenate([v[:50], far]), 4), pivots.choose(far, 4)):
+        for i, (_, best, scores) in enumerate(pivots.search_block(ids, v, ids[:20], v[:20], 5, chosen)):
+            wanted = sorted((-int(x @ v[i]), j) for j, x in enumerate(v) if j != i)[:5]
+            assert [(-int(s), int(j)) for s, j in zip(scores, best)] == wanted
+
+
 def test_pigeonhole_probing_finds_the_whole_ball():
     rng = np.random.default_rng(7)
     codes = rng.integers(0, 1 << 16, (2000, 4)).astype("<u2")
