@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millwatch.llm import hamming_index, lines, mixing, packing, pivots, repeats, secrets, simhash, toxicity, warc
+from millwatch.llm import hamming_index, licenses, lines, mixing, packing, pivots, repeats, secrets, simhash, toxicity, warc
 from millwatch.llm.common import table
 
 
@@ -56,11 +56,15 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derive(warc.responses(table(spark, sf_dir, "pages")))
 
 
+def op11_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.labelled(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_toxicity, op3_packing, op4_hamming_neighbours, op5_source_mixing, op6_repeats,
-        op7_line_dedup, op8_pivot_top_k, op9_simhash, op10_warc_derivatives,
+        op7_line_dedup, op8_pivot_top_k, op9_simhash, op10_warc_derivatives, op11_license_notices,
     )
 }
 
