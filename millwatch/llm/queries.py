@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millwatch.llm import hamming_index, licenses, lines, mixing, packing, pivots, repeats, secrets, simhash, toxicity, warc
+from millwatch.llm import hamming_index, licenses, lines, merkle, mixing, packing, pivots, repeats, secrets, simhash, toxicity, warc
 from millwatch.llm.common import table
 
 
@@ -60,11 +60,16 @@ def op11_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.labelled(table(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.newline_audit(table(spark, sf_dir, "documents")).drop("tampered")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_toxicity, op3_packing, op4_hamming_neighbours, op5_source_mixing, op6_repeats,
         op7_line_dedup, op8_pivot_top_k, op9_simhash, op10_warc_derivatives, op11_license_notices,
+        op12_merkle_manifest,
     )
 }
 
@@ -131,4 +136,55 @@ WITH taken AS (
 SELECT * FROM best WHERE rank <= 5
 """
 
-ORACLES = {"op6_repeats": _REPEATS, "op7_line_dedup": _LINES, "op8_pivot_top_k": _PRODUCTS}
+_MERKLE = """
+WITH RECURSIVE crc_table AS (
+    SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)),
+        lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t
+), given AS (
+    SELECT doc_id, source, coalesce(xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+               lambda c, b: xor(t[CAST(xor(c, b) & 255 AS INTEGER) + 1], c // 256)), 4294967295) % 2 = 0, FALSE) AS tampered,
+           coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+               || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+           text, replace(text, chr(10), '') AS joined
+    FROM documents, crc_table
+), leaves AS (
+    SELECT *, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+           sha256(head || CASE WHEN tampered THEN coalesce(strlen(joined) || ':' || joined, '-') ELSE coalesce(strlen(text) || ':' || text, '-') END) AS claimed
+    FROM given
+), placed AS (
+    SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, leaf) AS id, *,
+           row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM leaves
+), trees AS (
+    SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, count(*) OVER () AS n_trees FROM (SELECT DISTINCT source FROM leaves)
+), up AS (
+    SELECT tree, 0 AS level, i, leaf AS d, n FROM placed JOIN trees ON placed.source IS NOT DISTINCT FROM trees.source
+    UNION ALL
+    SELECT tree, level + 1, i // 3, sha256(string_agg(d, '' ORDER BY i)), (n + 2) // 3 FROM up WHERE n > 1 GROUP BY tree, level, i // 3, n
+), subroots AS (
+    SELECT tree, d AS subroot FROM up WHERE n = 1
+), top AS (
+    SELECT 0 AS level, tree AS i, subroot AS d, (SELECT count(*) FROM subroots) AS n FROM subroots
+    UNION ALL
+    SELECT level + 1, i // 3, sha256(string_agg(d, '' ORDER BY i)), (n + 2) // 3 FROM top WHERE n > 1 GROUP BY level, i // 3, n
+), runs AS (
+    SELECT tree, level, i // 3 AS run, list(d ORDER BY i) AS ds FROM up WHERE n > 1 GROUP BY ALL
+    UNION ALL
+    SELECT -1, level, i // 3, list(d ORDER BY i) FROM top WHERE n > 1 GROUP BY ALL
+), climb AS (
+    SELECT id, tree, tree AS at_tree, 0 AS level, i, n, n_trees, claimed AS folded, '' AS siblings
+    FROM placed JOIN trees ON placed.source IS NOT DISTINCT FROM trees.source
+    UNION ALL
+    SELECT id, c.tree, CASE WHEN n > 1 THEN at_tree ELSE -1 END, CASE WHEN n > 1 THEN c.level + 1 ELSE 0 END,
+           CASE WHEN n > 1 THEN i // 3 ELSE c.tree END, CASE WHEN n > 1 THEN (n + 2) // 3 ELSE n_trees END, n_trees,
+           CASE WHEN n > 1 THEN sha256(coalesce(array_to_string(ds[1 : i % 3], ''), '') || folded || coalesce(array_to_string(ds[i % 3 + 2 : 3], ''), '')) ELSE folded END,
+           CASE WHEN n > 1 THEN siblings || coalesce(array_to_string(ds[1 : i % 3], ''), '') || coalesce(array_to_string(ds[i % 3 + 2 : 3], ''), '') ELSE siblings END
+    FROM climb c LEFT JOIN runs r ON r.tree = at_tree AND r.level = c.level AND r.run = i // 3
+    WHERE n > 1 OR at_tree >= 0
+), folded AS (
+    SELECT id, tree, folded, siblings FROM climb WHERE n = 1 AND at_tree = -1
+)
+SELECT doc_id, leaf, subroot, root.d AS root, sha256(siblings) AS proof_sha256, folded AS folded_root, folded = root.d AS verified
+FROM placed JOIN folded USING (id) JOIN subroots USING (tree) CROSS JOIN (SELECT d FROM top WHERE n = 1) root
+"""
+
+ORACLES = {"op6_repeats": _REPEATS, "op7_line_dedup": _LINES, "op8_pivot_top_k": _PRODUCTS, "op12_merkle_manifest": _MERKLE}

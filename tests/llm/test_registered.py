@@ -12,6 +12,7 @@ COLUMNS = {
     5: "doc_id size source_size target taken", 6: "doc_id n_bytes n_removed n_spans kept_sha256",
     7: "doc_id n_lines n_dropped kept_sha256", 8: "query_id rank vec_id score", 9: "doc_id fingerprint component_id",
     10: "page_id warc_type record_id refers_to", 11: "doc_id n_words n_base first_word last_word base_labels labels score",
+    12: "doc_id leaf subroot root proof_sha256 folded_root verified",
 }
 
 
