@@ -29,6 +29,28 @@ def test_ids_are_those_of_the_tokenizer(tokenizer):
         assert list(fast(text)) == wanted == list(exact(text))
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 1_000_000, "a" * 1_000_000, "word " * 200_000, "x" + "\t " * 500_000 + "y"], ids=["spaces", "lines", "letter", "words", "mixed"])
+def test_very_long_texts(spark, tokenizer, text):
+    """A long run of white space would end the worker in the faster encoder."""
+    wanted = [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
+    found = packing.pack(corpus.table(spark, [(1, text, None, None, None)]), **VOCABULARY).orderBy("start").collect()
+    assert np.frombuffer(b"".join(r["ids"] for r in found), "<u4").tolist() == wanted
+
+
+def test_runs_at_the_limit_of_the_faster_encoder(tokenizer):
+    fast = packing.encoder(**VOCABULARY)
+    for n in (9_999, 10_000, 10_001):
+        for text in ("a" + " " * n + "b", "a" + "\r\n" * (n // 2) + "b"):
+            assert list(fast(text)) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_special_strings_can_be_plain_text(tokenizer):
+    text = "x<|endoftext|>y"
+    plain = packing.encoder(**VOCABULARY, specials=False)
+    assert 50256 in packing.encoder(**VOCABULARY)(text) and 50256 not in plain(text)
+    assert list(plain(text)) == list(packing.encoder(VOCABULARY["vocabulary"], None, specials=False)(text))
+
+
 def test_every_id_lies_in_one_piece(spark, tokenizer):
     data = corpus.rows() + [(500 + i, t, None, None, None) for i, t in enumerate(STRANGE)]
     found = packing.pack(corpus.table(spark, data), **VOCABULARY).collect()
