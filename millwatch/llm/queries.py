@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millwatch.llm import hamming_index, licenses, lines, merkle, mixing, packing, pivots, repeats, secrets, simhash, toxicity, warc
+from millwatch.llm import alignment, hamming_index, licenses, lines, merkle, mixing, packing, pivots, repeats, secrets, simhash, toxicity, warc
 from millwatch.llm.common import table
 
 
@@ -64,12 +64,16 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.newline_audit(table(spark, sf_dir, "documents")).drop("tampered")
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), pieces=public_tokenizers.path("piece_bpe_32k.model"), **vocabulary())
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_toxicity, op3_packing, op4_hamming_neighbours, op5_source_mixing, op6_repeats,
         op7_line_dedup, op8_pivot_top_k, op9_simhash, op10_warc_derivatives, op11_license_notices,
-        op12_merkle_manifest,
+        op12_merkle_manifest, op13_token_alignment,
     )
 }
 

@@ -13,6 +13,7 @@ COLUMNS = {
     7: "doc_id n_lines n_dropped kept_sha256", 8: "query_id rank vec_id score", 9: "doc_id fingerprint component_id",
     10: "page_id warc_type record_id refers_to", 11: "doc_id n_words n_base first_word last_word base_labels labels score",
     12: "doc_id leaf subroot root proof_sha256 folded_root verified",
+    13: "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
 }
 
 
