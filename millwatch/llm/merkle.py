@@ -9,6 +9,7 @@ All work is column expressions and SQL.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millwatch.llm import common
+from millwatch.session import scratch_path
 
 #: Digests in a run, and the fields of a leaf in order.
 RUN = 3
@@ -128,6 +130,19 @@ def _trees(rows: DataFrame, most: int, name: str) -> tuple[DataFrame, DataFrame]
         rows = found.filter(_more(level)).select("base", "rank", "n", F.col("block").alias("at"), "digest")
 
 
+def _bucketed(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """A stored copy in buckets of `key`, so that a join on it in every step of the climb leaves these rows where they are.
+
+    The catalog entry goes at once; the files stay in the shared folder.
+    """
+    spark, table = rows.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key).option("path", scratch_path(spark, name)).saveAsTable(table)
+    stored = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return stored
+
+
 def _numbered(level: Column, place: Column) -> Column:
     return F.shiftleft(level.cast("long"), SHIFT) + place
 
@@ -177,7 +192,7 @@ def manifest(docs: DataFrame, keep: dict[str, Column] | None = None, fields: Seq
         F.when(several, F.pmod(at, F.lit(RUN))).otherwise(above_pos).cast("int").alias("start_pos"),
     )
     return Manifest(
-        start, common.stored(linked, "merkle-nodes"), trees.select("base", "rank", "n", F.col("digest").alias("subroot")), root[0] if root else None
+        start, _bucketed(linked, "node", "merkle_nodes"), trees.select("base", "rank", "n", F.col("digest").alias("subroot")), root[0] if root else None
     )
 
 

@@ -100,6 +100,12 @@ def test_ranks_cross_partitions(spark):
     assert found == list(range(5000))
 
 
+def test_nodes_lie_in_buckets_of_their_number(spark, docs):
+    tree = merkle.manifest(docs)
+    plan = tree.nodes.groupBy("node").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and "Exchange" not in plan
+
+
 def test_climb_runs_no_python(spark, docs):
     plan = merkle.newline_audit(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
