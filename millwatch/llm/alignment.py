@@ -59,16 +59,20 @@ class Sparse:
         reached = np.r_[0, np.cumsum(np.diff(other.indptr)[self.indices])]
         return reached[self.indptr[1:]] - reached[self.indptr[:-1]]
 
+    def reach(self, other: Sparse) -> np.ndarray:
+        """For each entry, how many the transposed of `other` has in the row it names."""
+        return np.bincount(other.indices, minlength=other.columns)[self.indices]
+
     def times(self, other: Sparse, block: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Gustavson's product by rows: row i is the sum of the rows of `other` that row i names.
 
         Gives (row, column, value) in order, for blocks of whole rows that reach
         about `block` entries. A row that reaches more is a block of its own.
         """
-        reach = np.r_[0, np.cumsum(self.work(other))]
+        work = np.r_[0, np.cumsum(self.work(other))]
         at = 0
         while at < self.rows:
-            end = max(at + 1, int(np.searchsorted(reach, reach[at] + block, side="right")) - 1)
+            end = max(at + 1, int(np.searchsorted(work, work[at] + block, side="right")) - 1)
             yield self._rows(other, at, end)
             at = end
 
@@ -81,12 +85,15 @@ class Sparse:
         place = np.arange(total) + np.repeat(other.indptr[named] - np.r_[0, np.cumsum(sizes)[:-1]], sizes)
         column, value = other.indices[place], np.repeat(self.data[a:b], sizes) * other.data[place]
         key = row * other.columns + column
-        if total > 1 and (key[1:] < key[:-1]).any():
+        if not total:
+            return row, column, value
+        step = key[1:] - key[:-1]
+        if step.min(initial=0) < 0:
             order = np.argsort(key, kind="stable")
-            key, value = key[order], value[order]
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if total else np.empty(0, dtype=np.int64)
-        key = key[first]
-        return key // other.columns, key % other.columns, np.add.reduceat(value, first) if total else value
+            row, column, value = row[order], column[order], value[order]
+            step = np.diff(key[order])
+        first = np.r_[0, np.flatnonzero(step) + 1]
+        return row[first], column[first], np.add.reduceat(value, first)
 
 
 @dataclass(frozen=True)
@@ -107,10 +114,18 @@ class Aligned:
     @cached_property
     def shared_ends(self) -> np.ndarray:
         """Byte offsets where tokens of both end; each ends a group."""
-        return self.a_ends[np.isin(self.a_ends, self.b_ends, assume_unique=True)]
+        return self.a_ends[self.b_ends[np.searchsorted(self.b_ends, self.a_ends)] == self.a_ends]
+
+    @cached_property
+    def a_groups(self) -> Sparse:
+        """Tokens of A against their group."""
+        return self._grouped(self.a_ends)
 
-    def grouped(self, ends: np.ndarray) -> Sparse:
-        """Tokens against their group."""
+    @cached_property
+    def b_groups(self) -> Sparse:
+        return self._grouped(self.b_ends)
+
+    def _grouped(self, ends: np.ndarray) -> Sparse:
         return Sparse.ones(np.arange(len(ends) + 1), np.searchsorted(self.shared_ends, ends), len(self.shared_ends))
 
     def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,11 +137,11 @@ class Aligned:
 
     def group_links(self, block: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """The same of tokens in one group, in blocks: a long group has the product of its sizes."""
-        yield from self.grouped(self.a_ends).times(self.grouped(self.b_ends).transposed(), block)
+        yield from self.a_groups.times(self.b_groups.transposed(), block)
 
     def n_group_links(self) -> int:
         """Their number, from the sizes of the rows: groups are disjoint, so no two entries are one link."""
-        return int(self.grouped(self.a_ends).work(self.grouped(self.b_ends).transposed()).sum())
+        return int(self.a_groups.reach(self.b_groups).sum())
 
 
 class Aligner:
@@ -139,8 +154,10 @@ class Aligner:
         self.model = sentencepiece.SentencePieceProcessor(model_file=pieces)
         self.bytes_a, self.bytes_b = byte_entries(vocabulary), piece_entries(self.model)
         self.sizes_a, self.sizes_b = (np.array([len(x) for x in entries], dtype=np.int64) for entries in (self.bytes_a, self.bytes_b))
-        self.said_a = [f"{i},".encode() for i in range(len(self.bytes_a))] + [f"{i}|".encode() for i in range(len(self.bytes_a))]
-        self.said_b = [f"{i},".encode() for i in range(len(self.bytes_b))] + [f"{i};".encode() for i in range(len(self.bytes_b))]
+        n_a, n_b = len(self.bytes_a), len(self.bytes_b)
+        spelled = lambda n, end: [f"{i}{sign}".encode() for sign in ("," + end) for i in range(n)]
+        #: Each id before a comma and as the last of its side in a group; shorter ones are filled up with zero bytes.
+        self.said_a, self.said_b = np.array(spelled(n_a, "|")), np.array(spelled(n_b, ";"))
 
     def align(self, text: str) -> Aligned | None:
         """None if the text is empty or either tokenizer changes its bytes."""
@@ -155,17 +172,13 @@ class Aligner:
 
     def said(self, found: Aligned) -> bytes:
         """Groups as text: ids of A, a bar, ids of B, with a semicolon between groups."""
-        ends = found.shared_ends
-        group_a, group_b = np.searchsorted(ends, found.a_ends), np.searchsorted(ends, found.b_ends)
+        group_a, group_b = found.a_groups.indices, found.b_groups.indices
         last_a, last_b = (np.r_[g[1:] != g[:-1], True] for g in (group_a, group_b))
-        words = np.empty(len(group_a) + len(group_b), dtype=object)
+        words = np.empty(len(group_a) + len(group_b), dtype=max(self.said_a.dtype, self.said_b.dtype))
         # a token follows those of its side, and the other side's of earlier groups (of its own, too, for B)
-        at_a = np.arange(len(group_a)) + np.searchsorted(group_b, group_a, side="left")
-        at_b = np.arange(len(group_b)) + np.searchsorted(group_a, group_b, side="right")
-        n_a, n_b = len(self.bytes_a), len(self.bytes_b)
-        words[at_a] = [self.said_a[i] for i in (found.a + n_a * last_a).tolist()]
-        words[at_b] = [self.said_b[i] for i in (found.b + n_b * last_b).tolist()]
-        return b"".join(words.tolist())[:-1]
+        words[np.arange(len(group_a)) + np.searchsorted(group_b, group_a, side="left")] = self.said_a[found.a + len(self.bytes_a) * last_a]
+        words[np.arange(len(group_b)) + np.searchsorted(group_a, group_b, side="right")] = self.said_b[found.b + len(self.bytes_b) * last_b]
+        return words.tobytes().translate(None, b"\0")[:-1]
 
 
 def byte_entries(vocabulary: str) -> list[bytes]:
