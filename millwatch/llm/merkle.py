@@ -24,13 +24,16 @@ RUN = 3
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 #: Levels built in one pass over groups of RUN ** HEIGHT digests.
 HEIGHT = 6
+#: Leaves of so many consecutive numbers meet a node's row together: a node high up has a row for each such block below it,
+#: so that no key of a step's join holds more leaves, and all levels together have few rows more.
+BLOCK = RUN**HEIGHT
 #: A node's number is its level, shifted, and its place; levels of the tree over sources begin at TOP.
 SHIFT, TOP = 56, 64
 
 
 @dataclass(frozen=True)
 class Manifest:
-    """leaves: number, doc_id, leaf, base, then columns kept; nodes: node, parent, pos, children; trees: base, rank, n, subroot; root: hex.
+    """leaves: number, doc_id, leaf, base, then columns kept; nodes: node, block, parent, pos, children; trees: base, rank, n, subroot; root: hex.
 
     `number` is a leaf's place in the order of sources and ids, `base` that of
     its tree's first leaf. Digests in tables are binary; `children` joins those
@@ -91,13 +94,12 @@ def _more(level: int) -> Column:
 
 
 def _levels(rows: DataFrame, level: int) -> DataFrame:
-    """base, rank, n, block, digest, nodes: groups of RUN ** HEIGHT digests of one level, taken HEIGHT levels up.
+    """base, rank, n, block, digest, nodes: groups of BLOCK digests of one level, taken HEIGHT levels up.
 
     `digest` is the group's node at the last level, or its tree's root if that
     lies lower. `nodes` has level, at and the joined digests of each run.
     """
-    size = RUN**HEIGHT
-    held = rows.groupBy("base", "rank", "n", _over(F.col("at"), size).alias("block")).agg(
+    held = rows.groupBy("base", "rank", "n", _over(F.col("at"), BLOCK).alias("block")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("at", "digest"))), lambda x: hexed(x["digest"])).alias("d0")
     )
     for k in range(1, HEIGHT + 1):
@@ -130,19 +132,24 @@ def _trees(rows: DataFrame, most: int, name: str) -> tuple[DataFrame, DataFrame]
         rows = found.filter(_more(level)).select("base", "rank", "n", F.col("block").alias("at"), "digest")
 
 
-def _bucketed(rows: DataFrame, key: str, name: str) -> DataFrame:
+def _bucketed(rows: DataFrame, key: Sequence[str], name: str) -> DataFrame:
     """A stored copy in buckets of `key`, so that a join on it in every step of the climb leaves these rows where they are.
 
     The catalog entry goes at once; the files stay in the shared folder.
     """
     spark, table = rows.sparkSession, f"{name}_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key).option("path", scratch_path(spark, name)).saveAsTable(table)
+    rows.repartition(n, *key).write.format("parquet").bucketBy(n, *key).sortBy(*key).option("path", scratch_path(spark, name)).saveAsTable(table)
     stored = spark.table(table)
     spark.sql(f"DROP TABLE {table}")
     return stored
 
 
+def _spread(nodes: DataFrame) -> DataFrame:
+    """A row of each node for each block of leaf numbers from `low` to `high`."""
+    return nodes.withColumn("block", F.explode(F.sequence(_over(F.col("low"), BLOCK), _over(F.col("high"), BLOCK)))).drop("low", "high")
+
+
 def _numbered(level: Column, place: Column) -> Column:
     return F.shiftleft(level.cast("long"), SHIFT) + place
 
@@ -171,20 +178,29 @@ def manifest(docs: DataFrame, keep: dict[str, Column] | None = None, fields: Seq
     trees = common.stored(roots, "merkle-trees")
     top = trees.select(F.lit(0).cast("long").alias("base"), F.lit(0).cast("long").alias("rank"), F.lit(n_trees).cast("long").alias("n"), F.col("rank").alias("at"), "digest")
     top_nodes, top_roots = _trees(top, n_trees, "merkle-top")
+    top_levels = [k for k in range(1, 64) if RUN ** (k - 1) < n_trees]
+    reach = trees.select(
+        "base", "n", F.explode(F.array(*[F.struct(F.lit(k).alias("level"), _over(F.col("rank"), RUN**k).alias("at")) for k in top_levels]))
+        .alias("x")
+    ).groupBy("x.level", "x.at").agg(F.min("base").alias("low"), F.max(F.col("base") + F.col("n") - 1).alias("high")) if top_levels else None
     root = top_roots.select(hexed(F.col("digest"))).first()
 
     level, at, rank = F.col("level"), F.col("at"), F.col("rank")
     over = (lambda x: x) if n_trees > 1 else (lambda x: F.lit(None).cast("long"))
     above, above_pos = over(_numbered(F.lit(TOP + 1), _over(rank, RUN))), over(F.pmod(rank, F.lit(RUN)))
-    inner = RUN ** level.cast("double") < F.col("n")  # the level above has more than this node
+    wide = F.pow(F.lit(RUN), level).cast("long")  # leaves below a node
+    inner = wide < F.col("n")  # the level above has more than this node
     parent = F.when(inner, _numbered(level + 1, F.col("base") + _over(at, RUN)))
     linked = nodes.select(
         _numbered(level, F.col("base") + at).alias("node"), F.coalesce(parent, above).alias("parent"),
         F.when(inner, F.pmod(at, F.lit(RUN))).otherwise(above_pos).cast("int").alias("pos"), "children",
-    ).unionByName(top_nodes.select(
-        _numbered(level + TOP, at).alias("node"), F.when(inner, _numbered(level + TOP + 1, _over(at, RUN))).alias("parent"),
-        F.when(inner, F.pmod(at, F.lit(RUN))).cast("int").alias("pos"), "children",
-    ))
+        (F.col("base") + at * wide).alias("low"), (F.col("base") + F.least((at + 1) * wide, F.col("n")) - 1).alias("high"),
+    )
+    if reach is not None:
+        linked = linked.unionByName(top_nodes.join(reach, ["level", "at"]).select(
+            _numbered(level + TOP, at).alias("node"), F.when(inner, _numbered(level + TOP + 1, _over(at, RUN))).alias("parent"),
+            F.when(inner, F.pmod(at, F.lit(RUN))).cast("int").alias("pos"), "children", "low", "high",
+        ))
     several = F.col("n") > 1
     start = here.select(
         "number", "doc_id", "leaf", "base", *kept,
@@ -192,7 +208,7 @@ def manifest(docs: DataFrame, keep: dict[str, Column] | None = None, fields: Seq
         F.when(several, F.pmod(at, F.lit(RUN))).otherwise(above_pos).cast("int").alias("start_pos"),
     )
     return Manifest(
-        start, _bucketed(linked, "node", "merkle_nodes"), trees.select("base", "rank", "n", F.col("digest").alias("subroot")), root[0] if root else None
+        start, _bucketed(_spread(linked), ("node", "block"), "merkle_nodes"), trees.select("base", "rank", "n", F.col("digest").alias("subroot")), root[0] if root else None
     )
 
 
@@ -204,7 +220,7 @@ WITH RECURSIVE climb (number, step, node, pos, folded, siblings) MAX RECURSION L
     SELECT c.number, c.step + 1, n.parent, n.pos,
            unhex(sha2(lower(hex(concat(substring(n.children, 1, 32 * c.pos), c.folded, substring(n.children, 32 * c.pos + 33)))), 256)),
            concat(substring(n.children, 1, 32 * c.pos), substring(n.children, 32 * c.pos + 33))
-    FROM climb c JOIN {nodes} n ON n.node = c.node
+    FROM climb c JOIN {nodes} n ON n.node = c.node AND n.block = c.number DIV {block}
 )
 SELECT number, step, folded, siblings FROM climb LIMIT ALL
 """
@@ -216,7 +232,7 @@ def climbed(tree: Manifest, claimed: Column) -> DataFrame:
     `claimed` is an expression over the leaves. All digests are binary.
     """
     leaves = tree.leaves.select("number", "start", "start_pos", claimed.alias("claimed"))
-    steps = tree.nodes.sparkSession.sql(CLIMB, leaves=leaves, nodes=tree.nodes)
+    steps = tree.nodes.sparkSession.sql(CLIMB, leaves=leaves, nodes=tree.nodes, block=BLOCK)
     path = F.array_sort(F.collect_list(F.struct("step", "siblings")))
     return steps.groupBy("number").agg(
         F.max_by("folded", "step").alias("folded"), F.aggregate(path, F.lit(b""), lambda held, x: F.concat(held, x["siblings"])).alias("proof")

@@ -102,10 +102,19 @@ def test_ranks_cross_partitions(spark):
 
 def test_nodes_lie_in_buckets_of_their_number(spark, docs):
     tree = merkle.manifest(docs)
-    plan = tree.nodes.groupBy("node").count()._jdf.queryExecution().executedPlan().toString()
+    plan = tree.nodes.groupBy("node", "block").count()._jdf.queryExecution().executedPlan().toString()
     assert "Bucketed: true" in plan and "Exchange" not in plan
 
 
+def test_no_key_of_the_climb_holds_many_leaves(spark):
+    """Every leaf meets the row of its own block, and the root's rows are as many as there are blocks."""
+    rows = [(i, "t", None, "hot" if i % 3 else f"s{i}", None) for i in range(2400)]
+    tree = merkle.manifest(corpus.table(spark, rows, clashes=False))
+    blocks = {r["block"] for r in tree.nodes.filter("parent IS NULL").collect()}
+    assert blocks == set(range(2400 // merkle.BLOCK + 1))
+    assert tree.nodes.groupBy("node", "block").count().filter("count > 1").count() == 0
+
+
 def test_climb_runs_no_python(spark, docs):
     plan = merkle.newline_audit(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
