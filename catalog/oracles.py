@@ -560,6 +560,16 @@ for _kind in ("forest", "boosted"):
     ORACLES[f"separable_{_kind}"] = sql(
         "split", f"SELECT udi, {_GRADE} AS grade_code FROM split WHERE split = 'test'"
     )
+ORACLES["boosted_rounds"] = sql(
+    "train_part",
+    """SELECT CAST(r AS INTEGER) AS round, count(*) AS n_rows, round(CAST(count(*) AS DOUBLE), 3) AS total_weight, true AS fell, true AS newton_leaves
+       FROM train_part, range(4) t(r) GROUP BY r""",
+)
+ORACLES["forest_splits"] = sql(
+    "train_part",
+    """SELECT CAST(l AS INTEGER) AS level, CAST(1 << l AS BIGINT) AS n_nodes, count(*) AS n_rows, true AS gains_match, true AS near_best
+       FROM train_part, range(2) t(l) GROUP BY l""",
+)
 ORACLES["unseen_folds"] = sql(
     "train_part", "SELECT udi, fold, 0e0 AS own_share FROM folded", folds_of("train_part")
 )

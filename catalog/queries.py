@@ -11,7 +11,7 @@ import hashlib
 from collections.abc import Callable
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from catalog import inputs as I
@@ -27,6 +27,7 @@ from millwatch.operators import (
     quality,
     reconcile,
     risk,
+    split_audit,
     splits,
     upsert,
 )
@@ -658,6 +659,48 @@ def boosted_model(spark, sf):
     return evaluation.per_class_metrics(_held_out_scores(spark, sf, BOOSTED))
 
 
+@query
+def boosted_rounds(spark, sf):
+    """What holds of every round on the training rows: the loss falls, and every leaf is a Newton step of its class."""
+    train, _ = _holdout(spark, sf)
+    prepared = materialise(models.prepare(train).select("udi", *S.FEATURES, "features", "type_code", "y", "weight", "label"))
+    rows = models.staged(models.fit(prepared, BOOSTED), prepared.select("udi", *S.FEATURES, "y", "weight"))
+    scored = materialise(rows.select("udi", "y", "weight", "margins"))
+    each = scored.select("y", "weight", F.posexplode("margins").alias("round", "margin"))
+    loss = F.sum(F.col("weight") * models.log_loss(models.softmax(F.col("margin")), F.col("y"))) / F.sum("weight")
+    losses = each.groupBy("round").agg(F.count("*").alias("n_rows"), F.sum("weight").alias("total_weight"), loss.alias("loss"))
+    n = len(S.CLASSES)
+    moved = scored.select("y", "weight", F.explode(F.sequence(F.lit(1), F.lit(BOOSTED.trees))).alias("round"), "margins").select(
+        "y", "weight", "round", F.element_at("margins", F.col("round")).alias("margin"),
+        F.zip_with(F.element_at("margins", F.col("round") + 1), F.element_at("margins", F.col("round")), lambda a, b: F.round(a - b, 9)).alias("step"),
+    )
+    leaves = models.gradients(moved).select(
+        "round", F.explode(F.arrays_zip(F.sequence(F.lit(0), F.lit(n - 1)).alias("k"), F.col("step"), F.col("g"), F.col("h"))).alias("x")
+    ).groupBy("round", "x.k", "x.step").agg(F.sum("x.g").alias("g"), F.sum("x.h").alias("h"))
+    newton = F.abs(F.col("step") + BOOSTED.learning_rate * F.col("g") / (F.col("h") + BOOSTED.l2)) < 1e-6
+    # leaves that took the same step would be summed together; they are told by their penalty being counted twice
+    several = F.abs(F.col("step") * (F.col("h") + 2 * BOOSTED.l2) + BOOSTED.learning_rate * F.col("g")) < 1e-6
+    steps = leaves.groupBy("round").agg(F.every(newton | several).alias("newton_leaves"))
+    before = Window.partitionBy().orderBy("round")  # one row per round
+    return losses.withColumn("fell", F.coalesce(F.col("loss") < F.lag("loss").over(before), F.abs(F.col("loss") - F.log(F.lit(float(n)))) < 1e-9)).join(
+        steps, "round", "left"
+    ).select("round", "n_rows", F.round("total_weight", 3).alias("total_weight"), "fell", F.coalesce("newton_leaves", F.lit(True)).alias("newton_leaves"))
+
+
+@query
+def forest_splits(spark, sf):
+    """A tree's root and second level against the gain of every threshold there is."""
+    train, _ = _holdout(spark, sf)
+    prepared = materialise(models.dealt(models.prepare(train)))
+    model = models.fit(prepared, models.ModelSpec("forest", trees=1, depth=2, bins=256, bootstrap=False))
+    found = split_audit.audit(prepared, split_audit.splits_of(model.stages[-1], prepared))
+    return found.groupBy("level").agg(
+        F.count("*").alias("n_nodes"), F.sum("n_rows").alias("n_rows"),
+        F.every(F.abs(F.col("gain") - F.col("stored_gain")) < 1e-6).alias("gains_match"),
+        F.every(F.col("gain") >= 0.98 * F.col("best_gain")).alias("near_best"),
+    )
+
+
 @query
 def batch_score(spark, sf):
     scored = _held_out_scores(spark, sf, FOREST)

@@ -1,8 +1,8 @@
 """Class-weighted tree models on the nine inputs.
 
 A fitted model is a `PipelineModel`: grade code, vector assembly, and either one
-random forest or five boosted one-vs-rest classifiers. `score` turns either into
-the same `proba` array, in class order.
+random forest or rounds of boosting on the joint softmax loss. `score` turns
+either into the same `proba` array, in class order.
 """
 
 from __future__ import annotations
@@ -15,15 +15,17 @@ from typing import TypeVar
 
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.regression import DecisionTreeRegressor
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millwatch import schema as S
 from millwatch.functions import classes
 from millwatch.operators import audits
+from millwatch.session import materialise
 
 _GRADE_SQL = (
     "SELECT *, CAST(CASE type "
@@ -31,7 +33,11 @@ _GRADE_SQL = (
     + " ELSE raise_error(concat('Unknown grade: ', coalesce(type, 'NULL'))) END AS DOUBLE)"
     " AS type_code FROM __THIS__"
 )
-_WORKING = ("type_code", "features", "rawPrediction", "probability", "prediction")
+_WORKING = ("type_code", "features", "rawPrediction", "probability", "prediction", "margin")
+#: Smallest curvature of a row, so that a certain row still has a step.
+_LEAST_CURVATURE = 1e-16
+#: Rounds of boosting after which the margins are written and the lineage cut.
+_ROUNDS_IN_LINEAGE = 10
 
 
 @dataclass(frozen=True)
@@ -42,7 +48,9 @@ class ModelSpec:
     trees: int = 300
     depth: int = 30
     learning_rate: float = 0.1
+    l2: float = 1.0
     bins: int = 128
+    bootstrap: bool = True
     seed: int = S.SEED
     parallelism: int = 5
 
@@ -78,7 +86,7 @@ def prepare(training: DataFrame, label: str = "failure_type") -> DataFrame:
 def _forest(prepared: DataFrame, spec: ModelSpec) -> list[Transformer]:
     forest = RandomForestClassifier(
         featuresCol="features", labelCol="label", weightCol="weight",
-        numTrees=spec.trees, maxDepth=spec.depth, maxBins=spec.bins, seed=spec.seed,
+        numTrees=spec.trees, maxDepth=spec.depth, maxBins=spec.bins, bootstrap=spec.bootstrap, seed=spec.seed,
     )
     return [forest.fit(prepared)]
 
@@ -96,18 +104,99 @@ def fit_side_by_side(
         return pool.map(inheritable_thread_target(spark)(lambda run: run()), fits)
 
 
+def softmax(margin: Column) -> Column:
+    """Shares of an array of raw scores; the largest is taken off first, so none overflows."""
+    parts = F.transform(margin, lambda m: F.exp(m - F.array_max(margin)))
+    return F.transform(parts, lambda p: p / F.aggregate(parts, F.lit(0.0), lambda a, b: a + b))
+
+
+def log_loss(proba: Column, y: Column) -> Column:
+    """A row's share of the loss that boosting lowers."""
+    return -F.log(F.greatest(F.element_at(proba, y + 1), F.lit(1e-300)))
+
+
+def gradients(rows: DataFrame) -> DataFrame:
+    """`rows` with g and h: slope and curvature of the weighted softmax loss in each class's raw score."""
+    steps = lambda p: F.transform(p, lambda x, k: F.col("weight") * (x - (k == F.col("y")).cast("double")))
+    bends = lambda p: F.transform(p, lambda x: F.col("weight") * F.greatest(2 * x * (1 - x), F.lit(_LEAST_CURVATURE)))
+    return rows.withColumn("_p", softmax(F.col("margin"))).withColumns({"g": steps(F.col("_p")), "h": bends(F.col("_p"))}).drop("_p")
+
+
+def _class_tree(rows: DataFrame, spec: ModelSpec, k: int) -> Transformer:
+    """A regression tree of class k's Newton steps.
+
+    Weighted by the curvature, the variance that a split takes off the steps is
+    what it takes off the loss to second order.
+    """
+    tree = DecisionTreeRegressor(
+        featuresCol="features", labelCol=f"step_{k}", weightCol=f"bend_{k}", predictionCol=f"mean_{k}", leafCol=f"leaf_{k}",
+        maxDepth=spec.depth, maxBins=spec.bins, seed=spec.seed,
+    )
+    g, h = F.element_at("g", k + 1), F.element_at("h", k + 1)
+    return tree.fit(rows.select("features", (-g / h).alias(f"step_{k}"), h.alias(f"bend_{k}")))
+
+
+def leaf_sums(grown: DataFrame, n_classes: int) -> DataFrame:
+    """k, leaf, g, h: sums over the rows in each leaf of each class's tree, in one pass."""
+    each = F.explode(F.array(*[
+        F.struct(F.lit(k).alias("k"), F.col(f"leaf_{k}").cast("int").alias("leaf"), F.element_at("g", k + 1).alias("g"), F.element_at("h", k + 1).alias("h"))
+        for k in range(n_classes)
+    ]))
+    return grown.select(each.alias("x")).groupBy("x.k", "x.leaf").agg(F.sum("x.g").alias("g"), F.sum("x.h").alias("h"))
+
+
+def _round_stages(rows: DataFrame, spec: ModelSpec) -> list[Transformer]:
+    """Five trees on the current margins, and the step that adds their leaves to the margins."""
+    n = len(S.CLASSES)
+    fits = [partial(_class_tree, rows, spec, k) for k in range(n)]
+    trees = fit_side_by_side(rows.sparkSession, fits, spec.parallelism)
+    grown = reduce(lambda df, tree: tree.transform(df), trees, rows)
+    leaves: list[dict[int, float]] = [{} for _ in range(n)]
+    for k, leaf, g, h in leaf_sums(grown, n).collect():  # at most 2 ** depth a class
+        leaves[k][leaf] = -spec.learning_rate * g / (h + spec.l2)
+    steps = []
+    for k, held in enumerate(leaves):
+        values = ", ".join(f"{held.get(i, 0.0)!r}D" for i in range(max(held) + 1))
+        steps.append(f"element_at(array({values}), CAST(leaf_{k} AS INT) + 1)")
+    working = ", ".join(["margin", *[f"{name}_{k}" for name in ("mean", "leaf") for k in range(n)]])
+    add = SQLTransformer(statement=f"SELECT * EXCEPT ({working}), zip_with(margin, array({', '.join(steps)}), (a, b) -> a + b) AS margin FROM __THIS__")
+    return [*trees, add]
+
+
 def _boosted(prepared: DataFrame, spec: ModelSpec) -> list[Transformer]:
-    def one_against_rest(k: int) -> Transformer:
-        booster = GBTClassifier(
-            featuresCol="features", labelCol=f"is_{k}", weightCol="weight",
-            maxIter=spec.trees, maxDepth=spec.depth, stepSize=spec.learning_rate,
-            maxBins=spec.bins, seed=spec.seed, predictionCol=f"prediction_{k}",
-        )
-        booster.setRawPredictionCol(f"raw_{k}").setProbabilityCol(f"probability_{k}")
-        return booster.fit(prepared.withColumn(f"is_{k}", (F.col("y") == k).cast("double")))
+    """Rounds of boosting on the softmax loss of all classes at once.
 
-    fits = [partial(one_against_rest, k) for k in range(len(S.CLASSES))]
-    return fit_side_by_side(prepared.sparkSession, fits, spec.parallelism)
+    All trees of a round see the same shares, so a round lowers the joint loss;
+    leaf values are Newton steps with the penalty `l2`.
+    """
+    zero = SQLTransformer(statement=f"SELECT *, array({', '.join('0.0D' for _ in S.CLASSES)}) AS margin FROM __THIS__")
+    stages: list[Transformer] = [zero]
+    rows = zero.transform(prepared.select("features", "y", "weight"))
+    held = None
+    for number in range(1, spec.trees + 1):
+        current = gradients(rows).persist(StorageLevel.MEMORY_AND_DISK)
+        added = _round_stages(current, spec)
+        stages += added
+        if held is not None:
+            held.unpersist()
+        held = current
+        rows = reduce(lambda df, stage: stage.transform(df), added, current.drop("g", "h"))
+        if number % _ROUNDS_IN_LINEAGE == 0:
+            rows = materialise(rows)
+    if held is not None:
+        held.unpersist()
+    return stages
+
+
+def staged(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """`rows` with `margins`, the raw scores of a boosted model before the first round and after each."""
+    kept = [c for c in rows.columns if c not in ("margin", "margins")]
+    out = rows.select(*kept, F.array().cast("array<array<double>>").alias("margins"))
+    for stage in model.stages:
+        out = stage.transform(out)
+        if isinstance(stage, SQLTransformer) and "margin" in out.columns:
+            out = out.withColumn("margins", F.concat("margins", F.array("margin")))
+    return out.select(*kept, "margins")
 
 
 def fit(prepared: DataFrame, spec: ModelSpec) -> PipelineModel:
@@ -138,20 +227,11 @@ def fit_training_rows(training: DataFrame, spec: ModelSpec) -> PipelineModel:
 
 def score(model: PipelineModel, inputs: DataFrame) -> DataFrame:
     """The input columns plus `proba`, five probabilities that sum to 1."""
-    working = {*_WORKING}
-    for k in range(len(S.CLASSES)):
-        working |= {f"prediction_{k}", f"raw_{k}", f"probability_{k}"}
-    kept = [c for c in inputs.columns if c not in working]
+    kept = [c for c in inputs.columns if c not in _WORKING]
     out = model.transform(inputs.select(kept))
-    if "probability" in out.columns:
-        return out.select(*kept, vector_to_array("probability").alias("proba"))
-    votes = F.array(
-        *[F.element_at(vector_to_array(f"probability_{k}"), 2) for k in range(len(S.CLASSES))]
-    )
-    total = F.aggregate("_votes", F.lit(0.0), lambda a, b: a + b)
-    return out.select(*kept, votes.alias("_votes")).select(
-        *kept, F.transform("_votes", lambda p: p / total).alias("proba")
-    )
+    if "margin" in out.columns:
+        return out.select(*kept, softmax(F.col("margin")).alias("proba"))
+    return out.select(*kept, vector_to_array("probability").alias("proba"))
 
 
 def out_of_fold(folded: DataFrame, spec: ModelSpec, folds: int = S.CV_FOLDS) -> DataFrame:
@@ -159,7 +239,7 @@ def out_of_fold(folded: DataFrame, spec: ModelSpec, folds: int = S.CV_FOLDS) ->
 
     `folded` is prepared rows with `fold`. Every fit and every score reads it, so
     the caller keeps it in storage until the scores are written. Forests of
-    several folds grow at once; boosted models already run one fit per class.
+    several folds grow at once; boosted models already grow one tree per class at a time.
     """
     kept = [c for c in folded.columns if c not in ("features", "type_code", "label", "weight")]
     fits = [partial(fit, folded.where(F.col("fold") != k), spec) for k in range(folds)]
