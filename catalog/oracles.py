@@ -931,8 +931,9 @@ def alarm_ctes() -> dict[str, str]:
 
 ORACLES["false_alarm_rate"] = sql(
     "features",
-    """SELECT size AS window_size, count(*) AS n_windows, count(*) FILTER (WHERE alarm) AS n_alarms,
-        count(*) FILTER (WHERE alarm) / CAST(count(*) AS DOUBLE) AS rate FROM alarms GROUP BY 1""",
+    f"""SELECT s.size AS window_size, count(alarm) AS n_windows, count(*) FILTER (WHERE alarm) AS n_alarms,
+        CASE WHEN count(alarm) > 0 THEN count(*) FILTER (WHERE alarm) / CAST(count(alarm) AS DOUBLE) END AS rate
+        FROM (VALUES {", ".join(f"({s})" for s in SIZES)}) s(size) LEFT JOIN alarms USING (size) GROUP BY 1""",
     alarm_ctes(),
 )
 ORACLES["mode_counts"] = sql(

@@ -765,13 +765,13 @@ def unseen_folds(spark, sf):
 
 @query
 def model_save_load(spark, sf):
-    """Scores of the saved and reloaded model next to those before saving."""
+    """Scores of the saved and reloaded model, behind its signature, next to those before saving."""
     train, test = _holdout(spark, sf)
     model = models.fit_training_rows(train, FOREST)
     root = scratch_path(spark, "model")
-    bundles.save_model(model, root)
+    bundles.save_model(model, root, bundles.Signature.of(train.select(*S.FEATURES), models.score(model, train.select(*S.FEATURES))))
     before = models.score(model, test).select("udi", F.col("proba").alias("before"))
-    after = models.score(bundles.load_model(root), test).select("udi", F.col("proba").alias("after"))
+    after = bundles.load_scorer(spark, root)(test).select("udi", F.col("proba").alias("after"))
     return before.join(after, "udi").select("udi", (F.col("before") == F.col("after")).alias("same"))
 
 
@@ -1003,11 +1003,8 @@ def drift_window(spark, sf):
 
 @query
 def false_alarm_rate(spark, sf):
-    """Every size of which the pool fills at least one window."""
-    pool = I.current_window(spark, sf)
-    held = pool.count()
-    sizes = [size for size in WINDOW_SIZES if size <= held]
-    return drift.false_alarm_rate(I.reference_window(spark, sf), pool, sizes, WINDOWS_PER_SIZE)
+    """Every published size; one that the pool can't fill has no window and no rate."""
+    return drift.false_alarm_rate(I.reference_window(spark, sf), I.current_window(spark, sf), WINDOW_SIZES, WINDOWS_PER_SIZE)
 
 
 @query

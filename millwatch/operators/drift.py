@@ -248,7 +248,7 @@ def dataset_verdict(verdicts: DataFrame, columns: Sequence[str] = S.FEATURES) ->
         F.when(~complete, F.raise_error(F.lit(f"Drift tests must cover exactly {list(columns)}")))
         .when(
             by_share != F.col("any_drifted"),
-            F.raise_error(F.lit("The dataset test disagrees with the any-column verdict")),
+            F.raise_error(F.lit("The share of drifted columns and their flags give different verdicts; compute both from the same column scores")),
         )
         .when(F.col("any_drifted"), F.lit("drift"))
         .otherwise(F.lit("no_drift"))
@@ -544,10 +544,20 @@ def false_alarm_rate(
     threshold: float = S.DRIFT_THRESHOLD,
     seed: str | int = S.SEED,
 ) -> DataFrame:
-    """(window_size, n_windows, n_alarms, rate): healthy windows with any drifted column."""
+    """(window_size, n_windows, n_alarms, rate): healthy windows with any drifted column.
+
+    A size that the held-out rows can't fill once has no window and a null rate.
+    """
     steps = reference_steps(reference)
-    result = None
+    held, result = held_out.count(), None
     for size in sizes:
+        if size > held:
+            zero = F.lit(0).cast("long")
+            row = reference.sparkSession.range(1).select(
+                F.lit(size).alias("window_size"), zero.alias("n_windows"), zero.alias("n_alarms"), F.lit(None).cast("double").alias("rate")
+            )
+            result = row if result is None else result.unionByName(row)
+            continue
         drawn = materialise(healthy_windows(held_out, size, windows, seed))
         scores = window_wasserstein(steps, drawn, size).unionByName(window_js(steps, drawn))
         alarms = scores.groupBy("window_id").agg(

@@ -20,7 +20,7 @@ def add_physics(readings: DataFrame) -> DataFrame:
     """Add the physics features; every missing raw input is named in one error."""
     missing = [c for c in S.RAW_INPUTS if c not in readings.columns]
     if missing:
-        raise ValueError(f"Missing raw input columns: {missing}")
+        raise ValueError(f"Physics features need all of {list(S.RAW_INPUTS)}; add {missing} to the readings")
     kept = [c for c in readings.columns if c not in S.PHYSICS]
     return readings.select(*kept, *physics.physics_columns())
 

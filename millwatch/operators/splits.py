@@ -68,7 +68,7 @@ def class_counts(df: DataFrame, label: str) -> dict[str, int]:
     if None in counted:
         n, example = counted[None]
         raise ValueError(
-            f"Unknown class labels on {n} rows, such as {example!r}; expected one of {S.CLASSES}"
+            f"{n} rows carry a label outside the five classes, for example {example!r}; relabel or drop them ({', '.join(S.CLASSES)})"
         )
     return {name: counted[name][0] for name in S.CLASSES if name in counted}
 

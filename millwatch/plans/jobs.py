@@ -79,7 +79,8 @@ def train(
     results.write_evaluation(tables, f"{out}/evaluation", run_id)
 
     model = models.fit_training_rows(training, spec)
-    bundles.save_model(model, out)
+    inputs = training.select(*S.FEATURES)
+    bundles.save_model(model, out, bundles.Signature.of(inputs, models.score(model, inputs)), spark)
     drift.reference_profile(training).write.mode("overwrite").parquet(f"{out}/reference_profile")
     notes = {
         "run_id": run_id,
@@ -112,7 +113,7 @@ def evaluate(readings: DataFrame, out: str) -> DataFrame:
         raise RuntimeError(f"Run {notes['run_id']} has scored its sealed rows once; train a new run to score them again")
     _, sealed = _rebuilt(readings, notes)
     encoded = projections.encode_labels(sealed)
-    scored = materialise(models.score(bundles.load_model(out), encoded))
+    scored = materialise(bundles.load_scorer(spark, out)(encoded))
     tables = results.evaluation_tables(scored, "test", sealed=True)
     results.write_evaluation(tables, f"{out}/sealed", notes["run_id"])
     bundles.write_notes(spark, out, "sealed_test", {"run_id": notes["run_id"]})
@@ -154,10 +155,7 @@ def choose_threshold(
 def load_served(spark: SparkSession, out: str, name: str, version: int) -> scoring.Served:
     """The saved model with its threshold, ready for batches or streams."""
     chosen = bundles.read_notes(spark, out, "threshold")
-    model = bundles.load_model(out)
-    return scoring.Served(
-        lambda inputs: models.score(model, inputs), chosen["threshold"], name, version
-    )
+    return scoring.Served(bundles.load_scorer(spark, out), chosen["threshold"], name, version)
 
 
 def score_table(

@@ -76,7 +76,8 @@ def test_a_changed_test_row_stops_the_threshold_job(readings, bundle):
 def test_boosted_model_saves_loads_and_sums_to_one(spark, readings, folder):
     training = projections.training_rows(readings)
     model = models.fit_training_rows(training, models.boosted_spec(rounds=2, depth=3))
-    bundles.save_model(model, folder)
+    inputs = training.select(*S.FEATURES)
+    bundles.save_model(model, folder, bundles.Signature.of(inputs, models.score(model, inputs)))
     inputs9 = projections.model_input(readings, "udi")
     before = models.score(model, inputs9)
     after = models.score(bundles.load_model(folder), inputs9)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millwatch import schema as S
 from millwatch.operators import models, split_audit
+from millwatch.sources import bundles
 
 
 @pytest.fixture(scope="module")
@@ -73,12 +74,11 @@ def test_leaves_hold_newton_steps(spark, prepared):
 
 
 def test_saved_model_scores_alike(spark, boosted, prepared, tmp_path):
-    from millwatch.sources import bundles
-
-    bundles.save_model(boosted, str(tmp_path))
     rows = prepared.select("udi", *S.FEATURES)
+    inputs = rows.drop("udi")
+    bundles.save_model(boosted, str(tmp_path), bundles.Signature.of(inputs, models.score(boosted, inputs)))
     wanted = {r["udi"]: r["proba"] for r in models.score(boosted, rows).collect()}
-    found = {r["udi"]: r["proba"] for r in models.score(bundles.load_model(str(tmp_path)), rows).collect()}
+    found = {r["udi"]: r["proba"] for r in bundles.load_scorer(spark, str(tmp_path))(rows).collect()}
     assert found == wanted and all(sum(p) == pytest.approx(1) and len(p) == 5 for p in found.values())
 
 
@@ -152,3 +152,50 @@ def test_a_wrong_split_is_found_out(prepared, tree):
     worse = split_audit.Split(0, 0, "air_temp_k", 300.05, 0.2)
     r = split_audit.audit(prepared, [worse]).first()
     assert r["gain"] < 0.9 * r["best_gain"] and abs(r["gain"] - r["stored_gain"]) > 1e-3
+
+
+@pytest.fixture(scope="module")
+def saved(spark, boosted, prepared, tmp_path_factory):
+    root = str(tmp_path_factory.mktemp("signed"))
+    inputs = prepared.select(*S.FEATURES)
+    bundles.save_model(boosted, root, bundles.Signature.of(inputs, models.score(boosted, inputs)))
+    return root
+
+
+def jobs_run(spark):
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+
+
+@pytest.mark.parametrize(
+    ("change", "says"),
+    [
+        (lambda t: t.drop("torque_nm"), r"add torque_nm \(double\)$"),
+        (lambda t: t.withColumnRenamed("power_w", "Power_W"), r"add power_w \(double\)$"),
+        (lambda t: t.withColumn("tool_wear_min", F.col("tool_wear_min").cast("string")), r"cast tool_wear_min from string to int$"),
+        (lambda t: t.drop("type").withColumn("strain_min_nm", F.lit(1)), r"add type \(string\); cast strain_min_nm from int to double$"),
+        (lambda t: t.withColumn("proba", F.lit(1)), r"rename proba, which scoring adds$"),
+        (lambda t: t.select("*", F.lit(1.0).alias("air_temp_k")), r"keep one of the columns air_temp_k"),
+    ],
+    ids=["missing", "renamed", "retyped", "two faults", "output clash", "twice"],
+)
+def test_a_table_that_does_not_fit_is_refused_before_any_job(spark, saved, prepared, change, says):
+    scorer = bundles.load_scorer(spark, saved)
+    table = change(prepared.select("udi", *S.FEATURES))
+    before = jobs_run(spark)
+    with pytest.raises(bundles.SignatureError, match=says):
+        scorer(table)
+    assert jobs_run(spark) == before
+
+
+def test_a_model_must_give_what_its_signature_says(spark, saved, boosted, tmp_path):
+    held = bundles.load_signature(spark, saved)
+    assert held.inputs["type"] == "string" and held.outputs == {"proba": "array<double>"} and list(held.inputs) != []
+    bundles.save_model(boosted, str(tmp_path), bundles.Signature(held.inputs, {"proba": "array<float>"}))
+    with pytest.raises(bundles.SignatureError, match="its signature says"):
+        bundles.load_scorer(spark, str(tmp_path))
+
+
+def test_a_model_without_a_signature_is_refused(spark, boosted, tmp_path):
+    boosted.write().overwrite().save(f"{tmp_path}/model")
+    with pytest.raises(bundles.SignatureError, match="holds no signature"):
+        bundles.load_scorer(spark, str(tmp_path))

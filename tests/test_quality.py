@@ -7,26 +7,33 @@ import toys
 from millwatch import schema as S
 from millwatch.operators import quality
 
-MISSING = object()
-REJECTIONS = [
-    ("udi", 1, "extra_forbidden"),
-    ("action", "stop_machine", "extra_forbidden"),
-    ("air_temp_k", MISSING, "missing"),
-    ("type", "X", "literal_error"),
-    ("rotational_speed_rpm", "1551", "int_type"),
-    ("rotational_speed_rpm", 1551.0, "int_type"),
-    ("rotational_speed_rpm", True, "int_type"),
-    ("air_temp_k", "298.1", "float_type"),
-    ("air_temp_k", float("nan"), "finite_number"),
-    ("air_temp_k", float("inf"), "finite_number"),
-    ("air_temp_k", 0.0, "greater_than"),
-    ("rotational_speed_rpm", 0, "greater_than"),
-    ("torque_nm", -1.0, "greater_than_equal"),
-    ("tool_wear_min", -1, "greater_than_equal"),
-    ("torque_nm", None, "float_type"),
-    ("tool_wear_min", 99999999999, "int_parsing_size"),
-    ("torque_nm", float("-inf"), "finite_number"),
-]
+#: Values of a JSON type that a field does not take, by the kind of its column.
+OF_ANOTHER_TYPE = {"float": ["warm", None, [7.5], False], "int": ["9", None, 3.25, 12.0, True, {"n": 1}]}
+OUT_OF_RANGE = {"> 0": [("greater_than", -0.25), ("greater_than", 0)], ">= 0": [("greater_than_equal", -7)]}
+#: Each input's kind and range, as its column type and its physical meaning have it.
+RULES = {
+    "air_temp_k": ("float", "> 0"), "process_temp_k": ("float", "> 0"), "rotational_speed_rpm": ("int", "> 0"),
+    "torque_nm": ("float", ">= 0"), "tool_wear_min": ("int", ">= 0"),
+}
+
+
+def broken_bodies():
+    """Every input with every rule it can break: (field, body, kind of error)."""
+    for field in S.RAW_INPUTS:
+        yield field, {k: v for k, v in toys.READING.items() if k != field}, "missing"
+    for grade in ("l", "", "LM", 5, None):
+        yield "type", {**toys.READING, "type": grade}, "literal_error"
+    for field, (kind, bounds) in RULES.items():
+        values = [(f"{kind}_type", v) for v in OF_ANOTHER_TYPE[kind]]
+        values += [(error, int(v) if kind == "int" and int(v) == v else v) for error, v in OUT_OF_RANGE[bounds] if kind == "float" or int(v) == v]
+        if kind == "int":
+            values += [("int_parsing_size", 2**31), ("int_parsing_size", 7 * 10**15)]
+        else:
+            values += [("finite_number", sign * float(x)) for x in ("nan", "inf") for sign in (1, -1)]
+        for error, value in values:
+            yield field, {**toys.READING, field: value}, error
+    for key in ("product_id", "machine_failure", "Type", "torque_nm "):
+        yield key, {**toys.READING, key: 1}, "extra_forbidden"
 
 
 def violations(spark, *bodies):
@@ -35,17 +42,11 @@ def violations(spark, *bodies):
     return [[(v["field"], v["type"]) for v in r["violations"]] for r in rows], rows
 
 
-def test_each_rejection_names_its_field_and_type(spark):
-    bodies = []
-    for field, value, _ in REJECTIONS:
-        body = dict(toys.READING)
-        if value is MISSING:
-            del body[field]
-        else:
-            body[field] = value
-        bodies.append(json.dumps(body))
-    found, _ = violations(spark, *bodies)
-    assert found == [[(field, kind)] for field, _, kind in REJECTIONS]
+def test_each_broken_rule_is_named_with_its_field(spark):
+    cases = list(broken_bodies())
+    found, _ = violations(spark, *[json.dumps(body) for _, body, _ in cases])
+    assert found == [[(field, error)] for field, _, error in cases]
+    assert {field for field, *_ in cases} >= set(S.RAW_INPUTS) and len(cases) > 50
 
 
 def test_valid_readings_keep_their_values(spark):

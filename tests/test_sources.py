@@ -21,17 +21,17 @@ def write_csv(folder, *lines, name="a.csv"):
 
 def test_csv_with_bom_and_null_tokens(spark, folder):
     path = write_csv(
-        folder, HEADER, "1,M14860,M,298.1,308.6,1551,42.8,0,0,0,0,0,0,0",
-        "2,L47181,L,NA,308.7,1408,46.3,3,1,0,0,1,0,0", "3,L47182,L,298.1,n/a,14x8,46.3,3,0,0,0,0,0,0",
+        folder, HEADER, "1,M70311,M,301.7,311.2,1694,33.5,12,0,0,0,0,0,0",
+        "2,L20964,L,NA,310.4,1277,58.9,143,1,0,0,1,0,0", "3,H55102,H,302.3,n/a,17o3,21.4,9,0,0,0,0,0,0",
     )
     rows = csv_files.read_batch(spark, path).orderBy("udi").collect()
-    assert rows[0]["air_temp_k"] == 298.1 and rows[0]["rotational_speed_rpm"] == 1551
+    assert rows[0]["air_temp_k"] == 301.7 and rows[0]["rotational_speed_rpm"] == 1694
     assert rows[1]["air_temp_k"] is None and rows[1]["pwf"] == 1
     assert rows[2]["process_temp_k"] is None and rows[2]["rotational_speed_rpm"] is None
 
 
 def test_flags_may_be_written_as_decimals_but_not_as_halves(spark, folder):
-    row = "M14860,M,298.1,308.6,1551,42.8,0,1.0,0,0,0,0"
+    row = "M70311,M,301.7,311.2,1694,33.5,12,1.0,0,0,0,0"
     good = write_csv(folder, HEADER, f"1,{row},0.0", name="good.csv")
     batch = csv_files.read_batch(spark, good)
     quality.require_valid(batch)
@@ -42,13 +42,13 @@ def test_flags_may_be_written_as_decimals_but_not_as_halves(spark, folder):
 
 
 def test_wrong_header_fails(spark, folder):
-    path = write_csv(folder, HEADER.replace("UDI", "ID"), "1,M14860,M,298.1,308.6,1551,42.8,0,0,0,0,0,0,0")
+    path = write_csv(folder, HEADER.replace("UDI", "ID"), "1,M70311,M,301.7,311.2,1694,33.5,12,0,0,0,0,0,0")
     with pytest.raises(ValueError, match=r"add \['UDI'\], drop \['ID'\]"):
         csv_files.read_batch(spark, path)
 
 
 def test_ingest_is_idempotent_and_repairs_one_corruption(spark, folder):
-    lines = [f"{i},M{i:05d},M,298.1,308.6,1551,{40 + i / 10},0,0,0,0,0,0,0" for i in range(1, 201)]
+    lines = [f"{i},M{i:05d},M,301.7,311.2,1694,{40 + i / 10},0,0,0,0,0,0,0" for i in range(1, 201)]
     path = write_csv(folder, HEADER, *lines)
     table = f"{folder}/table"
     assert jobs.ingest(spark, path, table, buckets=4) == {"insert": 200, "update": 0, "unchanged": 0}
@@ -72,8 +72,8 @@ def test_a_repeated_key_is_refused_before_any_join(spark, folder):
 
 def test_invalid_file_loads_nothing(spark, folder):
     path = write_csv(
-        folder, HEADER, "1,M14860,M,298.1,308.6,1551,42.8,0,0,0,0,0,0,2",
-        "1,M1,Q,298.1,308.6,1551,42.8,0,0,0,0,0,0,0",
+        folder, HEADER, "1,M70311,M,301.7,311.2,1694,33.5,12,0,0,0,0,0,2",
+        "1,M1,Q,301.7,311.2,1694,33.5,12,0,0,0,0,0,0",
     )
     with pytest.raises(ValueError, match="product_id_length.*rnf_binary.*type_domain.*udi_unique"):
         jobs.ingest(spark, path, f"{folder}/table")
@@ -128,11 +128,11 @@ def test_a_window_lists_only_its_dates(spark, folder):
 
 
 def test_padded_texts_break_their_rules(spark, folder):
-    path = write_csv(folder, HEADER, "1,M14860, M ,298.1, 308.6 ,1551,42.8,0,0,0,0,0,0,0", "2, M14860,M,298.1,308.6,1551,42.8,0,0,0,0,0,0,0")
+    path = write_csv(folder, HEADER, "1,H55102, H ,302.3, 312.9 ,1703,21.4,9,0,0,0,0,0,0", "2, M70311,M,301.7,311.2,1694,33.5,12,0,0,0,0,0,0")
     batch = csv_files.read_batch(spark, path)
     broken = {r["rule"]: r["n_bad"] for r in quality.validate_batch(batch).where("n_bad > 0").collect()}
     assert broken == {"type_domain": 1, "product_id_length": 1}
-    assert batch.where("udi = 1").first()["process_temp_k"] == 308.6
+    assert batch.where("udi = 1").first()["process_temp_k"] == 312.9
 
 
 def test_the_number_of_buckets_stays_until_the_table_is_rebucketed(spark, folder):

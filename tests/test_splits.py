@@ -62,7 +62,7 @@ def test_cuts_survive_saving(labelled):
 
 def test_unknown_labels_are_rejected(spark):
     df = spark.createDataFrame([(1, "no_failure"), (2, "RNF")], "udi long, failure_type string")
-    with pytest.raises(ValueError, match="Unknown class labels.*RNF"):
+    with pytest.raises(ValueError, match="outside the five classes.*RNF"):
         splits.split_cuts(df)
 
 
