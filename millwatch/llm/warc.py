@@ -8,6 +8,8 @@ import hashlib
 import html
 import re
 import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -18,93 +20,204 @@ from millwatch.llm import common
 
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL namespace of RFC 4122
 EPOCH = "1970-01-01T00:00:00Z"
-#: Elements whose content is no text, and elements that end a line.
-RAW = ("script", "style", "title")
-CLOSED = ("noscript", "template", "svg")
-MARKUP = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)({'|'.join(RAW + CLOSED)})(?=[\s/>])[^>]*(?:>|\Z)", re.I | re.S)
-ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in RAW}
-ENDS_IN_SVG = {name: re.compile(rf"</({name}|svg)(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in RAW}
-BLOCKS = re.compile(
-    r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr"
-    r"|li|main|nav|ol|option|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul|body|head|html)\b[^>]*>", re.I
+#: Elements whose content is no text, elements hidden if they have their end, and elements that end a line.
+RAW = frozenset(("script", "style", "title"))
+CLOSED = frozenset(("noscript", "template", "svg"))
+BLOCKS = frozenset(
+    "address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav"
+    " ol option p pre section table tbody td tfoot th thead tr ul body head html".split()
 )
-TAG = re.compile(r"<(?:[a-zA-Z/!?][^>]*)(?:>|\Z)")
-TITLE = re.compile(r"<title(?=[\s/>])[^>]*>(.*?)</title\s*>", re.I | re.S)
-LINK = re.compile(r"""<a\s[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+#: A tag with its attributes. Nothing in it is tried twice: each part takes all it can and gives nothing back.
+_ATTRIBUTE = r"""[\s/]*+([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)(?:"|\Z)|'([^']*+)(?:'|\Z)|([^\s>]*+)))?+"""
+ATTRIBUTE = re.compile(_ATTRIBUTE)
+TAG = re.compile(rf"<(/?)([a-zA-Z][^\s/>]*+)((?:{_ATTRIBUTE.replace('([', '(?:[')})*+)([\s/]*+)(>|\Z)")
+ENDS = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 SPACES = re.compile(r"[^\S\n]+")
 LINES = re.compile(r"\s*\n\s*")
 
 
-def shown(page: str, closed: tuple[str, ...] = CLOSED) -> str:
-    """The page with a space for each comment, each element of `RAW` and each element of `closed` that has its end tag.
+@dataclass
+class Page:
+    """What one pass over an HTML page finds.
 
-    A raw element without an end runs to the end of the page, as in a browser. In
-    an svg it is an element like others: it may be self-closed, and the svg ends it.
+    `parts` are pieces of text and, for tags that end a line, line feeds, each
+    with its place; `hidden` are places of elements of `CLOSED` that have their
+    end, `anchors` places and targets. Comments, raw elements and tags are gone.
     """
-    spans: list[tuple[int, int]] = []
-    opened: dict[str, list[int]] = {name: [] for name in CLOSED}
-    endless, at = set(), 0
-
-    def hide(start, end):
-        while spans and spans[-1][0] >= start:
-            spans.pop()
-        spans.append((start, end))
-
-    while m := MARKUP.search(page, at):
-        at, name = m.end(), (m[2] or "").lower()
-        in_svg, self_closed = bool(opened["svg"]), page.endswith("/>", m.start(), at)
-        if not name:
-            hide(m.start(), at)
-        elif m[1]:
+
+    parts: list[tuple[int, str]] = field(default_factory=list)
+    preserved: list[tuple[int, int]] = field(default_factory=list)
+    hidden: list[tuple[int, int, str]] = field(default_factory=list)
+    anchors: list[tuple[int, str]] = field(default_factory=list)
+    title: str | None = None
+    base: tuple[int, str] | None = None
+
+
+def attribute(attributes: str, wanted: str) -> str | None:
+    """The value of an attribute, its first if it is repeated."""
+    for m in ATTRIBUTE.finditer(attributes):
+        if m[1].lower() == wanted:
+            return html.unescape(next((v for v in m.groups()[1:] if v is not None), "")).strip()
+    return None
+
+
+def comment_end(page: str, at: int) -> int:
+    """Where the comment that opens at `at` ends, or the page if it does not."""
+    if page.startswith((">", "->"), at + 4):
+        return page.index(">", at + 4) + 1
+    m = COMMENT_END.search(page, at + 4)
+    return m.end() if m else len(page)
+
+
+COMMENT_END = re.compile(r"--!?>")
+
+
+def scanned(page: str) -> Page:
+    """One pass from tag to tag, as browsers read them: `>` in quotes ends no tag, what looks like a tag in a comment is none.
+
+    A raw element without its end runs to the end of the page; in an svg it is
+    an element like others, which the svg ends. A tag without its end is none,
+    and nothing follows it.
+    """
+    found, at, n = Page(), 0, len(page)
+    opened: dict[str, list[int]] = {name: [] for name in (*CLOSED, *RAW)}
+    preserving: list[int] = []
+    while at < n:
+        start = page.find("<", at)
+        if start < 0:
+            found.parts.append((at, page[at:]))
+            break
+        if start > at:
+            found.parts.append((at, page[at:start]))
+        m = TAG.match(page, start)
+        if m is None:
+            following = page[start + 1 : start + 2]
+            if page.startswith("<!--", start):
+                at = comment_end(page, start)
+                found.parts.append((start, " "))
+            elif following in ("!", "?", "/") and following:
+                at = page.find(">", start) + 1 or n
+            else:
+                found.parts.append((start, "<"))
+                at = start + 1
+            continue
+        closing, name, attributes, slash, end = m.groups()
+        at, name = m.end(), name.lower()
+        if not end:
+            break
+        if name in BLOCKS:
+            found.parts.append((start, "\n"))
+            if name == "pre":
+                if not closing:
+                    preserving.append(at)
+                elif preserving:
+                    found.preserved.append((preserving[0], start))
+                    preserving = []
+        in_svg = bool(opened["svg"])
+        if closing:
             if opened.get(name):
-                start = opened[name].pop()
+                begun = opened[name].pop()
                 for starts in opened.values():
-                    while starts and starts[-1] > start:
+                    while starts and starts[-1] > begun:
                         starts.pop()
-                if name in closed:
-                    hide(start, at)
+                found.hidden.append((begun, at, name))
         elif name in CLOSED:
-            if not (self_closed and (in_svg or name == "svg")):
-                opened[name].append(m.start())
-        elif not in_svg:
-            end = ENDS[name].search(page, at)
-            at = end.end() if end else len(page)
-            hide(m.start(), at)
-        elif not self_closed and name not in endless:
-            end = ENDS_IN_SVG[name].search(page, at)
-            if not end:
-                endless.add(name)
-            elif end[1].lower() == name:
-                at = end.end()
-                hide(m.start(), at)
-    parts, before = [], 0
-    for start, end in spans:
-        parts.append(page[before:start])
-        before = end
-    return " ".join([*parts, page[before:]])
+            if not ("/" in slash and (in_svg or name == "svg")):
+                opened[name].append(start)
+        elif name in RAW and in_svg:
+            if "/" not in slash:
+                opened[name].append(start)
+        elif name in RAW:
+            close = ENDS[name].search(page, at)
+            if name == "title" and found.title is None and close:
+                found.title = page[at : close.start()]
+            found.parts.append((start, " "))
+            m = TAG.match(page, close.start()) if close else None
+            at = m.end() if m else n
+        elif name in ("a", "area"):
+            if (link := attribute(attributes, "href")) is not None:
+                found.anchors.append((start, link))
+        elif name == "base" and found.base is None and (link := attribute(attributes, "href")) is not None:
+            found.base = (start, link)
+    return found
+
+
+def outside(places, hidden) -> Iterator[tuple]:
+    """Of (place, ...) in order those that no (start, end, ...) holds."""
+    spans, k = joined((a, b) for a, b, *_ in hidden), 0
+    for x in places:
+        while k < len(spans) and spans[k][1] <= x[0]:
+            k += 1
+        if k == len(spans) or x[0] < spans[k][0]:
+            yield x
+
+
+def joined(spans) -> list[tuple[int, int]]:
+    """The outermost of nested spans, in order."""
+    found: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if not found or a >= found[-1][1]:
+            found.append((a, b))
+    return found
+
+
+def shown_text(found: Page) -> str:
+    """Readable text, one line per block; text in pre keeps its spaces and lines."""
+    lines, held, kept, k = [], [], [], 0
+
+    def flush():
+        if held:
+            lines.append(LINES.sub("\n", SPACES.sub(" ", html.unescape("".join(held)))).strip())
+            held.clear()
+        if kept:
+            lines.append(html.unescape("".join(kept)).strip("\r\n"))
+            kept.clear()
+
+    spans = joined((a, b) for a, b, _ in found.hidden)
+    visible = sorted([*outside(found.parts, found.hidden), *((a, " ") for a, _ in spans)], key=lambda x: x[0])
+    for place, text in visible:
+        while k < len(found.preserved) and found.preserved[k][1] <= place:
+            k += 1
+        if k < len(found.preserved) and found.preserved[k][0] <= place:
+            if held:
+                flush()
+            kept.append(text)
+        else:
+            if kept:
+                flush()
+            held.append(text)
+    flush()
+    return "\n".join(x for x in lines if x.strip()).strip("\n")
 
 
 def plain_text(page: str) -> str:
-    """Readable text of an HTML page, one line per block; hidden elements, comments and tags go, entities are decoded."""
-    visible = TAG.sub("", BLOCKS.sub("\n", shown(page.replace("\r\n", "\n"))))
-    return LINES.sub("\n", SPACES.sub(" ", html.unescape(visible))).strip()
+    """Readable text of an HTML page; hidden elements, comments and tags go, entities are decoded."""
+    return shown_text(scanned(page.replace("\r\n", "\n")))
 
 
 def title(page: str) -> str:
-    m = TITLE.search(page)
-    return " ".join(html.unescape(m[1]).split()) if m else ""
+    return title_of(scanned(page))
+
+
+def title_of(found: Page) -> str:
+    return " ".join(html.unescape(found.title or "").split())
 
 
 def links(page: str, target: str) -> list[str]:
-    """Absolute targets of the page's anchors, those of noscript content too, in order, each once."""
-    found: dict[str, None] = {}
-    for m in LINK.finditer(shown(page, ("template", "svg"))):
-        link = html.unescape(m[m.lastindex]).strip()
+    return links_of(scanned(page), target)
+
+
+def links_of(found: Page, target: str) -> list[str]:
+    """Absolute targets of anchors and areas, those of noscript content too, in order, each once; a base element shifts them."""
+    def absolute(base, link):
         try:
-            found.setdefault(urljoin(target, link))
+            return urljoin(base, link)
         except ValueError:  # an address that is none is kept as it stands
-            found.setdefault(link)
-    return list(found)
+            return link
+
+    unseen = [x for x in found.hidden if x[2] != "noscript"]
+    base = absolute(target, found.base[1]) if found.base and list(outside([found.base], unseen)) else target
+    return list(dict.fromkeys(absolute(base, link) for _, link in outside(found.anchors, unseen)))
 
 
 def digest(block: bytes) -> str:
@@ -151,15 +264,16 @@ def _records(page_id, ident, target, date, headers, payload):
     source = headers.encode() + b"\r\n" + body
     payload_digest, block_digest = digest(body), digest(source)
     ids = {kind: f"urn:uuid:{uuid.uuid5(NAMESPACE, f'{ident}/{kind}')}" for kind in ("metadata", "conversion")}
-    found = links(payload, target)
+    page = scanned(payload.replace("\r\n", "\n"))
+    found = links_of(page, target)
     status, _, rest = headers.partition("\r\n")
-    about = [("title", title(payload)), ("http-status", status)]
+    about = [("title", title_of(page)), ("http-status", status)]
     about += [("http-header", line) for line in rest.split("\r\n") if line]
     about += [("source-block-digest", block_digest), ("source-payload-digest", payload_digest), ("outlinks", str(len(found)))]
     about += [("outlink", link) for link in found]
     blocks = {
         "metadata": ("application/warc-fields", "".join(f"{k}: {one_line(v)}\r\n" for k, v in about)),
-        "conversion": ("text/plain; charset=utf-8", plain_text(payload)),
+        "conversion": ("text/plain; charset=utf-8", shown_text(page)),
     }
     for kind, other in (("metadata", "conversion"), ("conversion", "metadata")):
         content_type, text = blocks[kind]

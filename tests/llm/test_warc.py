@@ -1,4 +1,5 @@
 import gzip
+import time
 from html.parser import HTMLParser
 
 import pytest
@@ -18,12 +19,12 @@ class Reader(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         self.hidden += tag in ("script", "style", "noscript", "template", "svg", "title")
-        if warc.BLOCKS.match(f"<{tag}>"):
+        if tag in warc.BLOCKS:
             self.found.append("\n")
 
     def handle_endtag(self, tag):
         self.hidden -= tag in ("script", "style", "noscript", "template", "svg", "title")
-        if warc.BLOCKS.match(f"<{tag}>"):
+        if tag in warc.BLOCKS:
             self.found.append("\n")
 
     def handle_data(self, data):
@@ -123,3 +124,47 @@ def test_segments_hold_single_members(spark):
     assert len(files) > 1 and sum(f["n_records"] for f in files) == 40
     whole = b"".join(gzip.decompress(bytes(f["content"])) for f in sorted(files, key=lambda f: f["segment"]))
     assert whole == b"".join(bytes(r["record"]) for r in records.collect())
+
+
+HERE = "http://b.example/dir/p"
+
+
+@pytest.mark.parametrize(
+    ("page", "text", "title", "links"),
+    [
+        ('<a title="x > y">z</a>', "z", "", []),
+        ('<a title="x > y" href="q">z</a>', "z", "", ["http://b.example/dir/q"]),
+        ("<a title='it > is' HREF=q>z</a>", "z", "", ["http://b.example/dir/q"]),
+        ('<a data-href="/wrong" href="/right">z', "z", "", ["http://b.example/right"]),
+        ('<a href="/first" href="/second">z', "z", "", ["http://b.example/first"]),
+        ('<base href="http://c.example/e/"><a href=p>z', "z", "", ["http://c.example/e/p"]),
+        ('<base href="/up/"><base href="/no/"><a href=p>z', "z", "", ["http://b.example/up/p"]),
+        ('<!-- <base href="/no/"> --><a href=p>z', "z", "", ["http://b.example/dir/p"]),
+        ("<svg><title>icon</title></svg><title>Page</title>t", "t", "Page", []),
+        ("<!-- <title>old</title> --><title>Page &amp; more</title>t", "t", "Page & more", []),
+        ("<script>'<title>no</title>'</script><title>Page</title>t", "t", "Page", []),
+        ("<map><area href=k><area shape=rect></map>", "", "", ["http://b.example/dir/k"]),
+        ("a<pre>  x\n    y </pre>b", "a\n  x\n    y \nb", "", []),
+        ("a<pre>\n<b>x</b>  &lt;y&gt;\n\n z\n</pre>", "a\nx  <y>\n\n z", "", []),
+        ("5 < 6 <b>c</b> </ d> e <> f", "5 < 6 c e <> f", "", []),
+        ("a<!-->b<!--->c<!-- d --!>e<!-- f", "a b c e", "", []),
+        ("<a href=x/>y</a><p a", "y", "", ["http://b.example/dir/x/"]),
+        ("<noscript><a href=n>x</a></noscript><template><a href=t>x</a></template>y", "y", "", ["http://b.example/dir/n"]),
+        ("<p title=a'b>c</p><p title = \"d>e\" >f</p>", "c\nf", "", []),
+    ],
+)
+def test_pages_are_read_as_browsers_do(page, text, title, links):
+    assert (warc.plain_text(page), warc.title(page), warc.links(page, HERE)) == (text, title, links)
+
+
+BROKEN = ("<a ", "<title>", "<!--", "<a href='", "<a" + " " * 50, "<pre>", "<noscript>", "</", '<p a="', "<svg><title>", "<style>", "<a b=", "&", "<", "<script></scrip>")
+
+
+@pytest.mark.parametrize("piece", BROKEN)
+def test_broken_pages_take_linear_time(piece):
+    """A megabyte of any opening without its end."""
+    page = piece * (1_000_000 // len(piece))
+    start = time.perf_counter()
+    for around in (page, f"<svg>{page}</svg>", f"{page}</title></a>"):
+        warc.plain_text(around), warc.title(around), warc.links(around, HERE)
+    assert time.perf_counter() - start < 30
