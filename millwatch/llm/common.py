@@ -6,8 +6,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millwatch.session import scratch_path
-
 #: Key columns of a text row. Rows that repeat both id and text are interchangeable.
 DOC, MARK = "__doc", "__mark"
 
@@ -76,6 +74,8 @@ def ceil_div(n: int, d: int) -> int:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: computed once, compressed, whole after a lost executor."""
+    from millwatch.session import scratch_path  # on the driver only: this module travels to workers by value
+
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

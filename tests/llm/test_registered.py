@@ -1,5 +1,9 @@
 """Registered queries against their SQL, and the contract's columns."""
 
+import os
+import subprocess
+import sys
+
 import pytest
 
 import __spark_entry__ as driver
@@ -33,3 +37,23 @@ def test_query_equals_its_sql(spark, given, name):
 def test_contract_columns_come_first(spark, given, name):
     wanted = COLUMNS[int(name[2:].split("_")[0])].split()
     assert queries.QUERIES[name](spark, given).columns[: len(wanted)] == wanted
+
+
+ELSEWHERE = """
+import sys
+sys.path.insert(0, sys.argv[1])
+import __spark_entry__ as driver
+from millwatch.session import local_session
+spark = local_session("2")
+for name in sys.argv[3:]:
+    driver.queries()[name](spark, sys.argv[2]).write.format("noop").mode("overwrite").save()
+"""
+
+
+def test_workers_need_no_copy_of_the_library(given, tmp_path):
+    """The library is on the driver's path alone, and the folder is another one."""
+    names = ["op1_secret_scan", "op6_repeats", "op7_line_dedup", "op11_license_notices", "op13_token_alignment"]
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    root = os.path.dirname(os.path.abspath(driver.__file__))
+    ran = subprocess.run([sys.executable, "-c", ELSEWHERE, root, given, *names], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert ran.returncode == 0, ran.stderr[-2000:]
