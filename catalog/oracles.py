@@ -248,6 +248,9 @@ ORACLES["window_scan"] = sql(
     "log", f"SELECT {cols(*FEATURES)}, risk_tier, predicted_mode FROM log WHERE created_at >= {CUTOFF}"
 )
 ORACLES["reference_scan"] = sql("train_part", f"SELECT {cols(*FEATURES)} FROM train_part")
+ORACLES["log_lookup"] = sql(
+    "log", "SELECT 1::BIGINT AS n_found, '1' AS batch_id, 1::BIGINT AS n_alike, count(*) AS n_log_rows FROM log"
+)
 ORACLES["point_lookup"] = sql(
     "log",
     """SELECT r.udi, r.product_id, l.request_id, l.risk_tier, (SELECT count(*) FROM log) AS n_log_rows

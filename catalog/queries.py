@@ -174,9 +174,25 @@ def point_lookup(spark, sf):
     reading = snapshots.read_key(spark, root, 1).select("udi", "product_id")
     request_id = hashlib.md5(b"req:1").hexdigest()
     logged = prediction_log.row_by_request(log, request_id)
-    total = log.agg(F.count("*").alias("n_log_rows"))
+    total = log.agg(F.count("*")).scalar()
     found = reading.join(logged.select("udi", "request_id", "risk_tier"), "udi", "left")
-    return found.withColumn("n_log_rows", F.lit(total.first()["n_log_rows"]))
+    return found.withColumn("n_log_rows", total)
+
+
+@query
+def log_lookup(spark, sf):
+    """A row of an appended log by the id it was given: the filter reaches the files, whose bloom filters hold the ids."""
+    root = scratch_path(spark, "log")
+    rows = I.log(spark, sf)
+    batches = [prediction_log.append(rows.where(_every(2, k)).select(*S.LOG_COLUMNS), root, k) for k in (0, 1)]
+    asked = batches[1].agg(F.min("request_id")).first()[0]
+    log = prediction_log.read_log(spark, root)
+    found = prediction_log.row_by_request(log, asked)
+    columns = [*S.LOG_COLUMNS, "request_id"]
+    alike = found.select(*columns).join(batches[1].where(F.col("request_id") == asked).select(*columns), columns, "left_semi").agg(F.count("*"))
+    return found.agg(F.count("*").alias("n_found"), F.max("batch_id").alias("batch_id")).select(
+        "n_found", "batch_id", alike.scalar().alias("n_alike"), log.agg(F.count("*")).scalar().alias("n_log_rows")
+    )
 
 
 def _monitored(spark, sf) -> str:

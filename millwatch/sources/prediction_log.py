@@ -1,8 +1,9 @@
 """The append-only prediction log: Parquet by log date, then batch.
 
 A batch is one folder, log_date=D/batch_id=B, named by the day it was logged.
-Its success marker commits it; folders without one are never read. Readers list
-the dates they need and the batches below those.
+Its success marker commits it; folders without one are never read. A note by its
+id, written before the rows, says which day that was, so an append looks at one
+path and not at the log's dates. Readers name the dates they need.
 """
 
 from __future__ import annotations
@@ -15,21 +16,47 @@ from pyspark.sql import types as T
 
 from millwatch import schema as S
 from millwatch.operators import quality
-from millwatch.session import matching_paths
+from millwatch.session import matching_paths, path_exists
 
 CURRENT_COLUMNS = (*S.FEATURES, "risk_tier", "predicted_mode")
 _PARTITIONS = [T.StructField("log_date", T.DateType()), T.StructField("batch_id", T.StringType())]
 _DONE = "_SUCCESS"
 
 
-def _committed(spark: SparkSession, root: str, batch_id: int | str) -> str | None:
-    """The folder of a committed batch, whatever its date."""
-    found = matching_paths(spark, f"{root}/log_date=*/batch_id={batch_id}/{_DONE}")
-    return found[0].removesuffix(f"/{_DONE}") if found else None
+def _note(root: str, batch_id: int | str) -> str:
+    return f"{root}/_batches/batch_id={batch_id}"
+
+
+def _dated(root: str, date: str, batch_id: int | str) -> str:
+    return f"{root}/log_date={date}/batch_id={batch_id}"
+
+
+def _named_date(spark: SparkSession, root: str, batch_id: int | str) -> str | None:
+    """The date a batch was first begun on, from the note written before its rows: one path, however long the log is."""
+    note = _note(root, batch_id)
+    return spark.read.text(note).first()["value"] if path_exists(spark, f"{note}/{_DONE}") else None
+
+
+def _folder(spark: SparkSession, root: str, batch_id: int | str) -> str | None:
+    """Where a batch belongs if it was ever begun; of batches without a note, those of today and the day before."""
+    date = _named_date(spark, root, batch_id)
+    if date:
+        return _dated(root, date, batch_id)
+    today = datetime.datetime.now(datetime.timezone.utc).date()
+    near = [_dated(root, (today - datetime.timedelta(days=d)).isoformat(), batch_id) for d in (0, 1)]
+    return next((path for path in near if path_exists(spark, f"{path}/{_DONE}")), None)
 
 
 def is_committed(spark: SparkSession, root: str, batch_id: int | str) -> bool:
-    return _committed(spark, root, batch_id) is not None
+    path = _folder(spark, root, batch_id)
+    return path is not None and path_exists(spark, f"{path}/{_DONE}")
+
+
+def _begin(spark: SparkSession, root: str, batch_id: int | str) -> str:
+    """Note today as the batch's date, so that a replay on a later day finds its folder without a search."""
+    today = datetime.datetime.now(datetime.timezone.utc).date().isoformat()
+    spark.createDataFrame([(today,)], "value string").coalesce(1).write.mode("overwrite").text(_note(root, batch_id))
+    return _dated(root, today, batch_id)
 
 
 def append(records: DataFrame, root: str, batch_id: int | str) -> DataFrame:
@@ -42,10 +69,8 @@ def append(records: DataFrame, root: str, batch_id: int | str) -> DataFrame:
     """
     spark = records.sparkSession
     quality.require_columns(records, S.LOG_COLUMNS, "A log record")
-    path = _committed(spark, root, batch_id)
-    if path is None:
-        today = datetime.datetime.now(datetime.timezone.utc).date()
-        path = f"{root}/log_date={today}/batch_id={batch_id}"
+    path = _folder(spark, root, batch_id) or _begin(spark, root, batch_id)
+    if not path_exists(spark, f"{path}/{_DONE}"):
         stamped = quality.strict(
             records.select(*S.LOG_COLUMNS), quality.log_checks(), S.LOG_COLUMNS
         ).select(
@@ -67,17 +92,26 @@ def _first_date(since: datetime.datetime) -> datetime.date:
 
 
 def read_log(spark: SparkSession, root: str, since: datetime.datetime | None = None) -> DataFrame:
-    """Committed rows, with the `log_date` and `batch_id` partition columns; with `since`, of the dates it needs."""
+    """Committed rows, with the `log_date` and `batch_id` partition columns; with `since`, of the dates it needs.
+
+    Spark is given one path per date and lists what is below them; only batches
+    that never ended are named, to be left out.
+    """
     dates = matching_paths(spark, f"{root}/log_date=*")
     if since is not None:
         require_aware(since)
         dates = [d for d in dates if d.rpartition("=")[2] >= _first_date(since).isoformat()]
-    done = [p for d in dates for p in matching_paths(spark, f"{d}/batch_id=*/{_DONE}")]
+    held, open_batches = [], []
+    for date in dates:
+        begun = set(matching_paths(spark, f"{date}/batch_id=*"))
+        done = {p.removesuffix(f"/{_DONE}") for p in matching_paths(spark, f"{date}/batch_id=*/{_DONE}")}
+        held += [date] if done else []
+        open_batches += [p.rpartition("batch_id=")[2] for p in sorted(begun - done)] if done else []
     schema = T.StructType([*S.LOG_SCHEMA.fields, *_PARTITIONS])
-    if not done:
+    if not held:
         return spark.createDataFrame([], schema)
-    paths = [p.removesuffix(f"/{_DONE}") for p in done]
-    return spark.read.option("basePath", root).schema(schema).parquet(*paths)
+    rows = spark.read.option("basePath", root).schema(schema).parquet(*held)
+    return rows.where(~F.col("batch_id").isin(open_batches)) if open_batches else rows
 
 
 def require_aware(since: datetime.datetime) -> None:

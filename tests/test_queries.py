@@ -1,5 +1,6 @@
 """Every registered query against its SQL oracle, and the golden values."""
 
+import sys
 from dataclasses import replace
 
 import pytest
@@ -24,6 +25,22 @@ def test_only_model_scores_lack_an_oracle():
     assert set(QUERIES) <= set(driver.queries()) and set(driver.oracle_sql()) <= set(driver.queries())
 
 
+@pytest.mark.parametrize("name", ["ahocorasick", "millwatch.llm", "corpus_pipeline"])
+def test_sensor_queries_stand_without_the_corpus_part(monkeypatch, name):
+    """Neither a missing part nor a missing library of it takes the other queries along."""
+    for held in [m for m in sys.modules if m.startswith(("millwatch.llm", "corpus_pipeline", "catalog_"))]:
+        monkeypatch.delitem(sys.modules, held)
+    monkeypatch.setitem(sys.modules, name, None)
+    if name == "ahocorasick":
+        for module in ("tiktoken", "zstandard", "xxhash", "public_tokenizers"):
+            monkeypatch.setitem(sys.modules, module, None)
+        with pytest.warns(UserWarning, match="left out"):
+            found = driver.queries()
+    else:
+        found = driver.queries()
+    assert set(found) == set(QUERIES) and set(driver.oracle_sql()) == set(ORACLES)
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_its_oracle(spark, sf_dir, oracle, name):
     assert compare.compare(QUERIES[name](spark, sf_dir), oracle, ORACLES[name]) is None

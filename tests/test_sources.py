@@ -203,3 +203,46 @@ def test_response_has_exactly_the_published_fields(spark, folder):
         "no_failure": 0.5, "TWF": 0.0625, "HDF": 0.25, "PWF": 0.125, "OSF": 0.0625}
     assert set(row["physics_features"].asDict()) == set(S.PHYSICS)
     assert quality.annotate(answers, quality.response_checks()).first()["violations"] == []
+
+
+def test_an_append_looks_at_one_path_however_old_its_batch_is(spark, folder, monkeypatch):
+    """A replay days later finds the batch by its note; no date is listed."""
+    first = prediction_log.append(toys.log_frame(spark, {}), folder, "old")
+    ids = {r["request_id"] for r in first.collect()}
+    later = datetime.datetime.now(datetime.timezone.utc) + datetime.timedelta(days=9)
+
+    class Clock(datetime.datetime):
+        @classmethod
+        def now(cls, tz=None):
+            return later
+
+    monkeypatch.setattr(prediction_log.datetime, "datetime", Clock)
+    monkeypatch.setattr(prediction_log, "matching_paths", lambda *_: pytest.fail("an append lists the log"))
+    again = prediction_log.append(toys.log_frame(spark, {}), folder, "old")
+    assert {r["request_id"] for r in again.collect()} == ids and prediction_log.is_committed(spark, folder, "old")
+
+
+def test_a_batch_that_broke_off_is_written_again_on_its_first_date(spark, folder):
+    path = prediction_log._begin(spark, folder, "x")
+    assert not prediction_log.is_committed(spark, folder, "x")
+    note = prediction_log._note(folder, "x")
+    spark.createDataFrame([("2020-02-03",)], "value string").write.mode("overwrite").text(note)
+    prediction_log.append(toys.log_frame(spark, {}), folder, "x")
+    assert {str(r["log_date"]) for r in prediction_log.read_log(spark, folder).collect()} == {"2020-02-03"} and "2020" not in path
+
+
+def test_a_reader_names_dates_and_not_batches(spark, folder, monkeypatch):
+    for k in range(5):
+        prediction_log.append(toys.log_frame(spark, {}), folder, k)
+    (path,) = {f.rpartition("/")[0] for f in prediction_log.append(toys.log_frame(spark, {}), folder, 9).inputFiles()}
+    spark.createDataFrame([(1,)], "x int").write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+    given = []
+    read = type(spark.read).parquet
+    monkeypatch.setattr(type(spark.read), "parquet", lambda self, *paths, **k: given.extend(paths) or read(self, *paths, **k))
+    assert {r["batch_id"] for r in prediction_log.read_log(spark, folder).collect()} == set("01234") and len(given) == 1
+
+
+def test_an_id_lookup_is_pushed_to_the_files(spark, folder):
+    prediction_log.append(toys.log_frame(spark, {}), folder, 0)
+    plan = prediction_log.row_by_request(prediction_log.read_log(spark, folder), "x")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(request_id,x)" in plan
