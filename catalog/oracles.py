@@ -558,6 +558,20 @@ ORACLES["oof_proba"] = sql(
         FROM folded""",
     folds_of("train_part"),
 )
+_UNPIVOTED = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST({c} AS DOUBLE) AS value FROM train_part" for c in NUMERIC)
+ORACLES["shared_bins"] = sql(
+    "train_part",
+    """SELECT "column", CAST(bin AS INTEGER) AS bin, count(*) AS n_rows, min(value) AS lowest, max(value) AS highest FROM (
+        SELECT v."column", v.value, (SELECT count(*) FROM edges e WHERE e."column" = v."column" AND e.value <= v.value) AS bin
+        FROM vals v) GROUP BY 1, 2""",
+    {
+        "vals": _UNPIVOTED,
+        "ranked": """SELECT "column", value, row_number() OVER (PARTITION BY "column" ORDER BY value) AS r,
+            count(*) OVER (PARTITION BY "column") AS n, min(value) OVER (PARTITION BY "column") AS low FROM vals""",
+        "edges": """SELECT DISTINCT "column", value FROM ranked JOIN range(1, 64) t(i) ON r = (i * n + 63) // 64
+            WHERE value > low""",
+    },
+)
 _GRADE = "CASE type WHEN 'L' THEN 0 WHEN 'M' THEN 1 ELSE 2 END"
 for _kind in ("forest", "boosted"):
     ORACLES[f"separable_{_kind}"] = sql(

@@ -19,6 +19,7 @@ from millwatch import schema as S
 from millwatch.functions import classes, physics
 from millwatch.operators import (
     audits,
+    binning,
     drift,
     evaluation,
     integrity,
@@ -727,17 +728,11 @@ def batch_score(spark, sf):
 
 @query
 def oof_proba(spark, sf):
+    """Every fold's model reads one table of bins, written once."""
     training = splits.train_rows(I.training(spark, sf))
-    fold = splits.fold_cuts(training)
-    folded = fold.assign(models.prepare(training), "fold").withColumn(
-        "fold", F.col("fold").cast("int")
-    )
-    folded.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        oof = models.out_of_fold(folded, FOREST)
-        scored = materialise(oof.select("udi", "y", "fold", "proba"))
-    finally:
-        folded.unpersist()
+    folded = splits.fold_cuts(training).assign(training, "fold").withColumn("fold", F.col("fold").cast("int"))
+    shared, _ = models.shared_table(folded, FOREST, ("udi", "fold"))
+    scored = materialise(models.out_of_fold(shared, FOREST).select("udi", "y", "fold", "proba"))
     total = F.aggregate("proba", F.lit(0.0), lambda a, b: a + b)
     return scored.select(
         "udi", "y", "fold",
@@ -747,6 +742,21 @@ def oof_proba(spark, sf):
     )
 
 
+@query
+def shared_bins(spark, sf):
+    """What each bin of the training rows holds, as all fits share them."""
+    training = splits.train_rows(I.training(spark, sf))
+    bins = binning.bin_edges(training, FOREST.bins)
+    coded = bins.stage().transform(training)
+    pairs = F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(b).cast("int").alias("bin"), F.col(c).cast("double").alias("value"))
+        for c, b in zip(bins.edges, bins.columns)
+    ])
+    return coded.select(F.explode(pairs).alias("x")).groupBy("x.column", "x.bin").agg(
+        F.count("*").alias("n_rows"), F.min("x.value").alias("lowest"), F.max("x.value").alias("highest")
+    )
+
+
 def _learned_grade(spark, sf, spec) -> DataFrame:
     """Test rows with the grade that a model names after it was taught the grade as its class."""
     train, test = _holdout(spark, sf)

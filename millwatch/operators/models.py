@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from millwatch import schema as S
 from millwatch.functions import classes
-from millwatch.operators import audits
+from millwatch.operators import audits, binning
 from millwatch.session import materialise
 
 _GRADE_SQL = (
@@ -63,24 +63,42 @@ def boosted_spec(rounds: int = 300, depth: int = 6, seed: int = S.SEED) -> Model
     return ModelSpec("boosted", rounds, depth, seed=seed)
 
 
-def feature_stages() -> list[Transformer]:
-    """Fixed stages: an ordinal grade code (a wrong grade fails) and the vector."""
-    return [
-        SQLTransformer(statement=_GRADE_SQL),
-        VectorAssembler(inputCols=["type_code", *S.NUMERIC_FEATURES], outputCol="features"),
-    ]
+def _vector(numeric: Sequence[str]) -> Transformer:
+    return VectorAssembler(inputCols=["type_code", *numeric], outputCol="features")
 
 
-def prepare(training: DataFrame, label: str = "failure_type") -> DataFrame:
-    """Code, class weight and feature vector of labelled rows, ready for any fit.
+def feature_stages(bins: binning.Bins | None = None) -> list[Transformer]:
+    """Fixed stages: an ordinal grade code (a wrong grade fails) and the vector, of bins if there are any."""
+    grade = SQLTransformer(statement=_GRADE_SQL)
+    return [grade, _vector(S.NUMERIC_FEATURES)] if bins is None else [grade, bins.stage(), _vector(bins.columns)]
 
-    The label column tells Spark that there are five classes, so a part that
-    lacks a class still gives five probabilities.
-    """
+
+def _labelled(rows: DataFrame) -> DataFrame:
+    """The label column tells Spark that there are five classes, so a part that
+    lacks a class still gives five probabilities."""
     five = {"ml_attr": {"type": "nominal", "vals": list(S.CLASSES)}}
+    return rows.withColumn("label", F.col("y").cast("double").alias("label", metadata=five))
+
+
+def prepare(training: DataFrame, label: str = "failure_type") -> DataFrame:
+    """Code, class weight and feature vector of labelled rows, ready for any fit."""
     weighted = audits.sample_weights(training, label).withColumn("y", classes.class_code(label))
-    labelled = weighted.withColumn("label", F.col("y").cast("double").alias("label", metadata=five))
-    return reduce(lambda df, stage: stage.transform(df), feature_stages(), labelled)
+    return reduce(lambda df, stage: stage.transform(df), feature_stages(), _labelled(weighted))
+
+
+def shared_table(training: DataFrame, spec: ModelSpec, keep: Sequence[str] = ("udi",)) -> tuple[DataFrame, binning.Bins]:
+    """Prepared rows whose vectors are bins, written once for all fits, and the bins.
+
+    Held are the columns of `keep`, `y`, `weight` and one small number per input;
+    vectors are put together when read. Rows lie in an order that follows from
+    them alone, so equal rows, seed and cores grow equal trees.
+    """
+    bins = binning.bin_edges(training, spec.bins)
+    weighted = audits.sample_weights(training).withColumn("y", classes.class_code("failure_type"))
+    grade = feature_stages()[0]
+    narrow = binning.binned(grade.transform(dealt(weighted)), bins)
+    held = narrow.select(*keep, "y", "weight", F.col("type_code").cast("smallint").alias("type_code"), *bins.columns)
+    return _vector(bins.columns).transform(_labelled(materialise(held))), bins
 
 
 def _forest(prepared: DataFrame, spec: ModelSpec) -> list[Transformer]:
@@ -199,10 +217,15 @@ def staged(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return out.select(*kept, "margins")
 
 
-def fit(prepared: DataFrame, spec: ModelSpec) -> PipelineModel:
-    """Fit on prepared rows. Weights act here only; scoring is unweighted."""
-    stages = _forest(prepared, spec) if spec.kind == "forest" else _boosted(prepared, spec)
-    return PipelineModel(stages=[*feature_stages(), *stages])
+def fit_stages(prepared: DataFrame, spec: ModelSpec) -> list[Transformer]:
+    """What a fit learns from prepared rows, without the stages that prepare them."""
+    return _forest(prepared, spec) if spec.kind == "forest" else _boosted(prepared, spec)
+
+
+def fit(prepared: DataFrame, spec: ModelSpec, bins: binning.Bins | None = None) -> PipelineModel:
+    """Fit on prepared rows, given the bins of their vectors if they have any. Weights act here
+    only; scoring is unweighted and starts from raw inputs."""
+    return PipelineModel(stages=[*feature_stages(bins), *fit_stages(prepared, spec)])
 
 
 def dealt(prepared: DataFrame, rows_in_part: int = 1_000_000) -> DataFrame:
@@ -228,25 +251,31 @@ def fit_training_rows(training: DataFrame, spec: ModelSpec) -> PipelineModel:
 def score(model: PipelineModel, inputs: DataFrame) -> DataFrame:
     """The input columns plus `proba`, five probabilities that sum to 1."""
     kept = [c for c in inputs.columns if c not in _WORKING]
-    out = model.transform(inputs.select(kept))
+    return _with_proba(model.transform(inputs.select(kept)), kept)
+
+
+def _with_proba(out: DataFrame, kept: Sequence[str]) -> DataFrame:
     if "margin" in out.columns:
         return out.select(*kept, softmax(F.col("margin")).alias("proba"))
     return out.select(*kept, vector_to_array("probability").alias("proba"))
 
 
+def score_vectors(stages: Sequence[Transformer], prepared: DataFrame) -> DataFrame:
+    """`proba` of rows that are prepared already, raw or in bins as the fit had them."""
+    kept = [c for c in prepared.columns if c not in (*_WORKING, "label", "weight") and not c.startswith(binning.bin_column(""))]
+    return _with_proba(PipelineModel(stages=list(stages)).transform(prepared.select(*kept, "features")), kept)
+
+
 def out_of_fold(folded: DataFrame, spec: ModelSpec, folds: int = S.CV_FOLDS) -> DataFrame:
     """Each prepared row scored by the model that did not see its fold.
 
     `folded` is prepared rows with `fold`. Every fit and every score reads it, so
-    the caller keeps it in storage until the scores are written. Forests of
-    several folds grow at once; boosted models already grow one tree per class at a time.
+    it is a shared table, or the caller keeps it in storage until the scores are
+    written. Forests of several folds grow at once; boosted models already grow
+    one tree per class at a time.
     """
-    kept = [c for c in folded.columns if c not in ("features", "type_code", "label", "weight")]
-    fits = [partial(fit, folded.where(F.col("fold") != k), spec) for k in range(folds)]
+    fits = [partial(fit_stages, folded.where(F.col("fold") != k), spec) for k in range(folds)]
     at_once = spec.parallelism if spec.kind == "forest" else 1
     fitted = fit_side_by_side(folded.sparkSession, fits, at_once)
-    parts = [
-        score(model, folded.where(F.col("fold") == k).select(kept))
-        for k, model in enumerate(fitted)
-    ]
+    parts = [score_vectors(stages, folded.where(F.col("fold") == k)) for k, stages in enumerate(fitted)]
     return reduce(DataFrame.unionByName, parts)

@@ -60,16 +60,10 @@ def train(
     example = training.select("udi", *S.FEATURES).orderBy("udi").drop("udi").limit(5)
 
     folds = splits.fold_cuts(training)
-    folded = folds.assign(models.prepare(training), "fold").withColumn(
-        "fold", F.col("fold").cast("int")
-    )
-    folded.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        oof = models.out_of_fold(folded, spec)
-        stored = oof.select("udi", "failure_type", "y", "fold", "proba")
-        stored.write.mode("overwrite").parquet(f"{out}/oof")
-    finally:
-        folded.unpersist()
+    folded = folds.assign(training, "fold").withColumn("fold", F.col("fold").cast("int"))
+    shared, bins = models.shared_table(folded, spec, ("udi", "failure_type", "fold"))
+    oof = models.out_of_fold(shared, spec)
+    oof.select("udi", "failure_type", "y", "fold", "proba").write.mode("overwrite").parquet(f"{out}/oof")
     scored = spark.read.parquet(f"{out}/oof")
 
     tables = results.evaluation_tables(scored, "oof")
@@ -78,7 +72,7 @@ def train(
     tables["cv"] = cv.unpivot([], cv.columns, "metric", "value")
     results.write_evaluation(tables, f"{out}/evaluation", run_id)
 
-    model = models.fit_training_rows(training, spec)
+    model = models.fit(shared, spec, bins)
     inputs = training.select(*S.FEATURES)
     bundles.save_model(model, out, bundles.Signature.of(inputs, models.score(model, inputs)), spark)
     drift.reference_profile(training).write.mode("overwrite").parquet(f"{out}/reference_profile")
