@@ -444,6 +444,25 @@ ORACLES["parity_check"] = sql(
     {"moved": f"SELECT udi, {_REORDERED} FROM readings"},
 )
 
+_CHANGED = {
+    "changed": """SELECT udi, (udi % 101 = 0 OR udi % 97 = 0)::INT::BIGINT AS n_left_only,
+        CASE WHEN udi % 101 = 0 THEN 0 ELSE (udi % 97 = 0)::INT + (udi % 103 = 0)::INT END::BIGINT AS n_right_only
+        FROM readings WHERE udi % 97 = 0 OR udi % 101 = 0 OR udi % 103 = 0""",
+    "hashed": """SELECT udi, sha256('{"udi":' || udi || '}') AS h FROM readings""",
+    "nodes": "SELECT DISTINCT l AS level, substr(h, 1, CAST(l AS INTEGER)) AS prefix FROM hashed, range(4) t(l)",
+    "hit": """SELECT DISTINCT l AS level, substr(h, 1, CAST(l AS INTEGER)) AS prefix
+        FROM hashed JOIN changed USING (udi), range(4) t(l)""",
+}
+ORACLES["table_diff_rows"] = sql("readings", "SELECT udi, n_left_only, n_right_only FROM changed", _CHANGED)
+ORACLES["table_diff_nodes"] = sql(
+    "readings",
+    """SELECT CAST(n.level AS INTEGER) AS level, count(*) AS n_compared,
+        count(*) FILTER (WHERE (n.level, n.prefix) IN (SELECT (level, prefix) FROM hit)) AS n_differing
+       FROM nodes n WHERE n.level = 0 OR (n.level - 1, substr(n.prefix, 1, CAST(n.level - 1 AS INTEGER))) IN (SELECT (level, prefix) FROM hit)
+       GROUP BY n.level""",
+    _CHANGED,
+)
+
 # --- aggregates -----------------------------------------------------------------
 
 ORACLES["label_audit_modes"] = sql(
@@ -903,6 +922,16 @@ ORACLES["monitor_scores"] = sql(
         FROM scores JOIN loads USING (scenario) WHERE n_current >= {MIN_ROWS}""",
     _LOGGED,
 )
+ORACLES["day_profile_verdicts"] = sql(
+    "monitored",
+    """SELECT "column", CASE WHEN "column" = 'type' THEN 'Jensen-Shannon distance'
+        ELSE 'Wasserstein distance (normed)' END AS method, 0.1e0 AS threshold, round(score, 6) AS score, score >= 0.1e0 AS drifted,
+        n_current, low, elevated, high
+        FROM scores, (SELECT count(*) AS n_current, count(*) FILTER (WHERE risk_tier = 'low') AS low,
+            count(*) FILTER (WHERE risk_tier = 'elevated') AS elevated, count(*) FILTER (WHERE risk_tier = 'high') AS high
+            FROM shifted WHERE scenario = 'healthy') WHERE scenario = 'healthy'""",
+    _LOGGED,
+)
 
 
 def alarm_ctes() -> dict[str, str]:
@@ -1000,6 +1029,10 @@ ORACLES["stream_log"] = sql(
     """SELECT count(*) AS n_logged, count(*) AS n_published, 0::BIGINT AS n_missing
        FROM readings WHERE udi % 100 NOT BETWEEN 1 AND 14""",
 )
+ORACLES["stream_once"] = sql(
+    "log",
+    """SELECT count(*) + count(*) FILTER (WHERE udi % 3 = 0) AS n_sent, count(*) AS n_logged, count(*) AS n_published FROM log""",
+)
 ORACLES["stream_workload"] = sql(
     "log",
     """SELECT strftime(d, '%Y-%m-%d %H:%M:%S.%f') AS window_start, count(*) AS n_rows,

@@ -20,6 +20,7 @@ from millwatch.functions import classes, physics
 from millwatch.operators import (
     audits,
     binning,
+    day_profiles,
     drift,
     evaluation,
     integrity,
@@ -30,6 +31,7 @@ from millwatch.operators import (
     risk,
     split_audit,
     splits,
+    table_diff,
     upsert,
 )
 from millwatch.session import materialise, scratch_path
@@ -535,6 +537,30 @@ def parity_check(spark, sf):
     )
 
 
+def _sealed_pair(spark, sf) -> tuple[str, str]:
+    """The readings, and the same with a 97th nudged, a 101st missing and a 103rd twice, sealed as trees."""
+    readings = I.readings(spark, sf)
+    nudged = readings.withColumn("torque_nm", F.when(_every(97), F.col("torque_nm") + 0.5).otherwise(F.col("torque_nm")))
+    other = nudged.where(~_every(101)).unionByName(nudged.where(_every(103) & ~_every(101)))
+    roots = scratch_path(spark, "sealed-left"), scratch_path(spark, "sealed-right")
+    for rows, root in zip((readings, other), roots):
+        table_diff.seal(rows, ["udi"], root, depth=3)
+    return roots
+
+
+@query
+def table_diff_rows(spark, sf):
+    """The rows in which two tables differ, from the buckets that differ."""
+    return table_diff.differing_rows(spark, *_sealed_pair(spark, sf), ["udi"])
+
+
+@query
+def table_diff_nodes(spark, sf):
+    """How many nodes of two trees were compared on each level, and how many differ."""
+    levels, _ = table_diff.descend(spark, *_sealed_pair(spark, sf))
+    return spark.createDataFrame(levels, "level int, n_compared long, n_differing long")
+
+
 # --- aggregates -----------------------------------------------------------------
 
 
@@ -1027,6 +1053,18 @@ def drift_window(spark, sf):
     )
 
 
+@query
+def day_profile_verdicts(spark, sf):
+    """The verdicts of the window since the cutoff, from profiles of its days and no log row."""
+    root, last = scratch_path(spark, "days"), datetime.date(9999, 12, 31)
+    day_profiles.write_days(I.log(spark, sf), root)
+    reference = materialise(drift.reference_profile(reference_scan(spark, sf)))
+    days = day_profiles.read_days(spark, root, CUTOFF.date(), last)
+    load = day_profiles.window_load(days).first().asDict()
+    verdicts = day_profiles.window_verdicts(reference, days)
+    return _rounded(verdicts.withColumns({name: F.lit(n).cast("long") for name, n in load.items()}), "score")
+
+
 @query
 def false_alarm_rate(spark, sf):
     """Every published size; one that the pool can't fill has no window and no rate."""
@@ -1092,6 +1130,21 @@ def _run_stream(spark, sf) -> scoring.StreamPaths:
     return paths
 
 
+@query
+def stream_once(spark, sf):
+    """Requests of which every third is sent again in a later batch, after a restart: each is scored once."""
+    root = scratch_path(spark, "stream-once")
+    sent = I.log(spark, sf).select(F.col("request_id").alias("request_key"), F.col("created_at").alias("sent_at"), F.to_json(F.struct(*[c for c in S.FEATURES if c not in S.PHYSICS])).alias("body"), "udi")
+    paths = scoring.StreamPaths(f"{root}/out")
+    served = scoring.Served(rule_scorer, 0.3, I.MODEL_NAME, I.MODEL_VERSION)
+    for part in (sent, sent.where(_every(3))):
+        part.drop("udi").write.mode("append").json(f"{root}/requests")
+        requests = scoring.read_keyed_requests(spark, f"{root}/requests")
+        scoring.start(scoring.scored_once(requests, "400 days"), served, paths).awaitTermination()
+    counts = {"n_sent": spark.read.json(f"{root}/requests", "body string"), "n_logged": prediction_log.read_log(spark, paths.log), "n_published": spark.read.parquet(paths.published)}
+    return spark.createDataFrame([tuple(rows.count() for rows in counts.values())], ", ".join(f"{name} long" for name in counts))
+
+
 @query
 def stream_score(spark, sf):
     published = spark.read.parquet(_run_stream(spark, sf).published)

@@ -64,6 +64,26 @@ def read_requests(spark: SparkSession, path: str, files_per_batch: int = 1000) -
     )
 
 
+def read_keyed_requests(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+    """One JSON envelope per line: `request_key`, `sent_at` and the reading as text in `body`."""
+    envelope = "request_key string, sent_at timestamp, body string"
+    reader = spark.readStream.schema(envelope).option("maxFilesPerTrigger", files_per_batch)
+    return reader.json(path)
+
+
+def scored_once(requests: DataFrame, repeats_within: str = "1 day") -> DataFrame:
+    """Keyed requests without those sent again, in the same batch, a later one or after a restart.
+
+    The state holds one key per request until event time is `repeats_within` past
+    it, the bound on a client's retries. A request that comes later than that
+    behind the newest one can't be told from a retry and is dropped with them. One
+    without a key or a time is never taken for a retry.
+    """
+    keyed = F.col("request_key").isNotNull() & F.col("sent_at").isNotNull()
+    first = requests.where(keyed).withWatermark("sent_at", repeats_within).dropDuplicatesWithinWatermark(["request_key"])
+    return first.unionByName(requests.where(~keyed))
+
+
 def score_requests(accepted: DataFrame, served: Served) -> DataFrame:
     """Valid readings as log records; the same code serves batches."""
     inputs = projections.model_input(accepted)
