@@ -1,7 +1,7 @@
 """Which rows of two large tables differ, by a tree of additive row digests.
 
-Sealing a table writes one digest per row, partitioned by the beginning of its
-key's hash, and the sums of those digests for every prefix up to the root. Two
+Sealing a table writes one digest per row, ordered by the beginning of its key's
+hash, and the sums of those digests for every prefix up to the root. Two
 sealed tables are compared from the root down: only children of nodes that
 differ are looked at, and only the digests in leaf buckets that differ are read
 and joined. Equal tables cost one comparison of two rows, at any size.
@@ -26,7 +26,7 @@ def _lane(i: int) -> Column:
 
 
 def seal(rows: DataFrame, key: Sequence[str], root: str, depth: int = 2) -> None:
-    """Write `digests` (key, digest, n, by bucket) and `tree` (level, prefix, n_rows, lanes) below `root`.
+    """Write `digests` (key, digest, bucket, n) and `tree` (level, prefix, n_rows, lanes) below `root`.
 
     There are 16 ** depth buckets. Null keys are keys; copies count, and are kept
     as one digest and a number.
@@ -35,9 +35,10 @@ def seal(rows: DataFrame, key: Sequence[str], root: str, depth: int = 2) -> None
         raise ValueError(f"A tree has one level below its root or more, got depth {depth}")
     columns = sorted(rows.columns)
     digests = rows.select(*key, row_digest(*columns).alias("digest"), F.substring(row_digest(*key), 1, depth).alias("bucket"))
-    # copies collapse on the map side; ranges of digests split a bucket that is large, and a task writes few buckets
-    counted = digests.groupBy(*key, "digest", "bucket").agg(F.count("*").alias("n"))
-    counted.repartitionByRange("bucket", "digest").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/digests")
+    # copies collapse on the map side; ranges of digests split a bucket that is large, and small ones share a file
+    counted = digests.groupBy(*key, "digest", "bucket").agg(F.count("*").alias("n")).withColumn("part", _part(F.col("bucket")))
+    ordered = counted.repartitionByRange("bucket", "digest").sortWithinPartitions("part", "bucket")
+    ordered.write.mode("overwrite").partitionBy("part").parquet(f"{root}/digests")
     rows.select(*key).limit(0).write.mode("overwrite").parquet(f"{root}/keys")
     level = _digests(rows.sparkSession, root).groupBy(F.col("bucket").alias("prefix")).agg(
         F.sum("n").alias("n_rows"), *[F.sum(_lane(i) * F.col("n")).cast("decimal(38,0)").alias(lane) for i, lane in enumerate(_LANES)]
@@ -52,9 +53,14 @@ def seal(rows: DataFrame, key: Sequence[str], root: str, depth: int = 2) -> None
     tree.coalesce(1).write.mode("overwrite").parquet(f"{root}/tree")
 
 
+def _part(bucket: Column) -> Column:
+    """The folder of a bucket, one of 16; inside, files are sorted by bucket, so row groups of others are skipped."""
+    return F.substring(bucket, 1, 1)
+
+
 def _digests(spark: SparkSession, root: str) -> DataFrame:
     """The stored digests; `keys`, a table without rows, says of what type a key is, also where there is none."""
-    schema = spark.read.parquet(f"{root}/keys").schema.add("digest", "string").add("n", "long").add("bucket", "string")
+    schema = spark.read.parquet(f"{root}/keys").schema.add("digest", "string").add("bucket", "string").add("n", "long").add("part", "string")
     return spark.read.schema(schema).parquet(f"{root}/digests")
 
 
@@ -88,13 +94,13 @@ def descend(spark: SparkSession, left: str, right: str) -> tuple[list[tuple[int,
 def differing_rows(spark: SparkSession, left: str, right: str, key: Sequence[str]) -> DataFrame:
     """(key, n_left_only, n_right_only) of every key whose rows differ, duplicates counted.
 
-    Reads the digests of differing buckets only, as partitions; a key on one side
-    has 0 on the other, a changed row counts on both.
+    Reads the digests of differing buckets: folders are pruned, then row groups. A
+    key on one side has 0 on the other, a changed row counts on both.
     """
     _, buckets = descend(spark, left, right)
     sides = []
     for root, mark in ((left, 1), (right, -1)):
-        rows = _digests(spark, root).where(F.col("bucket").isin(buckets))
+        rows = _digests(spark, root).where(F.col("part").isin(sorted({b[:1] for b in buckets})) & F.col("bucket").isin(buckets))
         sides.append(rows.select(*key, "digest", (F.lit(mark) * F.col("n")).alias("_net")))
     net = reduce(DataFrame.unionByName, sides).groupBy(*key, "digest").agg(F.sum("_net").alias("_net")).where("_net <> 0")
     return net.groupBy(*key).agg(

@@ -33,7 +33,8 @@ def test_differing_rows_are_named_and_other_buckets_not_read(spark, folder):
     assert set(wanted) == {0, 17, 300, 5, None}
     levels, buckets = table_diff.descend(spark, *roots)
     assert levels[0] == (0, 1, 1) and len(buckets) == levels[-1][2] <= len(wanted) and levels[2][1] <= 16 * levels[1][2]
-    assert "PartitionFilters: [isnotnull(bucket" in found._jdf.queryExecution().toString() or "PartitionFilters: [bucket" in found._jdf.queryExecution().toString()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(bucket" in plan and "PartitionFilters: [part" in plan
 
 
 def test_equal_and_empty_tables(spark, folder):
