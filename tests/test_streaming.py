@@ -107,3 +107,22 @@ def test_batch_and_stream_score_alike(spark, folder):
     batch = scoring.score_requests(spark.createDataFrame(rows, schema), served())
     streamed = prediction_log.read_log(spark, paths.log).select(batch.columns)
     assert tuple(reconcile.multiset_difference(batch, streamed).first()) == (0, 0)
+
+
+def test_a_request_sent_again_is_scored_once(spark, folder):
+    """In its own batch, in a later one and after a restart; requests without a key are all kept."""
+    import os
+
+    os.makedirs(f"{folder}/keyed")
+    paths = scoring.StreamPaths(f"{folder}/out")
+
+    def send(name, *keys):
+        lines = [{"request_key": k, "sent_at": "2024-03-01T10:00:00Z", "body": json.dumps(toys.READING)} for k in keys]
+        with open(f"{folder}/keyed/{name}.json", "w") as out:
+            out.writelines(json.dumps(line) + "\n" for line in lines)
+        requests = scoring.scored_once(scoring.read_keyed_requests(spark, f"{folder}/keyed"))
+        scoring.start(requests, served(), paths).awaitTermination()
+        return prediction_log.read_log(spark, paths.log).count()
+
+    assert send("1", "a", "a", "b", None, None) == 4
+    assert send("2", "b", "c", None) == 6
