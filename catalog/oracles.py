@@ -238,6 +238,24 @@ ORACLES["upsert_rerun"] = sql(
          count(*) FILTER (WHERE udi % 10 <> 0 AND udi % 7 <> 0) FROM readings
        UNION ALL SELECT 'rerun', 0, 0, count(*) FROM readings""",
 )
+_SENT = "SELECT *, udi // 500 AS place, (udi // 500) % 8 = 1 AS changes FROM readings WHERE (udi // 500) % 4 = 1"
+ORACLES["ranged_upsert"] = sql(
+    "readings",
+    """SELECT 'load' AS run, count(*) AS n_insert, 0::BIGINT AS n_update, 0::BIGINT AS n_unchanged,
+         0::BIGINT AS n_ranges_read, count(DISTINCT udi // 500) AS n_ranges_written FROM readings WHERE udi % 10 <> 0
+       UNION ALL SELECT 'batch', count(*) FILTER (WHERE udi % 10 = 0), count(*) FILTER (WHERE udi % 10 <> 0 AND udi % 7 = 0 AND changes),
+         count(*) FILTER (WHERE udi % 10 <> 0 AND NOT (udi % 7 = 0 AND changes)),
+         count(DISTINCT place) FILTER (WHERE place IN (SELECT udi // 500 FROM readings WHERE udi % 10 <> 0)),
+         count(DISTINCT place) FILTER (WHERE changes AND (udi % 10 = 0 OR udi % 7 = 0)) FROM sent
+       UNION ALL SELECT 'rerun', 0, 0, count(*), count(DISTINCT place), 0 FROM sent""",
+    {"sent": f"SELECT * FROM ({_SENT}) WHERE udi % 10 <> 0 OR changes"},
+)
+ORACLES["ranged_rows"] = sql(
+    "readings",
+    f"""SELECT {cols(*[c for c in R if c != 'torque_nm'])},
+        CASE WHEN udi % 7 = 0 AND (udi // 500) % 8 = 1 THEN torque_nm + 0.5e0 ELSE torque_nm END AS torque_nm
+        FROM readings WHERE udi % 10 <> 0 OR (udi // 500) % 8 = 1""",
+)
 ORACLES["feature_view"] = sql(
     "features", f"SELECT {cols(*R, *PHYSICS)}, failure_type FROM features"
 )
@@ -305,6 +323,7 @@ ORACLES["validate_batch"] = sql(
     + " UNION ALL SELECT 'udi_unique', count(*) - count(DISTINCT udi) FROM dirty",
     {"dirty0": _DIRTY, "dirty": "SELECT * FROM dirty0 UNION ALL SELECT * FROM dirty0 WHERE udi % 61 = 0"},
 )
+ORACLES["observed_rules"] = ORACLES["validate_batch"]
 ORACLES["flags_to_bool"] = sql("readings", f"SELECT udi, {cols(*FLAGS)} FROM readings")
 _EXPECTED = (
     "udi:extra_forbidden", "action:extra_forbidden", "air_temp_k:missing", "type:literal_error",

@@ -35,7 +35,7 @@ from millwatch.operators import (
     upsert,
 )
 from millwatch.session import materialise, scratch_path
-from millwatch.sources import bundles, csv_files, prediction_log, results, snapshots
+from millwatch.sources import bundles, csv_files, prediction_log, ranged_tables, results, snapshots
 from millwatch.streaming import scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -143,6 +143,37 @@ def rebucket(spark, sf):
     )
 
 
+def _ranged_runs(spark, sf) -> tuple[str, DataFrame]:
+    """A table of key ranges after a load, a batch to every fourth range that changes every eighth, and the batch again."""
+    target, _ = _upsert_sides(spark, sf)
+    place = F.floor(F.col("udi") / 500)
+    changes = place % 8 == 1
+    staged = I.readings(spark, sf).where((place % 4 == 1) & (~_every(10) | changes))
+    torque = F.when(_every(7) & changes, F.col("torque_nm") + 0.5).otherwise(F.col("torque_nm"))
+    path = scratch_path(spark, "ranged")
+    name = f"ranged_{path[-32:]}"
+    ranged_tables.open_table(spark, name, path, width=500, buckets=2)
+    rows = []
+    staged = staged.withColumn("torque_nm", torque)
+    for run, batch in (("load", target), ("batch", staged), ("rerun", staged)):
+        done = ranged_tables.upsert_table(batch, name, proven_unique=True)
+        rows.append((run, done.insert, done.update, done.unchanged, done.ranges_read, done.ranges_written))
+    counts = "n_insert long, n_update long, n_unchanged long, n_ranges_read long, n_ranges_written long"
+    return name, spark.createDataFrame(rows, f"run string, {counts}")
+
+
+@query
+def ranged_upsert(spark, sf):
+    """Rows by action, and how many key ranges a load, a batch and its repetition read and write."""
+    return _ranged_runs(spark, sf)[1]
+
+
+@query
+def ranged_rows(spark, sf):
+    """What the table of key ranges holds after these batches."""
+    return ranged_tables.read_table(spark, _ranged_runs(spark, sf)[0])
+
+
 @query
 def feature_view(spark, sf):
     return I.features(spark, sf)
@@ -334,8 +365,7 @@ def _staged(spark, sf) -> DataFrame:
     return I.readings(spark, sf).withColumns({f: F.col(f).cast("int") for f in S.FLAGS})
 
 
-@query
-def validate_batch(spark, sf):
+def _dirty(spark, sf) -> DataFrame:
     batch = _staged(spark, sf).withColumns(
         {
             "air_temp_k": F.when(~_every(97), F.col("air_temp_k")),
@@ -344,7 +374,21 @@ def validate_batch(spark, sf):
             "twf": F.when(_every(83), 2).otherwise(F.col("twf")),
         }
     )
-    return quality.validate_batch(batch.unionByName(batch.where(_every(61))))
+    return batch.unionByName(batch.where(_every(61)))
+
+
+@query
+def validate_batch(spark, sf):
+    return quality.validate_batch(_dirty(spark, sf))
+
+
+@query
+def observed_rules(spark, sf):
+    """The same counts, taken while the batch is written."""
+    path = scratch_path(spark, "observed")
+    batch, seen = quality.observed_batch(_dirty(spark, sf))
+    batch.write.parquet(path)
+    return quality.written_counts(seen, spark.read.schema(batch.schema).parquet(path))
 
 
 @query

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from millwatch import schema as S
@@ -37,33 +37,71 @@ def batch_rules() -> dict[str, Column]:
     return rules
 
 
-def validate_batch(batch: DataFrame, key: str = "udi") -> DataFrame:
-    """(rule, n_bad) for every rule, whether or not it is broken.
+def _rule_counts() -> list[Column]:
+    """Rows that break each row rule; a rule that is NULL is broken."""
+    return [F.count_if(F.coalesce(bad, F.lit(True))).alias(rule) for rule, bad in batch_rules().items()]
 
-    The row rules are one scan without a shuffle. Uniqueness shuffles the key
-    column alone, collapsed on the map side, so a repeated key stays cheap.
-    """
-    rules = batch_rules()
-    per_rule = batch.agg(
-        *[F.count_if(F.coalesce(bad, F.lit(True))).alias(rule) for rule, bad in rules.items()]
-    ).unpivot([], list(rules), "rule", "n_bad")
-    repeated = (
+
+def _repeated_keys(batch: DataFrame, key: str) -> DataFrame:
+    """(rule, n_bad) of uniqueness: the rows beyond the first of each key."""
+    return (
         batch.groupBy(key)
         .agg(F.count("*").alias("n"))
         .agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n_bad"))
         .select(F.lit(f"{key}_unique").alias("rule"), F.col("n_bad").cast("long"))
     )
-    return per_rule.unionByName(repeated)
 
 
-def require_valid(batch: DataFrame) -> None:
+def validate_batch(batch: DataFrame, key: str = "udi") -> DataFrame:
+    """(rule, n_bad) for every rule, whether or not it is broken.
+
+    The row rules are one scan without a shuffle. Uniqueness shuffles the key
+    column alone, collapsed on the map side, so a repeated key stays cheap.
+    """
+    per_rule = batch.agg(*_rule_counts()).unpivot([], list(batch_rules()), "rule", "n_bad")
+    return per_rule.unionByName(_repeated_keys(batch, key))
+
+
+def observed_batch(batch: DataFrame) -> tuple[DataFrame, Observation]:
+    """The same rows; the action that runs them also counts the row rules.
+
+    Meant for a write right behind the scan: its tasks are then those of a result
+    stage, whose counts Spark takes once each, retries and lost executors included.
+    Behind a shuffle a stage that runs again could count its rows twice.
+    """
+    seen = Observation()
+    return batch.observe(seen, *_rule_counts()), seen
+
+
+def written_counts(seen: Observation, written: DataFrame, key: str = "udi") -> DataFrame:
+    """(rule, n_bad) as `validate_batch` gives it, from the counts of a finished write.
+
+    Only the key column of what was written is read, for uniqueness. A write of
+    no rows counts 0 for each rule.
+    """
+    counts = [(rule, int(seen.get.get(rule) or 0)) for rule in batch_rules()]
+    per_rule = written.sparkSession.createDataFrame(counts, "rule string, n_bad long")
+    return per_rule.unionByName(_repeated_keys(written, key))
+
+
+def require_clean(counts: DataFrame) -> None:
     """Collect every broken rule (a bounded list), then fail once."""
-    broken = validate_batch(batch).where("n_bad > 0").orderBy("rule").collect()
+    broken = counts.where("n_bad > 0").orderBy("rule").collect()
     if broken:
         problems = "; ".join(f"{row['rule']} ({row['n_bad']} rows)" for row in broken)
         raise ValueError(f"Batch refused; mend these rows and load it again: {problems}")
 
 
+def require_valid(batch: DataFrame) -> None:
+    require_clean(validate_batch(batch))
+
+
+def require_unique(batch: DataFrame, key: str) -> None:
+    repeated = batch.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").limit(1).collect()
+    if repeated:
+        raise ValueError(f"{key} {repeated[0][key]} occurs {repeated[0]['n']} times in the batch")
+
+
 def flags_to_bool(batch: DataFrame) -> DataFrame:
     """0/1 to boolean. Only after validation: a 2 would silently become true."""
     return batch.withColumns({flag: F.col(flag).cast("boolean") for flag in S.FLAGS})

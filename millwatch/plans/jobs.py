@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import asdict
 
 from pyspark import StorageLevel
@@ -21,8 +23,8 @@ from millwatch.operators import (
     risk,
     splits,
 )
-from millwatch.session import materialise
-from millwatch.sources import bundles, csv_files, prediction_log, results, snapshots
+from millwatch.session import discard, materialise, scratch_path
+from millwatch.sources import bundles, csv_files, prediction_log, ranged_tables, results, snapshots
 from millwatch.streaming import scoring
 
 THRESHOLD_RULE = (
@@ -33,11 +35,32 @@ THRESHOLD_RULE = (
 
 def ingest(spark: SparkSession, csv_path: str, table: str, buckets: int | None = None) -> dict[str, int]:
     """Load CSV files into the readings table; returns rows per action."""
-    batch = csv_files.read_batch(spark, csv_path)
-    quality.require_valid(batch)
-    return snapshots.upsert_table(
-        quality.flags_to_bool(batch), table, buckets=buckets, proven_unique=True
-    )
+    with _staged(spark, csv_path) as batch:
+        return snapshots.upsert_table(batch, table, buckets=buckets, proven_unique=True)
+
+
+def ingest_ranges(spark: SparkSession, csv_path: str, name: str) -> ranged_tables.Upserted:
+    """Load CSV files into an opened table of key ranges."""
+    with _staged(spark, csv_path) as batch:
+        return ranged_tables.upsert_table(batch, name, proven_unique=True)
+
+
+@contextmanager
+def _staged(spark: SparkSession, csv_path: str) -> Iterator[DataFrame]:
+    """A valid batch as a scratch table, which goes when the batch is loaded.
+
+    The CSV is parsed once (its header is read before, and flags and texts are
+    typed on the way): the write that stages it counts the rules.
+    """
+    path = scratch_path(spark, "staged")
+    try:
+        batch, seen = quality.observed_batch(csv_files.read_batch(spark, csv_path))
+        batch.write.parquet(path)
+        staged = spark.read.schema(batch.schema).parquet(path)
+        quality.require_clean(quality.written_counts(seen, staged))
+        yield quality.flags_to_bool(staged)
+    finally:
+        discard(spark, path)
 
 
 def _parts(labelled: DataFrame, cuts: splits.QuotaCuts) -> tuple[DataFrame, DataFrame]:

@@ -66,6 +66,14 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a scratch table of this library; any other path is refused."""
+    if not path.startswith(f"{shared_dir(spark)}/"):
+        raise ValueError(f"{path} is not below the shared folder")
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
 def matching_paths(spark: SparkSession, pattern: str) -> list[str]:
     """Paths of a glob pattern, sorted, on whatever file system its scheme names."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(pattern)

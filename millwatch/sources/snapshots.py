@@ -119,12 +119,6 @@ def rebucket_table(
     _publish(spark, root, dealt)
 
 
-def _require_unique(batch: DataFrame, key: str) -> None:
-    repeated = batch.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").limit(1).collect()
-    if repeated:
-        raise ValueError(f"{key} {repeated[0][key]} occurs {repeated[0]['n']} times in the batch")
-
-
 def upsert_table(
     batch: DataFrame,
     root: str,
@@ -148,7 +142,7 @@ def upsert_table(
             f"The table has {manifest.buckets} buckets, not {buckets}; leave the number out or call rebucket_table"
         )
     if not proven_unique:
-        _require_unique(batch, key)
+        quality.require_unique(batch, key)
     buckets = manifest.buckets or buckets or BUCKETS
     staged = batch.select(*schema.names)
     if schema is S.READINGS_SCHEMA:
