@@ -1052,6 +1052,19 @@ ORACLES["stream_once"] = sql(
     "log",
     """SELECT count(*) + count(*) FILTER (WHERE udi % 3 = 0) AS n_sent, count(*) AS n_logged, count(*) AS n_published FROM log""",
 )
+ORACLES["stream_late_rows"] = sql(
+    "log",
+    f"""SELECT strftime(d, '%Y-%m-%d %H:%M:%S.%f') AS window_start, count(*) AS n_sent,
+        count(*) FILTER (WHERE NOT late) AS n_rows, count(*) FILTER (WHERE late) AS n_late,
+        count(*) FILTER (WHERE NOT late AND risk_tier = 'elevated') AS n_elevated,
+        count(*) FILTER (WHERE NOT late AND risk_tier = 'high') AS n_high,
+        count(*) FILTER (WHERE NOT late) > 0 AND d + INTERVAL 1 DAY > (SELECT max(created_at) - INTERVAL 1 HOUR FROM log) AS is_open
+       FROM (SELECT *, coalesce(behind, false) AS late FROM (SELECT *, d + INTERVAL 1 DAY <= CASE WHEN udi % 10 = 0
+               THEN (SELECT max(created_at) - INTERVAL 1 HOUR FROM log WHERE udi % 10 <> 0)
+               WHEN created_at >= {CUTOFF}
+               THEN (SELECT max(created_at) - INTERVAL 1 HOUR FROM log WHERE udi % 10 <> 0 AND created_at < {CUTOFF}) END AS behind
+             FROM (SELECT *, date_trunc('day', created_at)::TIMESTAMP AS d FROM log))) GROUP BY d""",
+)
 ORACLES["stream_workload"] = sql(
     "log",
     """SELECT strftime(d, '%Y-%m-%d %H:%M:%S.%f') AS window_start, count(*) AS n_rows,

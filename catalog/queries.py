@@ -36,7 +36,7 @@ from millwatch.operators import (
 )
 from millwatch.session import materialise, scratch_path
 from millwatch.sources import bundles, csv_files, prediction_log, ranged_tables, results, snapshots
-from millwatch.streaming import scoring
+from millwatch.streaming import scoring, workload
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1189,6 +1189,32 @@ def stream_once(spark, sf):
     return spark.createDataFrame([tuple(rows.count() for rows in counts.values())], ", ".join(f"{name} long" for name in counts))
 
 
+@query
+def stream_late_rows(spark, sf):
+    """A tenth of the log arrives last: per day the rows sent, counted and late, and whether the day is still open.
+
+    Every row sent is in a closed window, in an open one, or late.
+    """
+    root = scratch_path(spark, "stream-late")
+    log = I.log(spark, sf).select("udi", "created_at", "risk_tier")
+    paths = workload.WorkloadPaths(f"{root}/out")
+    early = F.col("created_at") < CUTOFF
+    for part in (~_every(10) & early, ~_every(10) & ~early, _every(10)):
+        log.where(part).write.mode("append").parquet(f"{root}/log")
+        rows = spark.readStream.schema(log.schema).parquet(f"{root}/log")
+        workload.start(rows, paths).awaitTermination()
+    windows = workload.read_windows(spark, paths).select("window_start", "n_rows", "n_elevated", "n_high", "is_open")
+    late = workload.read_late(spark, paths, log.schema)
+
+    def per_day(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy(F.date_trunc("day", "created_at").alias("window_start")).agg(F.count("*").alias(name))
+
+    sent = per_day(spark.read.schema(log.schema).parquet(f"{root}/log"), "n_sent")
+    joined = sent.join(windows, "window_start", "full").join(per_day(late, "n_late"), "window_start", "full")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_sent", "n_rows", "n_late", "n_elevated", "n_high")]
+    return joined.select(_time_text("window_start"), *counts, F.coalesce("is_open", F.lit(False)).alias("is_open"))
+
+
 @query
 def stream_score(spark, sf):
     published = spark.read.parquet(_run_stream(spark, sf).published)
