@@ -691,6 +691,14 @@ ORACLES["cv_scores"] = sql(
     _FOLDED,
     ("modes",),
 )
+_SCOPE = """mode AS "class", round("precision", 6) AS "precision", round(recall, 6) AS recall,
+    round(f1, 6) AS f1, support"""
+ORACLES["scope_scores"] = sql(
+    "topped",
+    f"""SELECT CAST(fold AS VARCHAR) AS scope, {_SCOPE} FROM ff UNION ALL SELECT 'all', {_SCOPE} FROM f""",
+    _FOLDED | _FIXED,
+    ("modes",),
+)
 ORACLES["predict_class"] = sql("topped", "SELECT udi, pred FROM topped")
 ORACLES["per_class_metrics"] = sql(
     "topped",

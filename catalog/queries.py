@@ -881,6 +881,13 @@ def cv_scores(spark, sf):
     return _rounded(cv, *cv.columns)
 
 
+@query
+def scope_scores(spark, sf):
+    """Per-class scores of each fold and of all rows, from one scan."""
+    scores = evaluation.scope_scores(_folded_scores(spark, sf)).drop("class_pos")
+    return _rounded(scores, "precision", "recall", "f1")
+
+
 # --- evaluation -----------------------------------------------------------------
 
 

@@ -180,6 +180,22 @@ def fold_scores(scored: DataFrame, fold: str = "fold") -> DataFrame:
     )
 
 
+def scope_scores(scored: DataFrame, fold: str = "fold") -> DataFrame:
+    """Per-class scores of every fold and of all rows together, from one scan.
+
+    The rows collapse to at most 25 cells a fold first, and grouping sets add the
+    cells up once per fold and once over all. `scope` is the fold as text, or
+    'all'; rows without a fold are the scope 'none'.
+    """
+    cells = _confusion(scored, fold)
+    total = F.grouping(fold) == 1
+    sets = cells.groupingSets([[fold, "y", "pred"], ["y", "pred"]], fold, "y", "pred").agg(
+        F.sum("n").alias("n"), total.alias("total")
+    )
+    name = F.when(F.col("total"), "all").otherwise(F.coalesce(F.col(fold).cast("string"), F.lit("none")))
+    return _class_scores(sets.select(name.alias("scope"), "y", "pred", "n"), "scope").drop("called")
+
+
 def fold_std(scored: DataFrame, fold: str = "fold") -> DataFrame:
     """Population std over folds of each per-class score.
 

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 import toys
 from millwatch import schema as S
@@ -129,3 +130,18 @@ def test_missing_class_column_is_rejected(spark):
     bad = spark.createDataFrame([(1, 0, [0.5, 0.5, 0.0, 0.0])], toys.SCORED)
     with pytest.raises(Exception, match="needs one probability for each of 5"):
         evaluation.confusion_counts(bad).collect()
+
+
+def test_scopes_are_each_fold_and_all_rows_from_one_scan(spark):
+    rows = toys.scored(spark, toys.METRICS_Y, [toys.one_hot(k) for k in toys.METRICS_PRED])
+    fold = F.when(F.col("udi") % 3 < 2, F.col("udi") % 3)
+    folded = rows.withColumn("fold", fold.cast("int"))
+    found = evaluation.scope_scores(folded)
+    keep = ["class", "precision", "recall", "f1", "support"]
+    parts = {"all": folded, "none": folded.where("fold is null"), "0": folded.where("fold = 0"), "1": folded.where("fold = 1")}
+    assert {r["scope"] for r in found.select("scope").collect()} == set(parts)
+    for scope, part in parts.items():
+        expected = sorted(tuple(r) for r in evaluation.per_class_metrics(part).select(keep).collect())
+        assert sorted(tuple(r) for r in found.where(F.col("scope") == scope).select(keep).collect()) == expected
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Expand") == 1 and plan.count("Scan ExistingRDD") == 1
