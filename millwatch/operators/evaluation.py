@@ -14,6 +14,7 @@ from millwatch import schema as S
 from millwatch.functions import classes, physics
 from millwatch.operators.selection import (
     RANK_ROWS,
+    ranges_for,
     running_sums,
 )
 from millwatch.session import dimension
@@ -123,6 +124,37 @@ def _score_profiles(scored: DataFrame, *by: str) -> dict[int, dict]:
     }
 
 
+def _score_counts(scored: DataFrame, profiles: dict[int, dict], plain_rows: int, *by: str) -> DataFrame:
+    """Hits and misses of every distinct score, per group of `by` and class.
+
+    Beyond `plain_rows` rows, tasks are dealt by the number of scores, as almost
+    every score may be distinct. The rows are first dealt evenly and summed up in
+    their task, so that a score shared by many rows comes to its task as one row
+    of each of those.
+    """
+    group = F.col(by[0]) * len(S.CLASSES) + F.col("k") if by else F.col("k")
+    hits = [F.count_if("hit").alias("pos"), F.count_if(~F.col("hit")).alias("neg")]
+    rows = scored.select(*by, "y", "proba")
+    large = max((p["distinct"] for p in profiles.values()), default=0) > plain_rows
+    dealt = []
+    if large:
+        tasks = ranges_for(sum(p["distinct"] for p in profiles.values()))
+        dealt = ["_task"]
+        place = F.pmod(F.hash(F.monotonically_increasing_id()), F.lit(tasks))
+        rows = rows.withColumn("_task", place).repartitionById(tasks, "_task")
+    counts = (
+        rows.select(*dealt, *by, "y", F.posexplode(classes.checked_proba("proba")).alias("k", "score"))
+        .select(*dealt, group.cast("int").alias("group"), "score", (F.col("y") == F.col("k")).alias("hit"))
+        .groupBy(*dealt, "group", "score")
+        .agg(*hits)
+    )
+    if large:
+        counts = counts.repartition(tasks, "group", "score").groupBy("group", "score").agg(
+            F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
+        )
+    return counts
+
+
 def _auc(scored: DataFrame, *by: str, plain_rows: int = RANK_ROWS) -> DataFrame:
     """One-vs-rest ROC-AUC per class; a tie counts one half, one-sided truth gives NULL.
 
@@ -130,13 +162,7 @@ def _auc(scored: DataFrame, *by: str, plain_rows: int = RANK_ROWS) -> DataFrame:
     """
     width = len(S.CLASSES)
     profiles = _score_profiles(scored, *by)
-    group = F.col(by[0]) * width + F.col("k") if by else F.col("k")
-    counts = (
-        scored.select(*by, "y", F.posexplode(classes.checked_proba("proba")).alias("k", "score"))
-        .select(group.cast("int").alias("group"), "score", (F.col("y") == F.col("k")).alias("hit"))
-        .groupBy("group", "score")
-        .agg(F.count_if("hit").alias("pos"), F.count_if(~F.col("hit")).alias("neg"))
-    )
+    counts = _score_counts(scored, profiles, plain_rows, *by)
     running, _ = running_sums(
         counts, "group", "score", ["neg"], plain_rows=plain_rows, profiles=profiles
     )

@@ -177,6 +177,11 @@ def group_profiles(
     return {row[group]: row.asDict() for row in rows}
 
 
+def ranges_for(values: int) -> int:
+    """Into how many ranges, or tasks, so many values are dealt."""
+    return max(_FEWEST_RANGES, -(-values // RANGE_ROWS))
+
+
 def running_sums(
     counts: DataFrame,
     group: str,
@@ -191,8 +196,8 @@ def running_sums(
     `next_<value>`, and returns the group profiles. A group with few distinct
     values is one window partition. Beyond, all groups are range-partitioned by
     (group, value) into as many ranges as their values ask for; each range sums
-    on its own and starts from the totals of its group's ranges before it, of
-    which there is one row per range.
+    on its own, in a task of its own, and starts from the totals of its group's
+    ranges before it, of which there is one row per range.
 
     Without `profiles` the counts are computed once, kept, and profiled; that
     suits counts much smaller than the rows behind them. Given profiles need
@@ -212,7 +217,7 @@ def running_sums(
         return result, profiles
 
     total = sum(p["distinct"] for p in profiles.values())
-    ranges = max(_FEWEST_RANGES, -(-total // RANGE_ROWS))
+    ranges = ranges_for(total)
     # Kept, so that a value's range is the same wherever it is asked for.
     ranged = materialise(
         counts.repartitionByRange(ranges, group, value).withColumn("_range", F.spark_partition_id())
@@ -229,7 +234,9 @@ def running_sums(
         )
     )
     window = Window.partitionBy(group, "_range").orderBy(value)
-    result = ranged.join(starts, [group, "_range"]).select(
+    # A range is a task; left to the window's own exchange, ranges would be merged into a few tasks.
+    spread = ranged.repartitionById(ranges, "_range")
+    result = spread.join(F.broadcast(starts), [group, "_range"]).select(
         *counts.columns,
         *[(F.sum(s).over(window) + F.col(f"_before_{s}")).alias(f"upto_{s}") for s in sums],
         F.coalesce(F.lead(value).over(window), "_next").alias(f"next_{value}"),

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 import toys
 from millwatch import schema as S
-from millwatch.operators import evaluation
+from millwatch.operators import evaluation, selection
 
 
 @pytest.fixture(scope="module")
@@ -145,3 +145,17 @@ def test_scopes_are_each_fold_and_all_rows_from_one_scan(spark):
         assert sorted(tuple(r) for r in found.where(F.col("scope") == scope).select(keep).collect()) == expected
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Expand") == 1 and plan.count("Scan ExistingRDD") == 1
+
+
+def test_distinct_scores_are_dealt_by_their_number(spark, monkeypatch):
+    """No task holds more scores than the ranges allow, and a score that most rows share is summed up before it is sent."""
+    monkeypatch.setattr(selection, "RANGE_ROWS", 100)
+    proba = F.array(F.col("id") / 2000, 1 - F.col("id") / 2000, F.lit(0.0), F.lit(0.0), F.lit(0.0))
+    scored = spark.range(2000).select("id", (F.col("id") % 5).cast("int").alias("y"), proba.alias("proba"))
+    given, plain = [], column(evaluation.ovr_auc(scored), "roc_auc")
+    sums = evaluation.running_sums
+    monkeypatch.setattr(evaluation, "running_sums", lambda counts, *a, **b: given.append(counts) or sums(counts, *a, **b))
+    assert column(evaluation.ovr_auc(scored, plain_rows=0), "roc_auc") == pytest.approx(plain)
+    sizes = [r["count"] for r in given[0].groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert sum(sizes) == 4003 and len(sizes) > 64 and max(sizes) <= 200
+    assert given[0].where("score = 0").agg(F.sum(F.col("pos") + F.col("neg"))).first()[0] == 6001

@@ -78,3 +78,13 @@ def test_ranges_grow_with_the_values(spark, monkeypatch):
         assert found[g, x] == (sum(h == g and v <= x for h, v in rows), min(larger, default=None))
     plan = running._jdf.queryExecution().toString()
     assert "percentile" not in plan and len(found) == len(set(rows))
+
+
+def test_a_range_stays_a_task(spark, monkeypatch):
+    """Running sums of many values are not gathered again in the few tasks of a session's shuffles."""
+    monkeypatch.setattr(selection, "RANGE_ROWS", 50)
+    counts = spark.range(5000).select((F.col("id") % 2).alias("g"), F.col("id").cast("double").alias("x"), F.lit(1).alias("n"))
+    running, _ = running_sums(counts, "g", "x", ["n"], plain_rows=100)
+    right = running.where("upto_n = (x - g) / 2 + 1")
+    sizes = [r["count"] for r in right.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert sum(sizes) == 5000 and len(sizes) > 64 and max(sizes) <= 250
