@@ -119,3 +119,24 @@ def test_ingest_into_ranges(spark, folder):
     assert (done.unchanged, done.ranges_read, done.ranges_written) == (4, 3, 0)
     stored = ranged_tables.read_table(spark, name)
     assert stored.columns == S.READINGS_SCHEMA.names and stored.exceptAll(rows).count() == 0
+
+
+def test_a_batch_too_large_for_its_buckets_is_dealt_to_more_tasks(spark, table, monkeypatch):
+    """No task of a join holds most of a bucket, nothing is exchanged twice, and a bucket of a range is one file as before."""
+    monkeypatch.setattr(ranged_tables, "TASK_ROWS", 50)
+    merged, made = ranged_tables.merged_rows, []
+    monkeypatch.setattr(ranged_tables, "merged_rows", lambda *a, **b: made.append(merged(*a, **b)) or made[-1])
+    keys = spark.range(-500, 500).select(F.col("id").alias("k"))
+    done = ranged_tables.upsert_table(keys.withColumn("v", F.lit(1.0)), table)
+    assert (done.insert, done.ranges_read, done.ranges_written) == (1000, 0, 100)
+    batch = keys.where("k < 400").union(spark.range(500, 520)).withColumn("v", F.when(F.pmod("k", F.lit(20)) < 10, 1.0).otherwise(F.col("k")))
+    done = ranged_tables.upsert_table(batch, table)
+    assert (done.insert, done.update, done.unchanged, done.ranges_read, done.ranges_written) == (20, 450, 450, 90, 47)
+    assert held(spark, table) == {k: 1.0 if k % 20 < 10 or 400 <= k < 500 else float(k) for k in range(-500, 520)}
+    files = spark.table(table).select(ranged_tables.RANGE, F.input_file_name().alias("f")).distinct()
+    assert files.groupBy(ranged_tables.RANGE).count().agg(F.max("count")).first()[0] == 2
+    load, change = made
+    sizes = [r["count"] for r in load.groupBy(F.spark_partition_id()).agg(F.count("v").alias("count")).collect()]
+    assert len(sizes) > 10 and max(sizes) <= 150
+    plan = change._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 2 and plan.count("REPARTITION_BY_NUM") == 2
