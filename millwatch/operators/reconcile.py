@@ -36,7 +36,8 @@ def require_aligned(scores: DataFrame, labels: DataFrame, key: str = "udi") -> N
         n_scores = row["n_matched"] + row["n_scores_only"]
         n_labels = row["n_matched"] + row["n_labels_only"]
         raise ValueError(
-            f"Scores and labels must be of the same ids: {row['n_scores_only']} of {n_scores} scored ids have no label, "
+            f"Scores and labels must be of the same ids, not {n_labels} labels but {n_scores} scores: "
+            f"{row['n_scores_only']} of {n_scores} scored ids have no label, "
             f"{row['n_labels_only']} of {n_labels} labelled ids have no score; score the rows of this run's training split"
         )
 
