@@ -99,6 +99,29 @@ def test_kept_text_and_spans(spark):
     assert bytes(found[3]["kept"]) == b""  # it repeats itself
 
 
+def passage(rng, words, size):
+    """`words` words of `size` bytes in all, spaces included."""
+    each, more = divmod(size - words + 1, words)
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(each + (k < more))) for k in range(words))
+
+
+@pytest.mark.parametrize("partitions", [1, 40])
+def test_passages_of_over_50_words_go_from_400_bytes_on(spark, partitions):
+    rng = random.Random(8)
+    data, sizes = [], {}
+    for words, size in [(59, 394), (51, 399), (51, 400), (60, 401), (90, 620)] * 4:
+        text = passage(rng, words, size)
+        for before, after in ("()", "[]"):  # so that the copies share no byte around them
+            sizes[len(data)] = size
+            data.append((len(data), passage(rng, 40, 300) + before + text + after + passage(rng, 40, 300), None, None, None))
+    for _ in range(20):
+        sizes[len(data)] = 0
+        data.append((len(data), passage(rng, 120, 900), None, None, None))
+    found = corpus.sorted_rows(repeats.digests(corpus.table(spark, data).repartition(partitions)))
+    assert {doc: n_removed for doc, _, n_removed, *_ in found} == {doc: size * (size >= 400) for doc, size in sizes.items()}
+    assert found == plain(data, 400)
+
+
 def test_empty_table_and_bad_lengths(spark, no_docs):
     assert repeats.digests(no_docs).collect() == []
     with pytest.raises(ValueError):
